@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import packing, sharding
-from tapeloom.llm.common import table
+from tapeloom.llm import decontaminate, langid, packing, sharding
+from tapeloom.llm.common import held_out, table
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +18,31 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op7_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(docs.doc_id, 3, 1)
+    model = langid.fit(docs.where(~out))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", held_out(found.doc_id, 3, 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+QUERIES = {f.__name__: f for f in (op4_sharding, op7_packing, op9_decontamination, op10_language_id)}
+
+#: The words of a text, as the operators cut them.
+_WORDS = r"""regexp_extract_all(lower(coalesce(text, '')), '[^\x00-/:-@\[-`{-\x7f]+')"""
+_SHINGLES = f"""
+    SELECT id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+    FROM (SELECT id, {_WORDS} AS w FROM src) WHERE len(w) > 0"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_decontamination": f"""
+WITH d AS (SELECT id, unnest(s) AS s FROM (WITH src AS (SELECT doc_id AS id, text FROM documents) {_SHINGLES})),
+    b AS (SELECT id, len(s) AS n, unnest(s) AS s FROM (WITH src AS (SELECT item_id AS id, text FROM benchmark) {_SHINGLES}))
+SELECT d.id AS doc_id, b.id AS item_id, any_value(n)::INT AS item_shingles, count(*)::INT AS shared_shingles, count(*) / any_value(n) AS containment
+FROM d JOIN b USING (s) GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n)""",
+}
