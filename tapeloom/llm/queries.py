@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import decontaminate, langid, packing, sharding
+from tapeloom.llm import decontaminate, langid, neardup, packing, sharding
 from tapeloom.llm.common import held_out, table
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join(table(spark, sf_dir, "documents"))[0]
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_rows(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), "map_version")
@@ -30,7 +34,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(found.doc_id, 3, 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op7_packing, op9_decontamination, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_sharding, op7_packing, op9_decontamination, op10_language_id)}
 
 #: The words of a text, as the operators cut them.
 _WORDS = r"""regexp_extract_all(lower(coalesce(text, '')), '[^\x00-/:-@\[-`{-\x7f]+')"""
@@ -40,6 +44,19 @@ _SHINGLES = f"""
     FROM (SELECT id, {_WORDS} AS w FROM src) WHERE len(w) > 0"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, array_to_string({_WORDS}, ' ') AS words FROM documents),
+    c AS (SELECT doc_id, words, CASE WHEN words = '' THEN doc_id ELSE min(doc_id) OVER (PARTITION BY words) END AS class_id FROM w),
+    src AS (SELECT doc_id AS id, words AS text FROM c WHERE doc_id = class_id),
+    s AS (SELECT id, len(s) AS n, unnest(s) AS s FROM ({_SHINGLES})),
+    link AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id
+        HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+    both AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach AS (SELECT a, a AS b FROM both UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a),
+    root AS (SELECT a, min(b) AS group_id FROM reach GROUP BY a),
+    degree AS (SELECT a, count(*) AS n_links FROM both GROUP BY a)
+SELECT c.doc_id, c.class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(group_id, c.class_id) AS group_id
+FROM c LEFT JOIN root ON root.a = c.class_id LEFT JOIN degree ON degree.a = c.class_id""",
     "op9_decontamination": f"""
 WITH d AS (SELECT id, unnest(s) AS s FROM (WITH src AS (SELECT doc_id AS id, text FROM documents) {_SHINGLES})),
     b AS (SELECT id, len(s) AS n, unnest(s) AS s FROM (WITH src AS (SELECT item_id AS id, text FROM benchmark) {_SHINGLES}))
