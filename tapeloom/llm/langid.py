@@ -159,11 +159,15 @@ def viterbi(e: np.ndarray, row: np.ndarray, n_rows: int, penalty: float = SWITCH
     return label.T.reshape(-1)[place]
 
 
-def predict(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_id", penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """doc_id, lang_pred, score and the labelled spans (first word, words, language) of every row."""
+def predict(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_id", penalty: float = SWITCH_PENALTY, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score, the labelled spans (first word, words, language) and row (the columns in carry) of every row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most 2 ** BITS numbers a language
-    schema = "doc_id long, lang_pred string, score double, spans array<struct<first_word:int,n_words:int,lang:string>>"
+    lettered = F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False))
+    row = F.struct(F.lit(0).alias("_"), *[docs[c] for c in carry]).alias("row")
+    own = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), lettered.alias("lettered"), row)
+    kind = own.schema["row"].dataType.simpleString()
+    schema = f"doc_id long, lang_pred string, score double, spans array<struct<first_word:int,n_words:int,lang:string>>, row {kind}"
 
     def run(batches):
         model = shared.value
@@ -189,7 +193,6 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", key: str = "do
             inner = begin - np.searchsorted(row, row[begin], "left") if len(begin) else begin
             spans = pa.StructArray.from_arrays([pa.array(inner, pa.int32()), pa.array(size, pa.int32()), pa.array(names[label[begin]], pa.string())], ["first_word", "n_words", "lang"])
             ends = np.concatenate([[0], np.cumsum(np.bincount(row[begin], minlength=k))])
-            yield pa.RecordBatch.from_arrays([part.column("key").combine_chunks(), pa.array(names[best], pa.string()), pa.array(np.where(lettered, share, 0.0)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)], ["doc_id", "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([part.column("key").combine_chunks(), pa.array(names[best], pa.string()), pa.array(np.where(lettered, share, 0.0)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans), part.column("row").combine_chunks()], ["doc_id", "lang_pred", "score", "spans", "row"])
 
-    lettered = F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False))
-    return docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), lettered.alias("lettered")).mapInArrow(run, schema)
+    return own.mapInArrow(run, schema)

@@ -9,7 +9,8 @@
 4. Pairs are verified by exact Jaccard of their shingle sets; components of the links are the groups.
 
 Defined cases: a null text, or one without a word, is a class and group of its own with no link; a text of 1 to 4 words
-is one shingle; equal texts share a class; repeated rows of one doc_id are one document; an empty table gives no row;
+is one shingle; equal texts share a class; repeated rows of one doc_id
+have the same class; a row without a doc_id joins the class of its text, if there is one; an empty table gives no row;
 other columns are not read.
 """
 
@@ -143,7 +144,7 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold:
     depth = shortest_prefix(threshold)
     p = f"p{depth}"
     signed = cut(signatures(docs, text, key), "signatures")
-    classes = cut(signed.where("lo IS NOT NULL").groupBy("lo", "hi").agg(F.min("doc_id").alias("doc_id"), F.min_by("sig", "doc_id").alias("sig")), "classes")
+    classes = cut(signed.where("lo IS NOT NULL AND doc_id IS NOT NULL").groupBy("lo", "hi").agg(F.min("doc_id").alias("doc_id"), F.min_by("sig", "doc_id").alias("sig")), "classes")
     rows = nodes(tries(classes, depth), p)
     pairs = cut(candidates(rows, depth), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import decontaminate, langid, neardup, packing, sharding
+from tapeloom.llm import decontaminate, langid, neardup, packing, sharding, suffix_dedup
 from tapeloom.llm.common import held_out, table
 
 
@@ -18,6 +18,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), "map_version")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,7 +40,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(found.doc_id, 3, 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_sharding, op7_packing, op9_decontamination, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_sharding, op6_suffix_array_dedup, op7_packing, op9_decontamination, op10_language_id)}
 
 #: The words of a text, as the operators cut them.
 _WORDS = r"""regexp_extract_all(lower(coalesce(text, '')), '[^\x00-/:-@\[-`{-\x7f]+')"""
@@ -51,12 +57,26 @@ WITH RECURSIVE w AS (SELECT doc_id, array_to_string({_WORDS}, ' ') AS words FROM
     s AS (SELECT id, len(s) AS n, unnest(s) AS s FROM ({_SHINGLES})),
     link AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id
         HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
-    both AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
-    reach AS (SELECT a, a AS b FROM both UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a),
+    pair AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach AS (SELECT a, a AS b FROM pair UNION SELECT reach.a, pair.b FROM reach JOIN pair ON reach.b = pair.a),
     root AS (SELECT a, min(b) AS group_id FROM reach GROUP BY a),
-    degree AS (SELECT a, count(*) AS n_links FROM both GROUP BY a)
+    degree AS (SELECT a, count(*) AS n_links FROM pair GROUP BY a)
 SELECT c.doc_id, c.class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(group_id, c.class_id) AS group_id
 FROM c LEFT JOIN root ON root.a = c.class_id LEFT JOIN degree ON degree.a = c.class_id""",
+    # Two hexadecimal digits a byte: 100 bytes are 200 digits.
+    "op6_suffix_array_dedup": """
+WITH t AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+    w AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS i FROM t),
+    dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5_number(substr(x, 2 * i + 1, 200)) ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+    edge AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM dup),
+    run AS (SELECT doc_id, i, sum(CASE WHEN last IS NULL OR i > last + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM edge),
+    span AS (SELECT doc_id, min(i) AS b, max(i) + 100 AS e FROM run GROUP BY doc_id, k),
+    gap AS (SELECT doc_id, e AS b, lead(b) OVER (PARTITION BY doc_id ORDER BY b) AS e FROM span
+        UNION ALL SELECT doc_id, 0, min(b) FROM span GROUP BY doc_id),
+    kept AS (SELECT doc_id, string_agg(substr(x, 2 * gap.b + 1, 2 * (coalesce(gap.e, len(x) // 2) - gap.b)), '' ORDER BY gap.b) AS k FROM gap JOIN t USING (doc_id) GROUP BY doc_id),
+    n AS (SELECT doc_id, sum(e - b) AS r, count(*) AS s FROM span GROUP BY doc_id)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(s, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op9_decontamination": f"""
 WITH d AS (SELECT id, unnest(s) AS s FROM (WITH src AS (SELECT doc_id AS id, text FROM documents) {_SHINGLES})),
     b AS (SELECT id, len(s) AS n, unnest(s) AS s FROM (WITH src AS (SELECT item_id AS id, text FROM benchmark) {_SHINGLES}))
