@@ -5,10 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import decontaminate, langid, neardup, packing, sharding, suffix_dedup
+from tapeloom.llm import decontaminate, langid, neardup, packing, quality, sharding, suffix_dedup, toxicity
 from tapeloom.llm.common import held_out, table
 
 
+def _predicted(scored: DataFrame, modulus: int, rest: int, *more: str) -> DataFrame:
+    out = held_out(scored.doc_id, modulus, rest).alias("held_out")
+    return scored.select("doc_id", out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *more)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs.where(~held_out(docs.doc_id, 5, 0)), table(spark, sf_dir, "labels"))
+    return _predicted(toxicity.score(docs, model), 5, 0)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.join(table(spark, sf_dir, "documents"))[0]
 
@@ -18,6 +29,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), "map_version")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs.where(~held_out(docs.doc_id, 3, 1)), table(spark, sf_dir, "labels"))
+    return _predicted(quality.score(docs, model), 3, 1, "n_lines", "n_bad_lines")
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -40,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(found.doc_id, 3, 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_sharding, op6_suffix_array_dedup, op7_packing, op9_decontamination, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_ngram_jaccard_join, op4_sharding, op5_quality_classifier, op6_suffix_array_dedup, op7_packing, op9_decontamination, op10_language_id)}
 
 #: The words of a text, as the operators cut them.
 _WORDS = r"""regexp_extract_all(lower(coalesce(text, '')), '[^\x00-/:-@\[-`{-\x7f]+')"""
