@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import decontaminate, langid, neardup, packing, quality, sharding, suffix_dedup, toxicity
+from tapeloom.llm import chaining, decontaminate, langid, media, neardup, packing, quality, sharding, suffix_dedup, toxicity
 from tapeloom.llm.common import held_out, table
 
 
@@ -20,6 +20,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.score(docs, model), 5, 0)
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a page that shows its text's payload as a picture, parsed, resolved and read back."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    size = F.octet_length(text)
+    full = F.when(size == 0, F.lit(media.WIDTH)).otherwise(F.ceil(size / media.WIDTH) * media.WIDTH)
+    body = F.concat(text, F.repeat(F.lit(" "), (full - size).cast("int"))).cast("binary")
+    page = F.concat(F.lit("<article><p>Document</p><figure><img src=\"digest:"), F.sha2(body, 256), F.lit("\"><figcaption>"), size.cast("string"), F.lit(" bytes of text</figcaption></figure></article>"))
+    pages = docs.select("doc_id", size.cast("long").alias("n_bytes"), page.alias("html"))
+    refs = media.references(media.interleaved(pages, carry=("doc_id", "n_bytes")))
+    found = media.resolve(refs, media.read_back(media.store(docs)))
+    return found.select("row.doc_id", "row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.join(table(spark, sf_dir, "documents"))[0]
 
@@ -45,6 +59,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,7 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(found.doc_id, 3, 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_ngram_jaccard_join, op4_sharding, op5_quality_classifier, op6_suffix_array_dedup, op7_packing, op9_decontamination, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_ngram_jaccard_join, op4_sharding, op5_quality_classifier, op6_suffix_array_dedup, op7_packing, op8_substring_dedup, op9_decontamination, op10_language_id)}
 
 #: The words of a text, as the operators cut them.
 _WORDS = r"""regexp_extract_all(lower(coalesce(text, '')), '[^\x00-/:-@\[-`{-\x7f]+')"""
