@@ -1,6 +1,6 @@
-"""Every registered query and the SQL that checks it."""
+"""Every registered query and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tapeloom.plans import artifacts, features, models, portfolio, returns, risk, scanner, sectors, sources, trading  # noqa: F401  each module registers its queries
+from tapeloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
