@@ -3,10 +3,11 @@
 1. Texts with the same sequence of words are one class; its representative is the least doc_id. Only representatives go on.
 2. A representative has a TREES x DEPTH MinHash signature; each tree is a prefix trie of its part of the signature.
    Matched prefixes are shortened from DEPTH until 1 - (1 - t ** depth) ** TREES reaches the target recall.
-3. A trie node of at most SMALL members gives all its pairs. In a larger node each member is paired with the node's
-   least member, and so are the members of its longer prefixes; members that stay unlinked go through the node again
-   among themselves, until every node is small. So pairs grow with the rows, not with the square of a node.
-4. Pairs are verified by exact Jaccard of their shingle sets; components of the links are the groups.
+3. A trie node of at most SMALL members gives all its pairs, which are verified by exact Jaccard of their shingle sets.
+4. Larger nodes are merged where they share members. Such a family is compared exactly in blocks of about FAMILY_BLOCK
+   members, two blocks a task: a task counts each member's links and sends on only a spanning forest of them, so rows
+   grow with the members and not with their pairs, and no task holds more than two blocks.
+5. Components of the links are the groups.
 
 Defined cases: a null text, or one without a word, is a class and group of its own with no link; a text of 1 to 4 words
 is one shingle; equal texts share a class; repeated rows of one doc_id
@@ -31,8 +32,8 @@ TREES, DEPTH = 16, 6
 RECALL = 0.999
 #: Members of a trie node up to which all its pairs are compared.
 SMALL = 16
-#: Parts that the pairs of one least member are dealt to.
-SALTS = 32
+#: Members of a block of a family.
+FAMILY_BLOCK = 512
 
 _rng = np.random.default_rng(7)
 _FACTOR = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,20 +87,24 @@ def tries(reps: DataFrame, depth: int) -> DataFrame:
 def nodes(rows: DataFrame, p: str) -> DataFrame:
     """The rows of trie nodes with two members or more, with the node's size and least member."""
     size = rows.groupBy(p).agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1")
-    return cut(rows.drop("n", "low").join(cut(size, "nodes"), p), "node-rows")
+    return cut(rows.join(cut(size, "nodes"), p), "node-rows")
 
 
-def candidates(rows: DataFrame, depth: int) -> DataFrame:
-    """(a, b, salt): all pairs of small nodes, pairs with the least member of large ones and of their longer prefixes."""
-    p = f"p{depth}"
-    small, large = rows.where(F.col("n") <= SMALL).select(p, "doc_id"), rows.where(F.col("n") > SMALL)
-    out = small.withColumnRenamed("doc_id", "a").join(small.withColumnRenamed("doc_id", "b"), p).where("a < b").select("a", "b", F.lit(0).alias("salt"))
-    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")
-    out = out.unionByName(large.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).where("a < b").select("a", "b", salt))
-    for d in range(depth + 1, DEPTH + 1):
-        low = large.groupBy(f"p{d}").agg(F.min("doc_id").alias("a")).repartition("a", f"p{d}")
-        out = out.unionByName(large.select(f"p{d}", F.col("doc_id").alias("b")).join(low, f"p{d}").where("a < b").select("a", "b", salt))
-    return out.groupBy("a", "b").agg(F.max("salt").alias("salt"))
+def families(rows: DataFrame) -> DataFrame:
+    """(doc_id, family, block): members of large nodes; nodes that share a member are one family."""
+    large = rows.where(F.col("n") > SMALL)
+    of = components(large.select(F.col("doc_id").alias("a"), F.col("low").alias("b"))).select(F.col("id").alias("doc_id"), F.col("root").alias("family"))
+    size = of.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    return of.join(size.repartition("blocks", "family"), "family").select("doc_id", "family", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "blocks")
+
+
+def candidates(rows: DataFrame, of: DataFrame, p: str) -> DataFrame:
+    """(a, b): all pairs of small nodes, but for those within one family."""
+    small = rows.where(F.col("n") <= SMALL).select(p, "doc_id")
+    pairs = small.withColumnRenamed("doc_id", "a").join(small.withColumnRenamed("doc_id", "b"), p).where("a < b").select("a", "b").distinct()
+    x, y = (of.select(F.col("doc_id").alias(c), F.col("family").alias(f"family_{c}")) for c in "ab")
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    return both.where(~F.coalesce(F.col("family_a") == F.col("family_b"), F.lit(False))).select("a", "b")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
@@ -134,32 +139,80 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             ok = pa.array(j >= threshold - 1e-12)
             yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok), pa.array(j).filter(ok)], ["a", "b", "jaccard"])
 
-    left = pairs.select("a", "salt").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("sh").alias("x")), "a")
-    both = pairs.join(left, ["a", "salt"]).join(sets.select(F.col("doc_id").alias("b"), F.col("sh").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("sh").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, jaccard double")
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Shared elements of every two sets: a product of member x element matrices, some thousand elements at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n[at] > 1
+    owner, at = owner[shared], at[shared]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    new = np.r_[True, at[1:] != at[:-1]][: len(at)]
+    at = np.cumsum(new) - 1
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    ends = np.r_[np.flatnonzero(new)[::4096], len(at)] if len(at) else np.array([0])
+    for x, y in zip(ends[:-1], ends[1:]):
+        m = np.zeros((len(sets), int(at[y - 1] - at[x]) + 1), np.float32)
+        m[owner[x:y], at[x:y] - at[x]] = 1
+        out += m @ m.T
+    return out
+
+
+def compare_blocks(rows, threshold: float):
+    """Links of one pair of blocks: (doc_id, n, root) with the number of a member's links and a root of its component."""
+    import pandas as pd
+
+    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    ids, block = rows["doc_id"].to_numpy(), rows["block"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in rows["sh"]]
+    size = np.array([len(x) for x in sets], float)
+    shared = _overlaps(sets)
+    similar = shared / np.maximum(size[:, None] + size[None] - shared, 1) >= threshold - 1e-9
+    np.fill_diagonal(similar, False)
+    # Pairs inside a block belong to the task of that block with itself.
+    if rows["first"].iloc[0] != rows["second"].iloc[0]:
+        similar &= block[:, None] != block[None]
+    root = np.arange(len(ids))
+    while True:
+        least = np.minimum(root, np.where(similar, root[None], len(ids)).min(1))
+        least = least[least]
+        if (least == root).all():
+            break
+        root = least
+    n = similar.sum(1)
+    return pd.DataFrame({"doc_id": ids, "n": n, "root": ids[root]})[n > 0]
+
+
+def family_links(of: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """compare_blocks over every pair of blocks of every family."""
+    own = of.join(sets, "doc_id")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = own.select("doc_id", "sh", "family", "block", other).select("doc_id", "sh", "family", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    return dealt.groupBy("family", "first", "second").applyInPandas(lambda rows: compare_blocks(rows, threshold), "doc_id long, n long, root long")
+
+
 def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, class_id, n_links, group_id) and links (a, b, jaccard) between class representatives."""
+    """Members (doc_id, class_id, n_links, group_id), and links (a, b, jaccard) of class representatives outside families."""
     depth = shortest_prefix(threshold)
     p = f"p{depth}"
     signed = cut(signatures(docs, text, key), "signatures")
     classes = cut(signed.where("lo IS NOT NULL AND doc_id IS NOT NULL").groupBy("lo", "hi").agg(F.min("doc_id").alias("doc_id"), F.min_by("sig", "doc_id").alias("sig")), "classes")
     rows = nodes(tries(classes, depth), p)
-    pairs = cut(candidates(rows, depth), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    of = cut(families(rows), "families")
+    pairs = cut(candidates(rows, of, p), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(of.select(F.col("doc_id").alias("id"))).distinct()
     sets = cut(shingle_sets(docs, ids, text, key), "shingles")
-    links = found = cut(verify(pairs, sets, threshold), "links")
-    while not (large := rows.where(F.col("n") > SMALL)).isEmpty():
-        linked = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        rows = nodes(large.where("doc_id <> low").join(linked, "doc_id", "left_anti"), p)
-        found = cut(verify(candidates(rows, depth), sets, threshold), "links")
-        links = links.unionByName(found)
-    links = links.dropDuplicates(["a", "b"])
-    groups = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    of = groups.join(degree, "id", "full").withColumnRenamed("id", "class_id")
-    named = cut(classes.select("lo", "hi", F.col("doc_id").alias("class_id")).join(of, "class_id", "left"), "groups")
+    links = cut(verify(pairs, sets, threshold), "links")
+    inner = cut(family_links(of, sets, threshold), "family-links")
+    groups = components(links.select("a", "b").unionByName(inner.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))))
+    degree = links.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).alias("n")).unionByName(inner.select(F.col("doc_id").alias("id"), F.col("n").cast("int")))
+    degree = degree.groupBy("id").agg(F.sum("n").alias("n_links"))
+    named = groups.join(degree, "id", "full").withColumnRenamed("id", "class_id")
+    named = cut(classes.select("lo", "hi", F.col("doc_id").alias("class_id")).join(named, "class_id", "left"), "groups")
     members = signed.select("doc_id", "lo", "hi").join(named, ["lo", "hi"], "left").select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
