@@ -1 +1,45 @@
-"""To come."""
+"""The market scanner: regime metrics and scores of each symbol relative to its sector."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Window, functions as F
+
+from tapeloom.functions import duck as d, windows as w
+from tapeloom.plans.registry import query
+from tapeloom.sources.bars import BARS, bars_orders
+
+_SCORE = f"""{BARS}, a AS (SELECT symbol, sector, date, close, {d.log_return()} AS lr, abs(close - {d.lag('close')}) AS step, {d.zscore('close')} AS z FROM bars),
+b AS (SELECT symbol, sector, date, close, z, ({d.std('lr', 20)}) * sqrt(252) AS vol, coalesce(abs(close - {d.lag('close', 20)}) / nullif(({d.roll('sum', 'step', 20)}), 0), 0.0) AS eff FROM a),
+c AS (SELECT symbol, sector, arg_max(close, date) AS price, arg_max(z, date) AS z, arg_max(vol, date) AS vol, arg_max(eff, date) AS eff FROM b GROUP BY 1, 2),
+e AS (SELECT *, coalesce((z - avg(z) OVER (PARTITION BY sector)) / nullif(stddev_samp(z) OVER (PARTITION BY sector), 0), 0.0) AS alpha FROM c)"""
+
+
+def scores(bars):
+    """Last bar's z-score, efficiency and volatility of each symbol, against its sector: one shuffle by symbol, one of the few symbols by sector."""
+    x = bars.withColumns({"lr": w.log_return(), "step": F.abs(F.col("close") - F.lag("close").over(w.W)), "z": w.zscore("close")})
+    eff = F.coalesce(w.ratio(F.abs(F.col("close") - F.lag("close", 20).over(w.W)), w.roll(F.sum, "step", 20)), F.lit(0.0))
+    x = x.select("symbol", "sector", "date", "close", "z", (w.std("lr", 20) * math.sqrt(252)).alias("vol"), eff.alias("eff"))
+    x = x.groupBy("symbol", "sector").agg(*[F.max_by(c, "date").alias(k) for c, k in (("close", "price"), ("z", "z"), ("vol", "vol"), ("eff", "eff"))])
+    s = Window.partitionBy("sector")
+    return x.withColumn("alpha", F.coalesce((F.col("z") - F.avg("z").over(s)) / F.nullif(F.stddev_samp("z").over(s), F.lit(0.0)), F.lit(0.0)))
+
+
+@query(f"""WITH {_SCORE} SELECT symbol, sector, round(price, 2) AS price, round(z, 6) AS z, round(vol, 6) AS vol, round(eff, 6) AS efficiency, round(alpha, 6) AS relative_alpha,
+    round(alpha + 2 * eff - vol / 100, 6) AS final_score FROM e ORDER BY final_score DESC""")
+def flagship_sector_score(spark, sf_dir):
+    """Composite score of each symbol, best first."""
+    x = scores(bars_orders(spark, sf_dir))
+    out = x.select("symbol", "sector", F.round("price", 2).alias("price"), F.round("z", 6).alias("z"), F.round("vol", 6).alias("vol"), F.round("eff", 6).alias("efficiency"), F.round("alpha", 6).alias("relative_alpha"), F.round(F.col("alpha") + 2 * F.col("eff") - F.col("vol") / 100, 6).alias("final_score"))
+    return out.orderBy(F.desc("final_score"))
+
+
+@query(f"""WITH {_SCORE}, f AS (SELECT *, round(alpha + 2 * eff - vol / 100, 9) AS score FROM e WHERE NOT (vol > 12 AND eff < 0.05)), g AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY score DESC, symbol) AS k FROM f WHERE score > 0)
+SELECT sector, symbol, k, round(score, 6) AS score FROM g WHERE k <= 3""")
+def top_picks(spark, sf_dir):
+    """Positive scores after the regime kill switch, the best three of each sector."""
+    x = scores(bars_orders(spark, sf_dir)).where(~((F.col("vol") > 12) & (F.col("eff") < 0.05)))
+    x = x.withColumn("score", F.round(F.col("alpha") + 2 * F.col("eff") - F.col("vol") / 100, 9)).where("score > 0")
+    x = x.withColumn("k", F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("score"), "symbol")).cast("long")).where("k <= 3")
+    return x.select("sector", "symbol", "k", F.round("score", 6).alias("score"))
