@@ -1 +1,122 @@
-"""To come."""
+"""Queries over the scans, unions and upserts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from tapeloom.functions import duck as d, windows as w
+from tapeloom.plans.registry import query
+from tapeloom.sources import connectors
+from tapeloom.sources.bars import BARS, BRAND_BARS, EVENT_BARS, bars_brand, bars_events, bars_orders, table
+
+
+def _rounded(x, digits, *cols):
+    return x.select("symbol", "date", *[F.round(c, digits).alias(c) for c in cols], "volume")
+
+
+@query(f"WITH {BARS} SELECT symbol, sector, date, open, high, low, close, volume FROM bars")
+def bars_daily(spark, sf_dir):
+    return bars_orders(spark, sf_dir).select("symbol", "sector", "date", "open", "high", "low", "close", "volume")
+
+
+@query(f"WITH {BRAND_BARS} SELECT symbol, date, round(high, 9) AS high, round(low, 9) AS low, round(close, 9) AS close, volume FROM bars")
+def bars_by_brand(spark, sf_dir):
+    return _rounded(bars_brand(spark, sf_dir), 9, "high", "low", "close")
+
+
+@query(f"WITH {EVENT_BARS} SELECT symbol, date, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume FROM bars")
+def bars_by_event(spark, sf_dir):
+    return _rounded(bars_events(spark, sf_dir), 4, "open", "high", "low", "close")
+
+
+@query(f"WITH {BARS} SELECT symbol, max(date) AS latest FROM bars GROUP BY symbol")
+def high_water_mark(spark, sf_dir):
+    return connectors.high_water_mark(bars_orders(spark, sf_dir))
+
+
+@query(f"WITH {BARS} SELECT date, open, high, low, close, volume FROM bars WHERE symbol = 'NATION_3' AND date >= DATE '1997-01-01' ORDER BY date")
+def key_lookup(spark, sf_dir):
+    x = bars_orders(spark, sf_dir).where("symbol = 'NATION_3' AND date >= '1997-01-01'")
+    return x.select("date", "open", "high", "low", "close", "volume").orderBy("date")
+
+
+@query("""WITH o AS (SELECT user_id, CAST(ts AS DATE) AS day, value, event_id, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS side FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY side DESC, event_id DESC) AS k FROM o) SELECT user_id, day, round(value, 6) AS value, event_id FROM r WHERE k = 1""")
+def upsert_latest(spark, sf_dir):
+    """Events keyed by user and day: clicks replace the others, the last click wins."""
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date(F.col("ts").cast("timestamp")).alias("day"), "value", "event_id", "event_type")
+    first = Window.partitionBy("user_id", "day").orderBy(F.desc("event_id"))
+    old = e.where("event_type <> 'click'").withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "event_type")
+    new = e.where("event_type = 'click'").drop("event_type").withColumn("_seq", F.col("event_id"))
+    return connectors.upsert(old, new, ["user_id", "day"]).select("user_id", "day", F.round("value", 6).alias("value"), "event_id")
+
+
+@query("""WITH a AS (SELECT year(o_orderdate) AS year, round(avg(CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice END), 4) AS urgent FROM orders WHERE year(o_orderdate) < 2000 GROUP BY 1),
+b AS (SELECT year(l_shipdate) AS year, round(avg(l_extendedprice), 4) AS shipped FROM lineitem WHERE year(l_shipdate) > 1995 GROUP BY 1) SELECT year::INT AS year, urgent, shipped FROM a FULL JOIN b USING (year)""")
+def indicator_merge(spark, sf_dir):
+    """Two yearly indicators of different coverage, full outer joined on the year."""
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    a = o.where(F.year("o_orderdate") < 2000).groupBy(F.year("o_orderdate").alias("year")).agg(F.round(F.avg(F.when(F.col("o_orderpriority").startswith("1"), F.col("o_totalprice"))), 4).alias("urgent"))
+    b = l.where(F.year("l_shipdate") > 1995).groupBy(F.year("l_shipdate").alias("year")).agg(F.round(F.avg("l_extendedprice"), 4).alias("shipped"))
+    return a.join(b, "year", "full_outer")
+
+
+@query("""SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def json_props(spark, sf_dir):
+    """Nested JSON fields as columns."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k bigint")["k"])
+    return e.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '//([^/]+)/', 1) AS host, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, TRY_CAST(regexp_extract(url, '/([0-9]+)[?]', 1) AS DOUBLE) AS price FROM pages""")
+def page_quote(spark, sf_dir):
+    """Fields scraped from page markup by pattern; a number that is missing is NULL."""
+    r = lambda c, p: F.regexp_extract(c, p, 1)
+    x = table(spark, sf_dir, "pages")
+    return x.select("page_id", r("url", "//([^/]+)/").alias("host"), r("html", 'lang="([a-z]+)"').alias("lang"), r("html", "<title>([^<]*)</title>").alias("title"), F.expr("try_cast(regexp_extract(url, '/([0-9]+)[?]', 1) AS double)").alias("price"))
+
+
+@query("""WITH s AS (SELECT c_mktsegment AS symbol, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_acctbal > 0 GROUP BY 1)
+SELECT symbol, 'ok' AS status, n, total FROM s UNION ALL SELECT c_mktsegment, 'negative', count(*), NULL FROM customer WHERE c_acctbal < 0 GROUP BY 1 UNION ALL SELECT 'TOTAL', 'summary', count(*), NULL FROM customer""")
+def summary_union(spark, sf_dir):
+    """Success, failure and total rows of different columns in one summary."""
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "symbol")
+    ok = c.where("c_acctbal > 0").groupBy("symbol").agg(F.lit("ok").alias("status"), F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+    bad = c.where("c_acctbal < 0").groupBy("symbol").agg(F.lit("negative").alias("status"), F.count("*").alias("n"))
+    total = c.agg(F.lit("TOTAL").alias("symbol"), F.lit("summary").alias("status"), F.count("*").alias("n"))
+    return ok.unionByName(bad, allowMissingColumns=True).unionByName(total, allowMissingColumns=True)
+
+
+@query(f"""WITH {BARS}, m AS (SELECT date, {', '.join(f"avg(CASE WHEN sector = '{s}' THEN close END) AS {s.lower()}" for s in ('AFRICA', 'ASIA', 'EUROPE'))} FROM bars GROUP BY date),
+f AS (SELECT date, {', '.join(f"last_value({c} IGNORE NULLS) OVER (ORDER BY date) AS {c}" for c in ('africa', 'asia', 'europe'))} FROM m)
+SELECT date, round(africa, 4) AS africa, round(asia, 4) AS asia, round(europe, 4) AS europe FROM f WHERE africa IS NOT NULL AND asia IS NOT NULL AND europe IS NOT NULL""")
+def price_matrix(spark, sf_dir):
+    """A date x sector matrix, gaps filled forward, leading incomplete dates dropped. It has a row a calendar date, so one ordered window fits."""
+    names = ["AFRICA", "ASIA", "EUROPE"]
+    m = bars_orders(spark, sf_dir).groupBy("date").pivot("sector", names).agg(F.avg("close"))
+    past = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    f = m.select("date", *[F.last(c, ignorenulls=True).over(past).alias(c.lower()) for c in names]).na.drop()
+    return f.select("date", *[F.round(c.lower(), 4).alias(c.lower()) for c in names])
+
+
+@query(f"""WITH {BARS}, a AS (SELECT *, {d.log_return()} AS lr FROM bars), b AS (SELECT *, coalesce({d.std('lr', 30)}, stddev_samp(lr) OVER (PARTITION BY symbol)) AS sd, avg(volume) OVER {d.w(30)} + 2.0 * stddev_samp(volume) OVER {d.w(30)} AS vlim, count(volume) OVER {d.w(30)} AS nv FROM a),
+c AS (SELECT *, (round(abs(lr), 9) >= round(1.2 * sd, 9)) OR (nv >= 30 AND round(volume, 6) >= round(vlim, 6)) AS keep FROM b), e AS (SELECT symbol, date, close, volume FROM c WHERE keep), n AS (SELECT symbol, count(*) AS n FROM e GROUP BY symbol)
+SELECT e.symbol, e.date, round(close, 2) AS close, volume FROM e JOIN n ON n.symbol = e.symbol WHERE n >= 60""")
+def event_bars(spark, sf_dir):
+    """Bars of large moves or volumes; symbols with fewer than 60 of them are left to the weekly bars."""
+    x = bars_orders(spark, sf_dir).withColumn("lr", w.log_return())
+    sd = F.coalesce(w.std("lr", 30), F.stddev_samp("lr").over(w.BY))
+    high = F.avg("volume").over(w.frame(30)) + 2.0 * F.stddev_samp("volume").over(w.frame(30))
+    big = F.coalesce(F.round(F.abs("lr"), 9) >= F.round(1.2 * sd, 9), F.lit(False)) | F.coalesce((F.count("volume").over(w.frame(30)) >= 30) & (F.round("volume", 6) >= F.round(high, 6)), F.lit(False))
+    x = x.withColumn("keep", big).where("keep").withColumn("n", F.count("*").over(w.BY)).where("n >= 60")
+    return x.select("symbol", "date", F.round("close", 2).alias("close"), "volume")
+
+
+@query("""WITH r AS (SELECT event_type AS namespace, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H-%M') ELSE strftime(ts, '%Y%m%dT%H%M%SZ') END AS run_id, CASE WHEN event_id % 2 = 0 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS t, event_id FROM events)
+SELECT namespace, arg_max(run_id, epoch(t) * 1e6 + event_id) AS latest_run, count(*) AS runs FROM r GROUP BY namespace""")
+def latest_run(spark, sf_dir):
+    """Run ids in two formats, the latest by its parsed time."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    x = e.select(F.col("event_type").alias("namespace"), "event_id", F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH-mm")).otherwise(F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")).alias("run_id"))
+    x = x.withColumn("at", connectors.parse_run_id(F.col("run_id")))
+    return x.groupBy("namespace").agg(F.max_by("run_id", F.struct("at", "event_id")).alias("latest_run"), F.count("*").alias("runs"))
