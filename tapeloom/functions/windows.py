@@ -10,13 +10,24 @@ import math
 
 from pyspark.sql import Column, Window, functions as F
 
-BY = Window.partitionBy("symbol")
-W = BY.orderBy("date")
-PAST = W.rowsBetween(Window.unboundedPreceding, 0)
+
+def __getattr__(name: str):
+    """BY (symbol), W (symbol; date) and PAST (all rows up to this one), made when asked for: they need a session."""
+    if name == "BY":
+        return Window.partitionBy("symbol")
+    if name == "W":
+        return Window.partitionBy("symbol").orderBy("date")
+    if name == "PAST":
+        return Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    raise AttributeError(name)
+
+
+def ordered():
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def frame(n: int):
-    return W.rowsBetween(-(n - 1), 0)
+    return ordered().rowsBetween(-(n - 1), 0)
 
 
 def _c(x) -> Column:
@@ -57,20 +68,20 @@ def zscore(x, n: int = 60) -> Column:
 
 
 def log_return(p="close") -> Column:
-    return F.ln(_c(p) / F.lag(_c(p)).over(W))
+    return F.ln(_c(p) / F.lag(_c(p)).over(ordered()))
 
 
 def change(x, k: int = 1) -> Column:
     """x over its value k rows ago, less 1."""
-    return ratio(_c(x), F.lag(_c(x), k).over(W)) - 1
+    return ratio(_c(x), F.lag(_c(x), k).over(ordered())) - 1
 
 
 def ffill(x) -> Column:
-    return F.last(_c(x), ignorenulls=True).over(PAST)
+    return F.last(_c(x), ignorenulls=True).over(ordered().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def bfill(x) -> Column:
-    return F.first(_c(x), ignorenulls=True).over(W.rowsBetween(0, Window.unboundedFollowing))
+    return F.first(_c(x), ignorenulls=True).over(ordered().rowsBetween(0, Window.unboundedFollowing))
 
 
 def ewm(x, alpha: float) -> Column:

@@ -60,7 +60,7 @@ def simulate(bars: pd.DataFrame, capital: float = 10_000_000.0, entry: float = 0
 def backtest(bars: DataFrame, **options) -> DataFrame:
     """simulate() over every symbol: the state runs from bar to bar, so a symbol is a group."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"symbol": key[0]} | simulate(rows.sort_values("date"), **options)])
 
     return bars.groupBy("symbol").applyInPandas(run, SCHEMA)

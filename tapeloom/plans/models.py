@@ -1 +1,72 @@
-"""To come."""
+"""Model queries: regimes, volatility, stationarity and the walk-forward signal of each symbol."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from tapeloom.functions import duck as d, windows as w
+from tapeloom.operators import models
+from tapeloom.plans import features as f
+from tapeloom.plans.registry import query
+from tapeloom.sources.bars import BARS, bars_orders
+
+
+def _returns(spark, sf_dir):
+    return bars_orders(spark, sf_dir).withColumn("lr", w.log_return()).where("lr IS NOT NULL").select("symbol", "date", "close", "lr")
+
+
+@query()
+def gmm_regime(spark, sf_dir):
+    x = _returns(spark, sf_dir).withColumn("vol", w.std("lr", 60) * math.sqrt(240))
+    return models.by_symbol(x, lambda r: dict(zip(("regime", "confidence"), models.regime(r["vol"].to_numpy(float)))), "regime string, confidence double")
+
+
+@query()
+def garch_volatility(spark, sf_dir):
+    fit = lambda r: dict(zip(("omega", "alpha", "beta", "next_vol"), models.garch(r["lr"].to_numpy(float)) if len(r) >= 60 else (None,) * 4))
+    return models.by_symbol(_returns(spark, sf_dir), fit, "omega double, alpha double, beta double, next_vol double")
+
+
+@query()
+def frac_diff_order(spark, sf_dir):
+    """Smallest stationary order of fractional differences of each symbol."""
+    return models.by_symbol(_returns(spark, sf_dir), lambda r: {"d": models.least_order(r["close"].to_numpy(float))}, "d double")
+
+
+FACTORS = ["dist_ma_z", "bb_position", "price_range_pos", "dist_sma200_z", "rsi", "adx", "ret_z", "vol_z", "drawdown_z"]
+
+
+def factor_frame(bars, up: float = 1.25, down: float = 2.5):
+    """Factors and the triple-barrier target of each bar: one shuffle by symbol, a projection on top of another."""
+    x = f.adx(f.rsi(f.reversion(bars)))
+    x = x.withColumns({"lr": w.log_return(), "dd": F.col("close") / F.max("close").over(w.PAST) - 1})
+    x = x.withColumns({"ret_z": w.zscore("lr", 126), "vol20": w.std("lr", 20), "drawdown_z": w.zscore("dd", 252)}).withColumn("vol_z", w.zscore("vol20", 252))
+    return f.triple_barrier(x, up=up, down=down).select("symbol", "date", *FACTORS, "target")
+
+
+@query(f"""WITH {BARS}, a AS (SELECT *, close / max(close) OVER {d.w()} - 1 AS dd, {d.log_return()} AS lr FROM bars), b AS (SELECT *, {d.std('lr', 20)} AS vol20 FROM a)
+SELECT symbol, date, round({d.zscore('lr', 126)}, 5) AS ret_z, round({d.zscore('vol20', 252)}, 5) AS vol_z, round({d.zscore('dd', 252)}, 5) AS drawdown_z FROM b""")
+def factor_assembly(spark, sf_dir):
+    x = factor_frame(bars_orders(spark, sf_dir))
+    return x.select("symbol", "date", *[F.round(c, 5).alias(c) for c in ("ret_z", "vol_z", "drawdown_z")])
+
+
+@query()
+def signal_model(spark, sf_dir):
+    """Walk-forward model of each symbol; near barriers, since these panels move by their own size from day to day."""
+    schema = "probability double, cv_score double, cv_std double, folds int, confidence double, top string, note string"
+    return models.by_symbol(factor_frame(bars_orders(spark, sf_dir), up=0.4, down=0.1), lambda r: models.walk_forward(r, FACTORS), schema)
+
+
+@query(f"""WITH {BARS}, a AS (SELECT symbol, date, {d.log_return()} AS lr FROM bars), b AS (SELECT symbol, lr, CASE WHEN lead(lr) OVER ({d.OVER}) > 0 THEN 1 ELSE 0 END AS y, year(date) AS yr FROM a WHERE lr IS NOT NULL),
+c AS (SELECT *, count(*) OVER (PARTITION BY symbol) / (2.0 * count(*) OVER (PARTITION BY symbol, y)) AS cw FROM b)
+SELECT symbol, y, count(*) AS n, round(avg(cw), 6) AS class_weight, round(avg(CASE WHEN yr < 2018 THEN 0.6 ELSE 1.0 END), 6) AS era_weight FROM c GROUP BY 1, 2""")
+def sample_weights(spark, sf_dir):
+    """Balanced class weights and era weights."""
+    from pyspark.sql import Window
+
+    x = _returns(spark, sf_dir).withColumn("y", F.when(F.lead("lr").over(w.W) > 0, 1).otherwise(0))
+    x = x.withColumn("cw", F.count("*").over(w.BY) / (2.0 * F.count("*").over(Window.partitionBy("symbol", "y"))))
+    return x.groupBy("symbol", "y").agg(F.count("*").alias("n"), F.round(F.avg("cw"), 6).alias("class_weight"), F.round(F.avg(models.era_weight()), 6).alias("era_weight"))

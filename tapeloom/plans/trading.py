@@ -195,4 +195,4 @@ def t2_backtest(spark, sf_dir):
     from tapeloom.plans.features import atr
 
     x = atr(history(spark, sf_dir)).select("symbol", "date", "close", "high", "low", "volume", "atr", "prob", "lr")
-    return broker.backtest(x)
+    return broker.backtest(x, capital=2e9)
