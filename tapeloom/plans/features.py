@@ -314,6 +314,6 @@ def triple_barrier(bars, horizon: int = 21, up: float = 1.25, down: float = 2.5)
 @query(f"""WITH {BARS}, a AS (SELECT *, {d.log_return()} AS lr FROM bars), b AS (SELECT *, coalesce({d.std('lr', 20)}, 0.02) * sqrt(21) AS vol FROM a),
 c AS (SELECT *, list(close) OVER ({d.OVER} ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING) AS ahead, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM b),
 e AS (SELECT *, coalesce(list_position([v >= close * (1 + 1.25 * vol) FOR v IN ahead], true), 0) AS up, coalesce(list_position([v <= close * (1 - 2.5 * vol) FOR v IN ahead], true), 0) AS dn FROM c)
-SELECT symbol, date, round(vol, 6) AS vol, CASE WHEN rn > 22 AND volume > 0 THEN CASE WHEN up > 0 AND (dn = 0 OR up < dn) THEN 1.0 WHEN dn > 0 THEN 0.0 END END AS target FROM e""")
+SELECT symbol, date, round(vol, 6) AS vol, CASE WHEN rn > 22 AND volume > 0 THEN CASE WHEN up > 0 AND (dn = 0 OR up < dn) THEN 1.0 WHEN dn > 0 THEN 0.0 END END::DOUBLE AS target FROM e""")
 def triple_barrier_labels(spark, sf_dir):
     return _select(triple_barrier(bars_orders(spark, sf_dir)), vol=_r("vol"), target=F.col("target"))

@@ -71,13 +71,13 @@ def fan_chart(spark, sf_dir):
     return x.select("symbol", "day", *[_r(F.col("q")[k]).alias(f"p{p}") for k, p in enumerate((5, 25, 50, 75, 95))])
 
 
-@query(f"""WITH {PATHS}, b AS (SELECT symbol, min(ret) AS lo, max(ret) AS hi FROM term GROUP BY symbol), x AS (SELECT symbol, least(floor((ret - lo) / ((hi - lo) / 40)), 39)::INT AS bin, lo, hi FROM term JOIN b USING (symbol))
+@query(f"""WITH {PATHS}, b AS (SELECT symbol, min(ret) AS lo, max(ret) AS hi FROM term GROUP BY symbol), x AS (SELECT symbol, coalesce(least(floor((ret - lo) / CASE WHEN hi - lo > 1e-9 THEN (hi - lo) / 40 END), 39), 0)::INT AS bin, lo, hi FROM term JOIN b USING (symbol))
 SELECT symbol, bin, round(any_value(lo + bin * (hi - lo) / 40), 6) AS edge, count(*) AS n FROM x GROUP BY symbol, bin""")
 def histogram(spark, sf_dir):
     """Forty bins of equal width between the extremes; the last one is closed."""
     s = Window.partitionBy("symbol")
     x = terminals(spark, sf_dir).withColumns({"lo": F.min("ret").over(s), "hi": F.max("ret").over(s)})
-    x = x.withColumn("bin", F.least(F.floor((F.col("ret") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 40)), F.lit(39)).cast("int"))
+    x = x.withColumn("bin", F.coalesce(F.least(F.floor((F.col("ret") - F.col("lo")) / F.when(F.col("hi") - F.col("lo") > 1e-9, (F.col("hi") - F.col("lo")) / 40)), F.lit(39)), F.lit(0)).cast("int"))
     return x.groupBy("symbol", "bin").agg(_r(F.first(F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / 40)).alias("edge"), F.count("*").alias("n"))
 
 
@@ -139,14 +139,14 @@ def crra_grid(spark, sf_dir):
 
 
 @query(f"""WITH {PATHS}, l AS (SELECT symbol, arg_max(close, date) AS last FROM bars GROUP BY symbol)
-SELECT symbol, round(any_value(last) * 0.8, 2) AS stressed, round(avg(CASE WHEN ret <= -0.2 THEN 1.0 ELSE 0.0 END), 6) AS p_shock20, round(avg(CASE WHEN ret <= -0.1 THEN 1.0 ELSE 0.0 END), 6) AS p_shock10, round(kurtosis_pop(ret), 5) AS kurt,
+SELECT symbol, round(any_value(last) * 0.8, 2) AS stressed, round(avg(CASE WHEN ret <= -0.2 THEN 1.0 ELSE 0.0 END), 6) AS p_shock20, round(avg(CASE WHEN ret <= -0.1 THEN 1.0 ELSE 0.0 END), 6) AS p_shock10, round(CASE WHEN var_pop(ret) > 1e-12 THEN kurtosis_pop(ret) END, 5) AS kurt,
     round(any_value(last) * quantile_cont(1 + ret, 0.05), 2) AS low_price FROM term JOIN l USING (symbol) GROUP BY symbol""")
 def stress_scenario(spark, sf_dir):
     """Shocked price, chances of shocks, kurtosis of terminal returns."""
     last = bars_orders(spark, sf_dir).groupBy("symbol").agg(F.max_by("close", "date").alias("last"))
     x = terminals(spark, sf_dir).join(last, "symbol")
     p = lambda v: _r(F.avg(F.when(F.col("ret") <= v, 1.0).otherwise(0.0)))
-    return x.groupBy("symbol").agg(_r(F.first("last") * 0.8, 2).alias("stressed"), p(-0.2).alias("p_shock20"), p(-0.1).alias("p_shock10"), _r(F.kurtosis("ret"), 5).alias("kurt"), _r(F.first("last") * F.percentile(1 + F.col("ret"), F.lit(0.05)), 2).alias("low_price"))
+    return x.groupBy("symbol").agg(_r(F.first("last") * 0.8, 2).alias("stressed"), p(-0.2).alias("p_shock20"), p(-0.1).alias("p_shock10"), _r(F.when(F.var_pop("ret") > 1e-12, F.kurtosis("ret")), 5).alias("kurt"), _r(F.first("last") * F.percentile(1 + F.col("ret"), F.lit(0.05)), 2).alias("low_price"))
 
 
 @query(f"""WITH {_CLIP}, a AS (SELECT symbol, avg(r) AS mu, stddev_samp(r) AS sd FROM h GROUP BY symbol)

@@ -119,7 +119,7 @@ def calendar_scrub(spark, sf_dir):
 
 @query(f"""WITH {_CAL}, a AS (SELECT *, close - {d.lag('close')} AS step FROM cal),
 h AS (SELECT symbol, count(close) AS trading_days, avg(CASE WHEN close IS NULL THEN 1.0 ELSE 0.0 END) AS missing, avg(CASE WHEN step IS NOT NULL THEN CASE WHEN abs(step) < 1e-8 THEN 1.0 ELSE 0.0 END END) AS flat, median(volume) AS mv, median(close * volume) AS ml, min(CASE WHEN volume > 0 THEN date END) AS first_trade FROM a GROUP BY symbol)
-SELECT symbol, trading_days, round(missing, 6) AS missing_close_pct, round(flat, 6) AS flat_close_pct, round(mv, 4) AS median_volume, round(ml, 2) AS median_liquidity, first_trade,
+SELECT symbol, trading_days, round(missing, 6) AS missing_close_pct, round(flat, 6) AS flat_close_pct, round(mv, 4) AS median_volume, round(ml, 4) AS median_liquidity, first_trade,
     CASE WHEN trading_days >= 250 AND missing < 0.7 THEN 'standard' WHEN trading_days >= 120 THEN 'emerging' ELSE 'insufficient' END AS tier,
     array_to_string(list_filter([CASE WHEN trading_days < 250 THEN 'short history' END, CASE WHEN missing >= 0.7 THEN 'missing closes' END, CASE WHEN flat > 0.3 THEN 'flat closes' END, CASE WHEN mv < 2 THEN 'thin volume' END], lambda x: x IS NOT NULL), ',') AS reasons FROM h""")
 def symbol_health(spark, sf_dir):
@@ -132,13 +132,13 @@ def symbol_health(spark, sf_dir):
     )
     tier = F.when((F.col("trading_days") >= 250) & (F.col("missing") < 0.7), "standard").when(F.col("trading_days") >= 120, "emerging").otherwise("insufficient")
     why = F.array_compact(F.array(F.when(F.col("trading_days") < 250, "short history"), F.when(F.col("missing") >= 0.7, "missing closes"), F.when(F.col("flat") > 0.3, "flat closes"), F.when(F.col("mv") < 2, "thin volume")))
-    return x.select("symbol", "trading_days", _r("missing").alias("missing_close_pct"), _r("flat").alias("flat_close_pct"), _r("mv", 4).alias("median_volume"), _r("ml", 2).alias("median_liquidity"), "first_trade", tier.alias("tier"), F.array_join(why, ",").alias("reasons"))
+    return x.select("symbol", "trading_days", _r("missing").alias("missing_close_pct"), _r("flat").alias("flat_close_pct"), _r("mv", 4).alias("median_volume"), _r("ml", 4).alias("median_liquidity"), "first_trade", tier.alias("tier"), F.array_join(why, ",").alias("reasons"))
 
 
 @query(f"""WITH {BARS}, m AS (SELECT symbol, sector, median(volume) AS v, median(close * volume) AS l, avg(CASE WHEN volume <= 1 THEN 1.0 ELSE 0.0 END) AS z FROM bars GROUP BY 1, 2)
-SELECT sector, count(*) AS symbols, round(greatest(quantile_cont(v, 0.25), 1.0), 4) AS min_volume, round(greatest(quantile_cont(l, 0.25), 50000.0), 2) AS min_liquidity, round(least(greatest(quantile_cont(z, 0.7), 0.1), 0.6), 6) AS max_zero_volume FROM m GROUP BY sector""")
+SELECT sector, count(*) AS symbols, round(greatest(quantile_cont(v, 0.25), 1.0), 4) AS min_volume, round(greatest(quantile_cont(l, 0.25), 50000.0), 6) AS min_liquidity, round(least(greatest(quantile_cont(z, 0.7), 0.1), 0.6), 6) AS max_zero_volume FROM m GROUP BY sector""")
 def sector_liquidity_thresholds(spark, sf_dir):
     """Two-level statistics: medians of symbols, then their quartiles by sector, within floors and caps."""
     m = bars_orders(spark, sf_dir).groupBy("symbol", "sector").agg(F.median("volume").alias("v"), F.median(F.col("close") * F.col("volume")).alias("l"), F.avg(F.when(F.col("volume") <= 1, 1.0).otherwise(0.0)).alias("z"))
     q = lambda c, p: F.percentile(c, F.lit(p))
-    return m.groupBy("sector").agg(F.count("*").alias("symbols"), _r(F.greatest(q("v", 0.25), F.lit(1.0)), 4).alias("min_volume"), _r(F.greatest(q("l", 0.25), F.lit(50000.0)), 2).alias("min_liquidity"), _r(F.least(F.greatest(q("z", 0.7), F.lit(0.1)), F.lit(0.6))).alias("max_zero_volume"))
+    return m.groupBy("sector").agg(F.count("*").alias("symbols"), _r(F.greatest(q("v", 0.25), F.lit(1.0)), 4).alias("min_volume"), _r(F.greatest(q("l", 0.25), F.lit(50000.0)), 6).alias("min_liquidity"), _r(F.least(F.greatest(q("z", 0.7), F.lit(0.1)), F.lit(0.6))).alias("max_zero_volume"))
