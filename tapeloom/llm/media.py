@@ -25,8 +25,6 @@ from tapeloom.llm.common import text_slices
 
 WIDTH = 192
 PAD = 32
-#: Parts that the references to one payload are dealt to.
-SALTS = 16
 ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
 _DIGEST = re.compile(r"(?:digest:|sha256[-:])([0-9a-f]{64})", re.ASCII)
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -196,7 +194,9 @@ def references(pages: DataFrame) -> DataFrame:
 
 
 def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
-    """References with the columns of the media table (small ones: `read_back`'s). Salted: one digest may hold most rows."""
-    own = refs.withColumn("salt", F.pmod(F.xxhash64("row", "position"), F.lit(SALTS)).cast("int"))
-    salted = media.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return own.join(salted, ["digest", "salt"], "left").drop("salt")
+    """References with the columns of the media table (small ones: `read_back`'s).
+
+    Both sides come from Python and are dealt by the join itself, so that adaptive execution can split a digest that holds
+    most references.
+    """
+    return refs.join(media, "digest", "left")
