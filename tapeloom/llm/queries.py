@@ -101,8 +101,9 @@ FROM c LEFT JOIN root ON root.a = c.class_id LEFT JOIN degree ON degree.a = c.cl
     # Two hexadecimal digits a byte: 100 bytes are 200 digits.
     "op6_suffix_array_dedup": """
 WITH t AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
-    w AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS i FROM t),
-    dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5_number(substr(x, 2 * i + 1, 200)) ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+    h AS (SELECT doc_id, [md5_number(substr(x, 2 * i + 1, 200)) FOR i IN range(0, greatest(len(x) // 2 - 99, 0))] AS hs FROM t),
+    w AS (SELECT doc_id, unnest(hs) AS h, unnest(range(0, len(hs))) AS i FROM h),
+    dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
     edge AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM dup),
     run AS (SELECT doc_id, i, sum(CASE WHEN last IS NULL OR i > last + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM edge),
     span AS (SELECT doc_id, min(i) AS b, max(i) + 100 AS e FROM run GROUP BY doc_id, k),
