@@ -317,3 +317,24 @@ e AS (SELECT *, coalesce(list_position([v >= close * (1 + 1.25 * vol) FOR v IN a
 SELECT symbol, date, round(vol, 6) AS vol, CASE WHEN rn > 22 AND volume > 0 THEN CASE WHEN up > 0 AND (dn = 0 OR up < dn) THEN 1.0 WHEN dn > 0 THEN 0.0 END END::DOUBLE AS target FROM e""")
 def triple_barrier_labels(spark, sf_dir):
     return _select(triple_barrier(bars_orders(spark, sf_dir)), vol=_r("vol"), target=F.col("target"))
+
+
+def drop_constant(x, columns: list[str], least: float = 1e-9):
+    """x without the columns whose deviation is at most `least`; all of them where every one is constant."""
+    sd = x.agg(*[F.stddev_samp(c).alias(c) for c in columns]).first()
+    flat = [c for c in columns if sd[c] is None or sd[c] <= least]
+    return x.drop(*flat) if len(flat) < len(columns) else x
+
+
+@query(f"""WITH {BARS}, a AS (SELECT *, close - {d.lag('close')} AS step, {d.log_return()} AS lr FROM bars), b AS (SELECT *, greatest(step, 0.0) AS u0, greatest(-step, 0.0) AS d0 FROM a),
+c AS (SELECT *, CASE WHEN step IS NOT NULL THEN u0 END AS up, CASE WHEN step IS NOT NULL THEN d0 END AS down FROM b), e AS (SELECT symbol, date, {d.ewm('up', 1 / 14)} AS gain, {d.ewm('down', 1 / 14)} AS loss, {d.std('lr', 20)} AS s20, {d.std('lr', 120)} AS s120 FROM c),
+f AS (SELECT symbol, date, coalesce(100.0 - 100.0 / (1.0 + gain / nullif(loss, 0)), 50.0) AS rsi, least(greatest(s20 / nullif(s120, 0), 0), 5) AS vr, s20 / nullif(s120, 0) AS v0 FROM e),
+g AS (SELECT symbol, round(arg_max(rsi, date), 9) AS rsi, round((SELECT arg_max(vr, date) FROM f x WHERE x.symbol = f.symbol AND v0 IS NOT NULL), 9) AS vr FROM f GROUP BY symbol)
+SELECT symbol, round(rsi, 6) AS rsi, round(vr, 6) AS vol_ratio, CASE WHEN vr IS NULL THEN 'normal' WHEN rsi >= 55 AND vr >= 1.05 THEN 'trend' WHEN rsi <= 45 AND vr <= 0.95 THEN 'choppy' ELSE 'normal' END AS regime FROM g""")
+def barrier_regime(spark, sf_dir):
+    """Regime of the barriers from the last strength index and the last ratio of short to long volatility."""
+    x = rsi(bars_orders(spark, sf_dir)).withColumn("lr", w.log_return())
+    x = x.withColumn("vr", w.clamp(w.ratio(w.std("lr", 20), w.std("lr", 120)), 0.0, 5.0))
+    x = x.groupBy("symbol").agg(_r(F.max_by("rsi", "date"), 9).alias("rsi"), _r(F.max_by("vr", F.when(F.col("vr").isNotNull(), F.col("date"))), 9).alias("vr"))
+    kind = F.when(F.col("vr").isNull(), "normal").when((F.col("rsi") >= 55) & (F.col("vr") >= 1.05), "trend").when((F.col("rsi") <= 45) & (F.col("vr") <= 0.95), "choppy").otherwise("normal")
+    return x.select("symbol", _r("rsi").alias("rsi"), _r("vr").alias("vol_ratio"), kind.alias("regime"))

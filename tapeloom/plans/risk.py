@@ -185,3 +185,13 @@ def mc_ou(spark, sf_dir):
 @query()
 def mc_jump(spark, sf_dir):
     return _simulated(spark, sf_dir, "jump")
+
+
+@query()
+def mc_blend(spark, sf_dir):
+    """Expected return and shortfall of a horizon: normal and heavy-tailed simulations in equal parts."""
+    params = _params(spark, sf_dir)
+    both = mc.simulate(params, "gbm").unionByName(mc.simulate(params, "gbm", df=5.0, seed=8))
+    q = F.percentile("ret", F.lit(0.05)).over(Window.partitionBy("symbol"))
+    x = both.withColumn("q", q)
+    return x.groupBy("symbol").agg(_r(F.avg("ret")).alias("expected_return"), _r(-F.avg(F.when(F.col("ret") <= F.col("q"), F.col("ret")))).alias("expected_shortfall"))

@@ -67,6 +67,25 @@ def read_artifacts(spark: SparkSession, path: str, schema: str, symbols: list[st
     return x.select("symbol", F.from_json("value", schema).alias("record")).select("symbol", "record.*")
 
 
+def read_symbols(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct symbols of a CSV's symbol or ticker column, else of its first column; a file without a comma is a list."""
+    head = spark.read.text(path).head(1)
+    names = [c.strip() for c in head[0][0].split(",")] if head else []
+    known = [c for c in names if c.lower() in ("symbol", "ticker")]
+    if known or len(names) > 1:
+        x = spark.read.csv(path, header=True).select(F.col(known[0] if known else names[0]).alias("symbol"))
+    else:
+        x = spark.read.text(path).select(F.col("value").alias("symbol"))
+    return x.select(F.upper(F.trim("symbol")).alias("symbol")).where("symbol <> ''").distinct()
+
+
+def pick_symbols(symbols: DataFrame, limit: int | None = None, sample: int | None = None, seed: int = 7) -> DataFrame:
+    """All symbols, a seeded random choice of `sample`, or the first `limit`."""
+    if sample is not None:
+        symbols = symbols.orderBy(F.xxhash64("symbol", F.lit(seed))).limit(sample)
+    return symbols.orderBy("symbol").limit(limit) if limit is not None else symbols
+
+
 def parse_run_id(run_id) -> F.Column:
     """Time of a run id in either of its two formats."""
     return F.coalesce(F.try_to_timestamp(run_id, F.lit("yyyy-MM-dd'T'HH-mm")), F.try_to_timestamp(run_id, F.lit("yyyyMMdd'T'HHmmss'Z'")))

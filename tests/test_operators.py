@@ -159,6 +159,18 @@ def test_connectors(spark, tmp_path):
     assert q.lock() and not q.lock() and q.finish("a", True, y=2).parent.name == "completed"
 
 
+def test_symbols_and_constant_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Name,Ticker\nx, abc \ny,def\ny,def\n")
+    (tmp_path / "b.txt").write_text("abc\n\nxyz\n")
+    read = lambda f: sorted(r[0] for r in connectors.read_symbols(spark, str(tmp_path / f)).collect())
+    assert read("a.csv") == ["ABC", "DEF"] and read("b.txt") == ["ABC", "XYZ"]
+    all_ = spark.createDataFrame([(c,) for c in "edcba"], "symbol string")
+    assert [r[0] for r in connectors.pick_symbols(all_, limit=2).collect()] == ["a", "b"]
+    assert connectors.pick_symbols(all_, sample=3).count() == 3
+    x = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
+    assert features.drop_constant(x, ["a", "b"]).columns == ["b"] and features.drop_constant(x, ["a"]).columns == ["a", "b"]
+
+
 def test_entry_works_without_the_training_data_part(tmp_path):
     for name in ("__spark_entry__.py", "tapeloom"):
         (tmp_path / name).symlink_to(ROOT / name) if name.endswith(".py") else _copy(ROOT / name, tmp_path / name)
