@@ -30,7 +30,7 @@ from tapeloom.llm.common import RangeHash, cut, mix, text_slices, utf8
 
 LENGTH = 100
 COVER = 24
-HOT = 512
+HOT = 8192
 #: Sample positions that a task compares among themselves before it sends them on.
 LOCAL_ROWS = 1_500_000
 _POSITION_BITS = 24
