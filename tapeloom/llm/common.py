@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Text bytes that one vectorised step handles; a longer text stands alone.
 SLICE_BYTES = 4 << 20
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,6 +21,8 @@ other columns are not read.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -272,8 +274,8 @@ def _resolve(batches):
         yield out(pa.Table.from_batches(held).combine_chunks(), True)[1]
 
 
-def _cut_out(batches):
-    """doc_id, n_bytes, removed runs and what is kept of each text."""
+def _cut_out(batches, whole: bool = False):
+    """doc_id, n_bytes, removed runs and what is kept of each text; whole: a character that loses a byte goes whole."""
     for part in text_slices(batches):
         offs, data = utf8(part.column("text"))
         size = np.diff(offs)
@@ -297,14 +299,20 @@ def _cut_out(batches):
         owner = np.searchsorted(offs, begin, "right") - 1
         spans = pa.StructArray.from_arrays([pa.array(begin - offs[owner]), pa.array(stop - offs[owner])], ["start", "end"])
         to = np.r_[0, np.cumsum(np.bincount(owner, minlength=part.num_rows))]
+        if whole and len(data):
+            char = np.cumsum((data & 0xC0) != 0x80)
+            gone |= (np.bincount(char, gone) > 0)[char]
         kept_ends = np.r_[0, np.cumsum(~gone)][offs]
         kept = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(kept_ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
         cols = [part.column("doc_id").combine_chunks(), pa.array(size), pa.ListArray.from_arrays(pa.array(to, pa.int32()), spans), kept.cast(pa.binary()), part.column("row").combine_chunks()]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "spans", "kept", "row"])
 
 
-def dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, spans (removed byte ranges), kept (remaining bytes) and row (the columns in carry) of every row."""
+def dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+    """doc_id, n_bytes, spans (removed byte ranges), kept (remaining bytes) and row (the columns in carry) of every row.
+
+    With whole_characters, kept is valid UTF-8: a character that loses one of its bytes goes whole.
+    """
     row = F.struct(F.lit(0).alias("_"), *[docs[c] for c in carry]).alias("row")
     own = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), row)
     named, nameless = own.where("doc_id IS NOT NULL"), own.where("doc_id IS NULL")
@@ -325,4 +333,4 @@ def dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", carry: tu
     found = named.join(runs.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "row", "runs")
     whole = nameless.select("doc_id", "text", "row", F.lit(None).cast("array<struct<start:long,n:int>>").alias("runs"))
     kind = own.schema["row"].dataType.simpleString()
-    return found.unionByName(whole).mapInArrow(_cut_out, f"doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, row {kind}")
+    return found.unionByName(whole).mapInArrow(functools.partial(_cut_out, whole=whole_characters), f"doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, row {kind}")

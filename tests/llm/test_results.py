@@ -48,7 +48,7 @@ def similar_groups(texts: dict[int, str]) -> tuple[dict[int, int], Counter]:
     return {k: root[c] for k, c in cls.items()}, Counter({k: links[c] for k, c in cls.items()})
 
 
-def kept_bytes(texts: dict[int, str], n: int = 100) -> dict[int, bytes]:
+def kept_bytes(texts: dict[int, str], n: int = 100, whole: bool = False) -> dict[int, bytes]:
     seen, out = set(), {}
     for k in sorted(texts):
         b = texts[k].encode()
@@ -58,7 +58,14 @@ def kept_bytes(texts: dict[int, str], n: int = 100) -> dict[int, bytes]:
                 edge[i] += 1
                 edge[i + n] -= 1
             seen.add(b[i : i + n])
-        out[k] = bytes(np.frombuffer(b, np.uint8)[np.cumsum(edge[:-1]) <= 0])
+        stay = np.cumsum(edge[:-1]) <= 0
+        if whole:
+            at = 0
+            for c in texts[k]:
+                size = len(c.encode())
+                stay[at : at + size] = stay[at : at + size].all()
+                at += size
+        out[k] = bytes(np.frombuffer(b, np.uint8)[stay])
     return out
 
 
@@ -280,7 +287,7 @@ def test_pipeline_against_brute_force(spark, small):
     left = {k: t for k, t in texts.items() if re.search(r"[^\W\d_]", t) and share(t) >= corpus_pipeline.MAIN_LANGUAGE}
     group, _ = similar_groups(left)
     left = {k: t for k, t in left.items() if group[k] == k}
-    left = {k: b.decode("utf-8", "ignore") for k, b in kept_bytes(left).items()}
+    left = {k: b.decode() for k, b in kept_bytes(left, whole=True).items()}
     items = [shingle_set(r.text) for r in table(spark, SMALL, "benchmark").collect()]
     left = {k: t for k, t in left.items() if not any(s and len(s & shingle_set(t)) >= 0.8 * len(s) for s in items)}
     tok = Tokenizer.from_file(BPE)
