@@ -5,7 +5,6 @@ Each stage takes the previous one's rows and, but for the last, returns the colu
 
 from __future__ import annotations
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,11 +35,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Remove the bytes of repeated 100-byte strings; a character cut in two goes whole."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
 
-    @F.pandas_udf("string")
-    def decode(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    found = suffix_dedup.dedup(docs, carry=others).withColumn("text", decode("kept"))
+    found = suffix_dedup.dedup(docs, carry=others, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
     made = {"n_chars": F.char_length("text").cast("long")} | {c: F.col("row")[c] for c in others}
     return found.select(*[made[c].alias(c) if c in made else c for c in docs.columns])
 
