@@ -231,6 +231,29 @@ def test_passages(spark):
     assert r.start_word <= 505 and r.end_word >= 560 and 0.8 <= r.identity < 1
 
 
+def test_passages_of_every_holder(spark):
+    rng = np.random.default_rng(7)
+    words = iter("".join(x) for x in rng.choice(list("abcdefghijklmnop"), (40_000, 9)))
+    make = lambda n: [next(words) for _ in range(n)]
+    whole, line, late, split = make(60), make(20), make(30), make(60)
+    texts = {1: whole[:30] + make(30), 2: whole[30:] + make(30), 3: make(9) + whole + make(9), 4: make(20) + whole + make(5)}
+    # a line of 40 documents before and after which two of them agree, with other holders between them
+    texts |= {k: make(30) + line + make(30) for k in range(10, 50)}
+    both = make(12) + line + make(12)
+    texts[25], texts[44] = make(50) + both + make(40), make(15) + both + make(50)
+    # 60: the first holder of late[:20] has it again, in a passage that 59 holds elsewhere
+    texts |= {59: make(40) + late[20:] + late[:20] + make(10) + late, 60: make(5) + late[:20] + make(80) + late[20:] + late[:20] + make(3) + late}
+    texts |= {k: split[:30] + make(40) if k % 2 else make(40) + split[30:] for k in range(70, 110)}
+    texts |= {90: make(10) + split + make(10), 105: make(33) + split + make(3)}
+    rows = [(k, " ".join(v)) for k, v in texts.items()]
+    for parts in (1, 7):
+        got = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        found = {(r.doc_id, r.source_id): (r.start_word, r.end_word, r.source_start, r.source_end) for r in got}
+        assert found[4, 3] == (20, 80, 9, 69) and found[44, 25] == (15, 59, 50, 94) and found[105, 90] == (33, 93, 10, 70)
+        assert any(r.doc_id == 60 and r.start_word <= 105 and r.end_word >= 135 for r in got)
+        assert {d for d, _ in found} == {4, 44, 60, 105}
+
+
 def test_chains_against_all_orders():
     from itertools import combinations
 
