@@ -271,6 +271,23 @@ def test_chains_against_all_orders():
         assert abs(score - best) < 1e-9
 
 
+def test_chains_within_reach_against_all_orders():
+    from itertools import combinations
+
+    # a longer passage before must not hide the nearer segment
+    assert sorted(chaining.chain([(0, 0, 294), (370, 370, 23), (400, 401, 24)])) == [[0], [1, 2]]
+    rng = np.random.default_rng(8)
+    cost = lambda c: sum(s[2] + chaining.SEED_WORDS for s in c) - chaining.GAP_COST * sum(y[0] - x[0] - x[2] + y[1] - x[1] - x[2] for x, y in zip(c, c[1:]))
+    reach = chaining.MAX_GAP + chaining.SEED_WORDS
+    fits = lambda c: all(0 < y[k] - x[k] - x[2] <= reach for x, y in zip(c, c[1:]) for k in (0, 1))
+    for _ in range(200):
+        a, n = rng.integers(0, 600, 9), rng.integers(0, 90, 9)
+        seg = sorted({(int(x), int(max(0, x + y)), int(z)) for x, y, z in zip(a, rng.integers(-9, 9, 9), n)})
+        best = max(cost(c) for k in range(1, len(seg) + 1) for c in combinations(seg, k) if fits(c))
+        chains = [[seg[i] for i in c] for c in chaining.chain(seg)]
+        assert abs(cost(chains[0]) - best) < 1e-9 and all(map(fits, chains)) and sorted(sum(chains, [])) == seg
+
+
 def test_lexicon_and_features(spark):
     rows = [(f"you are such an idi0t loser {i} word", 1) for i in range(30)] + [(f"a calm text about number {i} word", 0) for i in range(60)]
     lex = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
