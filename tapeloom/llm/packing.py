@@ -3,8 +3,8 @@
 A document of n ids is estimated to cost LINEAR * n + QUADRATIC * n * n (feed-forward and attention).
 Each task packs its own documents in groups of about GROUP_TOKENS ids, so nothing is shuffled and memory
 is bounded by a group. Within a group, documents are taken in descending order and put into the cheapest
-sequence with room; one that fits nowhere is cut over the cheapest sequences, so a group leaves less than one
-sequence of padding.
+sequence with room (of equally cheap ones, the fullest); only one that fits nowhere is cut over the cheapest
+sequences, so a group leaves less than one sequence of padding.
 
 Defined cases: a null or empty text is the end id alone; equal texts are packed one by one; a text longer than
 a sequence is cut at whole sequences first; an empty table gives no piece; other columns are not read.
@@ -70,31 +70,28 @@ def pack_group(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarra
         if n % sequence:
             rest.append((n % sequence, d, whole * sequence))
     rest.sort(key=lambda x: (-x[0], x[1]))
-    fill = dict.fromkeys(range(used, used + -(-sum(x[0] for x in rest) // sequence)), 0)
-    heap = [(0.0, s) for s in fill]
-    for n, d, start in rest:
-        aside = []
-        while heap and len(aside) < 32:
-            cost, s = heapq.heappop(heap)
-            aside.append((cost, s))
-            if fill[s] + n <= sequence:
-                aside = [(-1.0, s), *aside[:-1], (cost, s)]
-                break
-        # the sequence with room alone, else the cheapest ones one after another
-        order = [aside[-1]] if aside[0][0] < 0 else sorted(aside)
-        back = [x for x in (aside[1:-1] if aside[0][0] < 0 else [])]
-        at = start
+    count = -(-sum(x[0] for x in rest) // sequence)
+    # sequences by room left, each heap with the cheapest on top; least has the cost on top of each
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(sequence + 1)]
+    heaps[sequence] = [(0.0, s) for s in range(used, used + count)]
+    least = np.full(sequence + 1, np.inf)
+    least[sequence] = 0.0 if count else np.inf
+    for n, d, at in rest:
+        broken = False
         while n:
-            cost, s = order.pop(0) if order else heapq.heappop(heap)
-            take = min(n, sequence - fill[s])
-            pieces.append((d, at, take, s, fill[s]))
-            fill[s] += take
-            at, n = at + take, n - take
-            if fill[s] < sequence:
-                back.append((cost + LINEAR * take + QUADRATIC * take * take, s))
-        for x in [*back, *order]:
-            heapq.heappush(heap, x)
-    return np.array(pieces, np.int64).reshape(-1, 5), used + len(fill)
+            room = n + int(least[n:].argmin())
+            if broken or least[room] == np.inf:  # no sequence has room: cut over the cheapest
+                broken = True
+                room = 1 + int(least[1:].argmin())
+            cost, s = heapq.heappop(heaps[room])
+            least[room] = heaps[room][0][0] if heaps[room] else np.inf
+            take = min(n, room)
+            pieces.append((d, at, take, s, sequence - room))
+            at, n, room = at + take, n - take, room - take
+            if room:
+                heapq.heappush(heaps[room], (cost + LINEAR * take + QUADRATIC * take * take, s))
+                least[room] = heaps[room][0][0]
+    return np.array(pieces, np.int64).reshape(-1, 5), used + count
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, text: str = "text", key: str = "doc_id", sequence: int = SEQUENCE, group_tokens: int = GROUP_TOKENS) -> DataFrame:

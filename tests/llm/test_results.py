@@ -179,6 +179,23 @@ def test_pack_group_costs():
     assert cost.max() < 1.15 * cost.mean()
 
 
+def test_pack_group_against_all_sequences():
+    rng = np.random.default_rng(3)
+    lengths = np.minimum(rng.lognormal(np.log(400), 1, 3000).astype(int) + 1, 9000)
+    p, n = packing.pack_group(lengths)
+    # replay: a document goes to a cheapest sequence with room; only if there is none, it is cut over the cheapest
+    first = int((lengths // packing.SEQUENCE).sum())
+    fill, cost, left, cut = np.zeros(n, int), np.zeros(n), lengths % packing.SEQUENCE, np.zeros(len(lengths), bool)
+    fill[:first] = packing.SEQUENCE
+    for d, _, take, s, offset in p[first:].tolist():
+        room = packing.SEQUENCE - fill
+        cut[d] |= not (room >= left[d]).any()
+        among = room > 0 if cut[d] else room >= left[d]
+        assert offset == fill[s] and take == min(left[d], room[s]) and among[s] and cost[s] == cost[among].min()
+        fill[s], cost[s], left[d] = fill[s] + take, cost[s] + packing.LINEAR * take + packing.QUADRATIC * take * take, left[d] - take
+    assert not left.any() and cut.any()
+
+
 def test_sharding_map(spark):
     placed = sharding.shard_rows(table(spark, MEDIUM, "documents")).toPandas()
     load = placed.groupby("shard")["size"].sum()
