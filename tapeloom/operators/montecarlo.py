@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 CHUNK = 2_000
+#: Paths and days of the risk job.
+SIMS, DAYS = 100_000, 240
 
 
 def kernel(model: str, mu: float, sigma: float, days: int, sims: int, rng: np.random.Generator, *, df: float = 0.0, rho: float = 0.0, kappa: float = 0.05, jump_rate: float = 0.02, jump_mean: float = -0.03, jump_std: float = 0.05, vols: np.ndarray | None = None) -> np.ndarray:
@@ -32,7 +34,7 @@ def kernel(model: str, mu: float, sigma: float, days: int, sims: int, rng: np.ra
     return x
 
 
-def simulate(params: DataFrame, model: str = "gbm", days: int = 60, sims: int = 4_000, seed: int = 7, **options) -> DataFrame:
+def simulate(params: DataFrame, model: str = "gbm", days: int = DAYS, sims: int = SIMS, seed: int = 7, **options) -> DataFrame:
     """symbol, sim, terminal simple return, for (symbol, mu, sigma) rows. An unknown model name is a gbm."""
     kind = model if model in ("gbm", "ou", "jump") else "gbm"
     chunks = params.select("symbol", "mu", "sigma", F.explode(F.sequence(F.lit(0), F.lit((sims - 1) // CHUNK))).alias("chunk"))

@@ -80,6 +80,20 @@ def test_simulation_does_not_depend_on_partitions(spark):
     assert all(abs(m - {"A": np.expm1(0.02), "B": 0.0}[s]) < 0.004 for s, m in mean)
 
 
+def test_simulation_queries_run_the_risk_job(spark):
+    from tapeloom.plans import risk
+
+    params = {r.symbol: r for r in risk._params(spark, "/root/testdata/sf0.001").collect()}
+    got = risk.mc_gbm(spark, "/root/testdata/sf0.001").collect()
+    assert {r.symbol for r in got} == set(params) and {r.sims for r in got} == {100_000}
+    from statistics import NormalDist
+
+    for r in got:  # quantiles of the lognormal end of 240 days
+        mu, sd = 240 * (params[r.symbol].mu - params[r.symbol].sigma ** 2 / 2), 240 ** 0.5 * params[r.symbol].sigma
+        for p, q in ((0.05, r.p5), (0.95, r.p95)):
+            assert abs(NormalDist(mu, sd).cdf(float(np.log1p(q))) - p) < 0.005
+
+
 def test_portfolios():
     rng = np.random.default_rng(1)
     a = rng.normal(size=(300, 6)) * [1, 2, 1, 3, 1, 2]
