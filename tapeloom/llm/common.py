@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Text bytes that one vectorised step handles; a longer text stands alone.
-SLICE_BYTES = 4 << 20
+#: Text bytes that one vectorised step handles; a longer text stands alone and is hashed in blocks of as many bytes.
+SLICE_BYTES = 1 << 20
+#: Bytes of a batch of rows that Spark sends to a Python worker at most (a longer row stands alone).
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may go without that setting."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tapeloom-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tapeloom-"))
     return sc.getCheckpointDir()
 
 
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH_BYTES, so that no worker holds more of the rows than that."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key).rstrip("b") == str(64 << 20):  # Spark's default; a setting of the user's stays
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -38,10 +52,12 @@ def held_out(doc_id, modulus: int, rest: int):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == rest, F.lit(False))
 
 
-def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES):
-    """Rows of Arrow batches in slices of about `limit` text bytes; null texts become empty."""
+def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES, nulls: str | None = None):
+    """Rows of Arrow batches in slices of about `limit` text bytes; null texts become empty (`nulls` names a mark of them)."""
     for batch in batches:
         t = pa.Table.from_batches([batch])
+        if nulls:
+            t = t.append_column(nulls, t.column(column).is_null())
         col = pc.fill_null(t.column(column).combine_chunks().cast(pa.large_string()), "")
         t = t.set_column(t.schema.get_field_index(column), column, col)
         n = t.num_rows
@@ -82,24 +98,60 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint6
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
-        x = np.full(max(n, 1 << 20) + 1, base, np.uint64)
+def _powers_of(base: int) -> np.ndarray:
+    """base ** 0 .. base ** SLICE_BYTES."""
+    if base not in _powers:
+        x = np.full(SLICE_BYTES + 1, base, np.uint64)
         x[0] = 1
         _powers[base] = np.cumprod(x)
-    return _powers[base][:n]
+    return _powers[base]
+
+
+def _power(base: int, at: np.ndarray) -> np.ndarray:
+    """base ** at; the table has as many entries as a block has bytes, however long the text is."""
+    table = _powers_of(base)
+    if not len(at) or at.max() < len(table):
+        return table[at]
+    blocks = at // SLICE_BYTES
+    step = np.cumprod(np.r_[np.uint64(1), np.full(int(blocks.max()), table[SLICE_BYTES])])
+    return table[at % SLICE_BYTES] * step[blocks]
 
 
 class RangeHash:
-    """Hashes of any byte ranges of one array, equal for equal bytes wherever they stand."""
+    """Hashes of any byte ranges of one array, equal for equal bytes wherever they stand.
+
+    The running sums of an array of up to SLICE_BYTES are kept; those of a longer one are made anew block by block for the
+    points that are asked for, so memory follows the points and not the bytes.
+    """
 
     def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=self.sums[1:])
-        self.back = _power(_INVERSE, len(data) + 1)
+        self.data = data
+        self.sums = self._block(0, np.uint64(0)) if len(data) <= SLICE_BYTES else None
+
+    def _block(self, start: int, total: np.uint64) -> np.ndarray:
+        part = self.data[start : start + SLICE_BYTES]
+        sums = np.empty(len(part) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(_BYTE[part] * _powers_of(_BASE)[: len(part)], out=sums[1:])
+        return total + sums * _power(_BASE, np.array([start]))[0] if start else sums
+
+    def _at(self, points: np.ndarray) -> np.ndarray:
+        if self.sums is not None:
+            return self.sums[points]
+        order = np.argsort(points, kind="stable")
+        points, out, total = points[order], np.empty(len(points), np.uint64), np.uint64(0)
+        for start in range(0, len(self.data), SLICE_BYTES):
+            sums = self._block(start, total)
+            a, b = np.searchsorted(points, [start, start + len(sums) - 1], "left")
+            if start + len(sums) > len(self.data):
+                b = len(points)
+            out[order[a:b]] = sums[points[a:b] - start]
+            total = sums[-1]
+        return out
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start])
+        with np.errstate(over="ignore"):
+            return mix((self._at(end) - self._at(start)) * _power(_INVERSE, start))
 
 
 _WORD = np.zeros(256, bool)

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tapeloom.llm.common import _WORD, text_slices, utf8, words
+from tapeloom.llm.common import _WORD, SLICE_BYTES, map_arrow, text_slices, utf8, words
 
 BITS = 18
 BLOCK = 32
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
                 keys = np.concatenate([np.flatnonzero(n), -1 - np.flatnonzero(s)])
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array(keys, pa.int64()), pa.array(np.concatenate([n[n > 0], s[s > 0]]), pa.int64())], ["lang", "k", "n"])
 
-    out = rows.select(docs[lang].alias("lang"), docs[text].alias("text")).mapInArrow(count, "lang string, k long, n long")
+    out = map_arrow(rows.select(docs[lang].alias("lang"), docs[text].alias("text")), count, "lang string, k long, n long")
     found = out.groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas()  # at most 2 ** BITS + 16 numbers a language
     langs = sorted(found["lang"].unique())
     score, scripts = np.full((1 << BITS, len(langs)), 0.05), np.zeros((16, len(langs)))
@@ -97,12 +97,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     return Model(langs, score.astype(np.float32), allowed)
 
 
-def word_scores(model: Model, offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Score of each word under each language (best 0), the word's letters (0: no letter), and its row."""
-    start, end, row = words(offs, data)
+def _scores(model: Model, offs: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     m = len(model.langs)
-    if not len(start):
-        return np.zeros((0, m), np.float32), start, row
     lp = np.zeros((len(data) + 1, m), np.float32)
     lp[:-1] = model.score[_trigrams(offs, data)]
     ends = np.ravel(np.column_stack([start, end]))
@@ -113,7 +109,27 @@ def word_scores(model: Model, offs: np.ndarray, data: np.ndarray) -> tuple[np.nd
     e -= e.max(1, keepdims=True)
     e = np.where(model.allowed[script], e, FAR)
     e[script == 0] = 0
-    return np.maximum(e, FAR), np.where(script > 0, letters, 0), row
+    return np.maximum(e, FAR), np.where(script > 0, letters, 0)
+
+
+def word_scores(model: Model, offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score of each word under each language (best 0), the word's letters (0: no letter), and its row.
+
+    A long text is scored in runs of whole words of about SLICE_BYTES; a border between two runs is a space, as between words.
+    """
+    start, end, row = words(offs, data)
+    if not len(start):
+        return np.zeros((0, len(model.langs)), np.float32), start, row
+    if len(data) <= SLICE_BYTES:
+        return *_scores(model, offs, data, start, end), row
+    out, at = [], 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + SLICE_BYTES, "right")))
+        a, b = int(start[at]), int(end[to - 1])
+        inner = np.unique(np.clip(offs, a, b)) - a
+        out.append(_scores(model, np.unique(np.r_[0, inner, b - a]), data[a:b], start[at:to] - a, end[at:to] - a))
+        at = to
+    return np.concatenate([e for e, _ in out]), np.concatenate([n for _, n in out]), row
 
 
 def viterbi(e: np.ndarray, row: np.ndarray, n_rows: int, penalty: float = SWITCH_PENALTY) -> np.ndarray:
@@ -159,40 +175,67 @@ def viterbi(e: np.ndarray, row: np.ndarray, n_rows: int, penalty: float = SWITCH
     return label.T.reshape(-1)[place]
 
 
-def predict(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_id", penalty: float = SWITCH_PENALTY, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score, the labelled spans (first word, words, language) and row (the columns in carry) of every row."""
+def predict(
+    docs: DataFrame,
+    model: Model,
+    *,
+    text: str = "text",
+    key: str = "doc_id",
+    penalty: float = SWITCH_PENALTY,
+    spans: bool = True,
+    carry: tuple[str, ...] = (),
+    keep_text: bool = False,
+) -> DataFrame:
+    """doc_id, lang_pred and score of every row.
+
+    More columns: spans (first word, words, language; if asked for), the text (with keep_text) and row (the columns in carry).
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most 2 ** BITS numbers a language
     lettered = F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False))
     row = F.struct(F.lit(0).alias("_"), *[docs[c] for c in carry]).alias("row")
     own = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), lettered.alias("lettered"), row)
-    kind = own.schema["row"].dataType.simpleString()
-    schema = f"doc_id long, lang_pred string, score double, spans array<struct<first_word:int,n_words:int,lang:string>>, row {kind}"
+    schema = "doc_id long, lang_pred string, score double"
+    if spans:
+        schema += ", spans array<struct<first_word:int,n_words:int,lang:string>>"
+    if keep_text:
+        schema += ", text string"
+    schema += f", row {own.schema['row'].dataType.simpleString()}"
+
+    def labelled(label, row, lettered, names, k):
+        """Arrow lists of each row's spans: runs of words of one language."""
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (label[1:] != label[:-1])
+        new &= lettered[row]
+        begin = np.flatnonzero(new)
+        done = np.searchsorted(row, row[begin], "right")
+        size = np.minimum(np.append(begin[1:], len(row)), done) - begin if len(begin) else begin
+        inner = begin - np.searchsorted(row, row[begin], "left") if len(begin) else begin
+        cols = [pa.array(inner, pa.int32()), pa.array(size, pa.int32()), pa.array(names[label[begin]], pa.string())]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[begin], minlength=k))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, ["first_word", "n_words", "lang"]))
 
     def run(batches):
         model = shared.value
         names = np.array([*model.langs, UNKNOWN], object)
-        for part in text_slices(batches):
+        for part in text_slices(batches, nulls="absent"):
             k = part.num_rows
-            offs, data = utf8(pc.utf8_lower(part.column("text")))
             lettered = part.column("lettered").to_numpy(zero_copy_only=False).astype(bool) & bool(model.langs)
             if model.langs:
-                e, letters, row = word_scores(model, offs, data)
+                e, letters, row = word_scores(model, *utf8(pc.utf8_lower(part.column("text"))))
                 label = viterbi(e, row, k, penalty)
                 weight = np.bincount(row * len(model.langs) + label, letters, k * len(model.langs)).reshape(k, -1)
             else:
                 weight, label, row = np.zeros((k, 1)), np.empty(0, int), np.empty(0, int)
             best = np.where(lettered, weight.argmax(1), len(model.langs))
             share = weight.max(1) / np.maximum(weight.sum(1), 1)
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (label[1:] != label[:-1])
-            new &= lettered[row]
-            begin = np.flatnonzero(new)
-            done = np.searchsorted(row, row[begin], "right")
-            size = np.minimum(np.append(begin[1:], len(row)), done) - begin if len(begin) else begin
-            inner = begin - np.searchsorted(row, row[begin], "left") if len(begin) else begin
-            spans = pa.StructArray.from_arrays([pa.array(inner, pa.int32()), pa.array(size, pa.int32()), pa.array(names[label[begin]], pa.string())], ["first_word", "n_words", "lang"])
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row[begin], minlength=k))])
-            yield pa.RecordBatch.from_arrays([part.column("key").combine_chunks(), pa.array(names[best], pa.string()), pa.array(np.where(lettered, share, 0.0)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans), part.column("row").combine_chunks()], ["doc_id", "lang_pred", "score", "spans", "row"])
-
-    return own.mapInArrow(run, schema)
+            cols = {"doc_id": part.column("key").combine_chunks(), "lang_pred": pa.array(names[best], pa.string()), "score": pa.array(np.where(lettered, share, 0.0))}
+            if spans:
+                cols["spans"] = labelled(label, row, lettered, names, k)
+            if keep_text:
+                body = part.column("text").combine_chunks().cast(pa.string())
+                cols["text"] = pc.if_else(part.column("absent").combine_chunks(), pa.scalar(None, pa.string()), body)
+            cols["row"] = part.column("row").combine_chunks()
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    return map_arrow(own, run, schema)

@@ -116,7 +116,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFr
             yield pa.RecordBatch.from_arrays([part.column("key").combine_chunks(), pa.array(sets, pa.binary())], ["doc_id", "sh"])
 
     own = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    own = own.join(ids.withColumnRenamed("id", "key").hint("shuffle_hash"), "key", "left_semi")
+    own = own.join(ids.withColumnRenamed("id", "key"), "key", "left_semi")
     return own.mapInArrow(run, "doc_id long, sh binary").dropDuplicates(["doc_id"])
 
 

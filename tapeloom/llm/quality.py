@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str
     n = docs.select(docs[key].alias("key")).join(marked, "key").count()
     if n > rows:
         marked = marked.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
-    found = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(marked.hint("shuffle_hash"), "key")
+    found = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(marked, "key")
     found = found.where(F.size(F.split(F.coalesce("text", F.lit("")), "\n")) <= TRAIN_LINES)
 
     def run(batches):

@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", text: str =
     if n > rows:
         marked = marked.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
     part = F.pmod(F.xxhash64("key", F.lit(2)), F.lit(100)).alias("part")
-    found = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(marked.hint("shuffle_hash"), "key")
+    found = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(marked, "key")
     found = cut(found.select("text", "label", part), "labelled")
     mean = found.agg(F.avg("label")).first()[0]
     lexicon = learn_lexicon(found.where("part < 40"))
