@@ -7,16 +7,20 @@ modulo a cover would give that with 0.12 to 0.22 rows a byte; here the sample is
 hash of each LENGTH-byte window), which gives it with about 0.03 rows a byte.
 
 1. Each window belongs to the sample position of its least hash, so all suffixes of a window's content are in one bucket
-   (the hash). Within a task, a position whose whole context has been seen is settled at once and leaves the bucket.
-2. Bucket by bucket, in sorted order and without holding a bucket, positions of equal context are settled the same way.
-   Only first contexts of buckets with several contexts still need their bytes.
-3. These are sorted: the bytes after the sample positions and the bytes before them are each ranked once per bucket, and
-   suffix i positions before the sample is settled by the two ranks' common prefixes, so no tie is compared again.
-   A bucket of more than HOT contexts is dealt anew by the content of each window, so that no bucket meets in one task.
+   (the hash). Positions whose whole context is equal are settled at once: within a task before they are sent, and then
+   among all tasks. Only first contexts of buckets with several contexts go on.
+2. A context's windows are dealt anew by what they share: those that reach at most MIDDLE bytes before the sample position
+   share the bytes after it, the others those before it. Again equal ones are settled and only ambiguous ones go on.
+3. A task sorts what is left of its texts, CHUNK parts of contexts at a time: the bytes after the sample positions and the
+   bytes before them are each ranked once, and suffix i positions before the sample is settled by the two ranks' common
+   prefixes, so no tie is compared again. The first suffixes of all chunks meet by their content.
+
+The same steps hold at every size. A bucket may be as frequent as it likes: a task deals two contexts of a bucket by the
+bucket and the rest by their content, so that no bucket gathers in one task. Texts are read in parts of SLICE_BYTES.
 
 Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; identical repeated rows get the same result
-and are no source for each other; rows without a doc_id stay whole and are nobody's source; an empty table gives no row;
-other columns are not read.
+and are no source for each other; rows of one doc_id with different texts count as one document's texts; rows without a
+doc_id stay whole and are nobody's source; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,22 +32,27 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tapeloom.llm.common import RangeHash, cut, mix, text_slices, utf8
+from tapeloom.llm.common import SLICE_BYTES, RangeHash, cut, map_arrow, mix, text_slices, utf8
 
 LENGTH = 100
 COVER = 24
-HOT = 8192
+#: Windows that start at most so far before their sample position share the bytes after it, others those before it.
+MIDDLE = (LENGTH - COVER) // 2
 #: Sample positions that a task compares among themselves before it sends them on.
-LOCAL_ROWS = 1_500_000
-_POSITION_BITS = 24
-_SAMPLE = ["h", "ctx", "doc_id", "start", "n", "off", "known"]
-_SAMPLE_SCHEMA = "h long, ctx long, doc_id long, start long, n int, off int, known boolean"
+LOCAL_ROWS = 1_000_000
+#: Parts of contexts that a task sorts at a time.
+CHUNK = 20_000
+_POSITION_BITS = 20
+#: Kinds of sample rows: dealt by their bucket; one of a bucket that is known to have several contexts; settled.
+OPEN, SURE, KNOWN = range(3)
+_SAMPLE = ["h", "ctx", "doc_id", "start", "n", "off", "kind"]
+_SAMPLE_SCHEMA = "h long, ctx long, doc_id long, start long, n int, off int, kind int"
 _SETTLED_SCHEMA = "doc_id long, ask boolean, h long, start long, n int, off int"
 
 
 def _segments(offs: np.ndarray, data: np.ndarray):
-    """(first byte, offsets, bytes) of parts that _POSITION_BITS can address; parts of a long text overlap."""
-    size = 1 << _POSITION_BITS
+    """(first byte, offsets, bytes) of parts of at most SLICE_BYTES; parts of a long text overlap."""
+    size = min(SLICE_BYTES, 1 << _POSITION_BITS)
     if len(data) <= size:
         yield 0, offs, data
         return
@@ -98,9 +107,14 @@ def _local(h, ctx, doc, start, n, off):
         kd, ks, kn = kd[begin], ks[begin], end - ks[begin]
     zero = np.zeros(len(kd), np.int64)
     more = [mix(kd.astype(np.uint64) + ks.astype(np.uint64)), zero.astype(np.uint64), kd, ks, kn, zero]
-    known = np.r_[np.zeros(len(cols[0]), bool), np.ones(len(kd), bool)]
-    h, ctx, doc, start, n, off = (np.concatenate([a, b.astype(a.dtype)]) for a, b in zip(cols, more))
-    arrays = [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc), pa.array(start), pa.array(n, pa.int32()), pa.array(off, pa.int32()), pa.array(known)]
+    # The first two contexts of a bucket tell the others' tasks that it has several.
+    bucket = np.maximum.accumulate(np.where(np.r_[True, cols[0][1:] != cols[0][:-1]], np.arange(len(cols[0])), 0))
+    kind = np.r_[np.where(np.arange(len(cols[0])) - bucket >= 2, SURE, OPEN), np.full(len(kd), KNOWN)]
+    return _rows(*(np.concatenate([a, b.astype(a.dtype)]) for a, b in zip(cols, more)), kind)
+
+
+def _rows(h, ctx, doc, start, n, off, kind):
+    arrays = [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc), pa.array(start), *(pa.array(x, pa.int32()) for x in (n, off, kind))]
     return pa.RecordBatch.from_arrays(arrays, _SAMPLE)
 
 
@@ -138,12 +152,12 @@ def _settle(batches):
         return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(ask, pa.bool_()), pa.array(h, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(off, pa.int32())], ["doc_id", "ask", "h", "start", "n", "off"])
 
     for batch in batches:
-        known = batch.column("known").to_numpy(zero_copy_only=False)
-        h, ctx, doc, start, n, off = (batch.column(k).to_numpy(zero_copy_only=False) for k in _SAMPLE[:6])
+        h, ctx, doc, start, n, off, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in _SAMPLE)
+        known = kind == KNOWN
         if known.any():
             k = known
             yield out(doc[k], np.zeros(k.sum(), bool), h[k], start[k], n[k], off[k])
-            h, ctx, doc, start, n, off = (x[~k] for x in (h, ctx, doc, start, n, off))
+            h, ctx, doc, start, n, off, kind = (x[~k] for x in (h, ctx, doc, start, n, off, kind))
         if not len(h):
             continue
         goes_on = h0 is not None and h[0] == h0
@@ -154,57 +168,83 @@ def _settle(batches):
         first = (doc == lead_doc) & (start == lead_start)
         run = np.cumsum(new_h)
         contexts = np.bincount(run, new_c)
-        ask = new_c & ((contexts[run] > 1) | (run == 0))
+        # A context may come in several kinds; its first row speaks for all of them.
+        sure = np.maximum.reduceat(kind == SURE, np.flatnonzero(np.r_[True, new_c[1:]]))[np.cumsum(np.r_[True, new_c[1:]]) - 1]
+        ask = new_c & ((contexts[run] > 1) | (run == 0) | sure)
         if run[0] == 0 and contexts[0] and pending:
             yield out(*[[x] for x in pending])
         if run[-1] or contexts[0]:
             i = int(np.flatnonzero(new_h)[-1]) if run[-1] else 0
-            pending = (doc[i], True, h[i], start[i], n[i], off[i]) if run[-1] and contexts[-1] == 1 else None
+            pending = (doc[i], True, h[i], start[i], n[i], off[i]) if run[-1] and contexts[-1] == 1 and not ask[i] else None
         keep = ask | ~first
         yield out(doc[keep], ask[keep], h[keep], start[keep], n[keep], off[keep])
         h0, c0, d0, s0 = h[-1], ctx[-1], lead_doc[-1], lead_start[-1]
 
 
-def _windows(part):
-    """(text slice, flattened asks) to (row of the slice, h, start, n, off, first byte of the context in the slice's bytes)."""
+def _asked(part):
+    """(text slice, asks) to (document, h, start, n, off, first byte of the context in the slice's bytes, the bytes)."""
     lists = part.column("asks").combine_chunks()
     flat = lists.flatten()
     row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
     h, start, n, off = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("h", "start", "n", "off"))
     offs, data = utf8(part.column("text"))
-    inside = start + n + LENGTH <= np.diff(offs)[row]
+    inside = start + n + LENGTH <= np.diff(offs)[row]  # rows of one doc_id may have other texts
     row, h, start, n, off = (x[inside] for x in (row, h, start, n, off))
-    return row, h, start, n, off, flat.field("hot").to_numpy(zero_copy_only=False)[inside].astype(bool), offs[row] + start, data
-
-
-def _contexts(batches):
-    for part in text_slices(batches):
-        row, h, start, n, off, hot, at, data = _windows(part)
-        doc = part.column("doc_id").to_numpy()
-        row, h, start, n, off, at = (x[~hot] for x in (row, h, start, n, off, at))
-        raw = data.tobytes()
-        body = [raw[a : a + k + LENGTH] for a, k in zip(at.tolist(), n.tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc[row], pa.int64()), pa.array(start), pa.array(n, pa.int32()), pa.array(off, pa.int32()), pa.array(body, pa.binary())], ["h", "doc_id", "start", "n", "off", "body"])
+    return part.column("doc_id").to_numpy()[row], h, start, n, off, offs[row] + start, data
 
 
-def _hot_windows(batches):
-    """Each window of the hot buckets' first contexts as a sample row of its own: h and ctx are hashes of its content."""
+def _halves(batches):
+    """The asked contexts in two: windows that share the bytes after the sample position, and those that share the bytes before."""
 
     def parts():
         for part in text_slices(batches):
-            row, h, start, n, off, hot, at, data = _windows(part)
-            if hot.any():
-                row, h, start, n, off, at = (x[hot] for x in (row, h, start, n, off, at))
-                each = n + 1
-                i = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                row, h, start, off, at = (np.repeat(x, each) for x in (row, h, start, off, at))
-                body = RangeHash(data).of(at + i, at + i + LENGTH)
-                zero = np.zeros(len(i), np.int64)
-                yield body, mix(h.astype(np.uint64) + (off - i).astype(np.uint64)), part.column("doc_id").to_numpy()[row], start + i, zero, zero
+            doc, h, start, n, off, at, data = _asked(part)
+            if not len(h):
+                continue
+            ranges, p = RangeHash(data), at + off
+            for side in (0, 1):
+                # a: how far a window starts before the sample position
+                low, high = (off - n, np.minimum(off, MIDDLE)) if side == 0 else (np.maximum(off - n, MIDDLE + 1), off)
+                k = low <= high
+                if not k.any():
+                    continue
+                d, x, q, lo, hi, first = doc[k], h[k].astype(np.uint64), p[k], low[k], high[k], (start + off - high)[k]
+                shared = ranges.of(q, q + LENGTH - MIDDLE) if side == 0 else ranges.of(q - MIDDLE - 1, q + COVER)
+                body = ranges.of(q - hi, q - lo + LENGTH)
+                yield mix(x ^ mix(shared + np.uint64(side))), mix(body + mix(hi.astype(np.uint64))), d, first, hi - lo, hi
 
     return _send(parts())
 
 
+def _sorted_chunks(batches):
+    """Parts of contexts to settled runs and, as sample rows of their own, the windows that are first in their chunk."""
+    held, rows = [], 0
+
+    def out():
+        h, doc, start, n, off = (np.concatenate([x[k] for x in held]) for k in range(5))
+        bodies = [b for x in held for b in x[5]]
+        (kd, ks, kn), (row, a) = resolve(h, doc, start, n, off, bodies)
+        data, ends = np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([0, *map(len, bodies)])
+        at = ends[row] + off[row] - a
+        body = RangeHash(data).of(at, at + LENGTH)
+        first = [body, mix(h[row].astype(np.uint64) + a.astype(np.uint64)), doc[row], start[row] + off[row] - a, np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)]
+        more = [mix(kd.astype(np.uint64) + ks.astype(np.uint64)), np.zeros(len(kd), np.uint64), kd, ks, kn, np.zeros(len(kd), np.int64)]
+        return _rows(*(np.concatenate(x) for x in zip(first, more)), np.r_[np.full(len(row), OPEN), np.full(len(kd), KNOWN)])
+
+    for part in text_slices(batches):
+        doc, h, start, n, off, at, data = _asked(part)
+        for x in range(0, len(h), CHUNK):
+            own = slice(x, x + CHUNK)
+            body = [data[a : a + k + LENGTH].tobytes() for a, k in zip(at[own].tolist(), n[own].tolist())]
+            held.append((h[own], doc[own], start[own], n[own], off[own], body))
+            rows += len(body)
+            if rows >= CHUNK:
+                yield out()
+                held, rows = [], 0
+    if rows:
+        yield out()
+
+
 def _lcp(m: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows by (key, bytes) and, for each, the bytes that it shares with the one before (-1: another key)."""
     width = -(-m.shape[1] // 8) * 8
@@ -221,7 +261,8 @@ def _lcp(m: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def resolve(h, doc, start, n, off, bodies: list[bytes]):
-    """(doc, start, n) of the runs of windows that an earlier row of the same bucket holds too."""
+    """Of rows of any buckets: ((doc, start, n) of runs of windows that an earlier row holds too, (row, bytes before the
+    sample position) of the other windows)."""
     order = np.lexsort((start + off, doc))
     h, doc, start, n, off = (x[order] for x in (h, doc, start, n, off))
     size, reach = len(h), LENGTH - COVER
@@ -231,12 +272,13 @@ def resolve(h, doc, start, n, off, bodies: list[bytes]):
         grid[i, reach - off[i] : reach - off[i] + len(b)] = b
     right, lcp_right = _lcp(grid[:, reach:], h)
     left, lcp_left = _lcp(np.ascontiguousarray(grid[:, :reach][:, ::-1]), h)
-    p, again = start + off, np.zeros((size, reach + 3), bool)
+    p, again, own_window = start + off, np.zeros((size, reach + 3), bool), np.zeros((size, reach + 1), bool)
     group_right, group_left = np.empty(size, np.int64), np.empty(size, np.int64)
     for a in range(reach + 1):
         own = np.flatnonzero((a <= off) & (a >= off - n))
-        if len(own) < 2:
+        if not len(own):
             continue
+        own_window[own, a] = True
         group_right[right] = np.cumsum(lcp_right < LENGTH - a)
         group_left[left] = np.cumsum(lcp_left < a)
         key = group_right[own] * (size + 1) + group_left[own]
@@ -246,32 +288,8 @@ def resolve(h, doc, start, n, off, bodies: list[bytes]):
         again[rows, a + 1] = (doc[rows] != doc[lead]) | (p[rows] != p[lead])
     row, begin = np.nonzero(again[:, 1:] & ~again[:, :-1])
     _, end = np.nonzero(again[:, :-1] & ~again[:, 1:])  # runs of a from begin to end - 1
-    return doc[row], p[row] - (end - 1), end - 1 - begin
-
-
-def _resolve(batches):
-    """Rows sorted by h; whole buckets at a time (none has more than HOT first contexts)."""
-    held: list = []
-    rows = 0
-
-    def out(t, last):
-        h = t.column("h").to_numpy()
-        stop = len(h) if last else int(np.searchsorted(h, h[-1], "left"))
-        done, rest = t.slice(0, stop), t.slice(stop)
-        found = [np.empty(0, np.int64)] * 3
-        if stop:
-            found = resolve(*[done.column(k).to_numpy().astype(np.int64) for k in ("h", "doc_id", "start", "n", "off")], done.column("body").to_pylist())
-        return rest, pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int32())], ["doc_id", "start", "n"])
-
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= 20_000:
-            rest, found = out(pa.Table.from_batches(held).combine_chunks(), False)
-            held, rows = rest.to_batches(), rest.num_rows
-            yield found
-    if rows:
-        yield out(pa.Table.from_batches(held).combine_chunks(), True)[1]
+    first, a = np.nonzero(own_window & ~again[:, 1:-1])
+    return (doc[row], p[row] - (end - 1), end - 1 - begin), (order[first], a)
 
 
 def _cut_out(batches, whole: bool = False):
@@ -289,7 +307,7 @@ def _cut_out(batches, whole: bool = False):
         edge = np.zeros(len(data) + 1, np.int32)
         np.add.at(edge, start, 1)
         np.add.at(edge, end, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
         before = np.r_[False, gone[:-1]]
         full = np.flatnonzero(size)
         before[offs[full]] = False
@@ -300,14 +318,26 @@ def _cut_out(batches, whole: bool = False):
         spans = pa.StructArray.from_arrays([pa.array(begin - offs[owner]), pa.array(stop - offs[owner])], ["start", "end"])
         to = np.r_[0, np.cumsum(np.bincount(owner, minlength=part.num_rows))]
         if whole and len(data):
-            char = np.cumsum((data & 0xC0) != 0x80)
+            char = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)
             gone |= (np.bincount(char, gone) > 0)[char]
-        kept_ends = np.r_[0, np.cumsum(~gone)][offs]
+        kept_ends = np.searchsorted(np.flatnonzero(~gone), offs)
         kept = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(kept_ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
         cols = [part.column("doc_id").combine_chunks(), pa.array(size), pa.ListArray.from_arrays(pa.array(to, pa.int32()), spans), kept.cast(pa.binary()), part.column("row").combine_chunks()]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "spans", "kept", "row"])
 
 
+def _settled(sample: DataFrame) -> DataFrame:
+    """Settled rows and asks of sample rows. Rows of a bucket meet, but for those that are known to be asked anyway."""
+    dealt = sample.repartition(F.when(F.col("kind") == SURE, F.xxhash64("h", "ctx")).otherwise(F.col("h")))
+    return map_arrow(dealt.sortWithinPartitions("h", "ctx", "doc_id", "start"), _settle, _SETTLED_SCHEMA)
+
+
+def _with_asks(named: DataFrame, settled: DataFrame) -> DataFrame:
+    """The texts that are asked for, each with its asks. The texts are dealt by doc_id: all such joins read one exchange."""
+    asks = settled.where("ask").groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n", "off")).alias("asks"))
+    return named.join(asks, "doc_id").select("doc_id", "text", "asks")
+
+
 def dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges), kept (remaining bytes) and row (the columns in carry) of every row.
 
@@ -316,21 +346,12 @@ def dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", carry: tu
     row = F.struct(F.lit(0).alias("_"), *[docs[c] for c in carry]).alias("row")
     own = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), row)
     named, nameless = own.where("doc_id IS NOT NULL"), own.where("doc_id IS NULL")
-    order = ["h", "ctx", "doc_id", "start"]
-    sample = named.select("doc_id", "text").mapInArrow(_anchors, _SAMPLE_SCHEMA)
-    settled = cut(sample.repartition("h").sortWithinPartitions(*order).mapInArrow(_settle, _SETTLED_SCHEMA), "settled")
-    asks = settled.where("ask")
-    hot = cut(asks.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot")), "hot")
-    asks = asks.join(hot, "h", "left").groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n", "off", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asks"))
-    # The texts are dealt by doc_id once: both joins read the same exchange.
-    asked = named.join(asks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "row", "asks")
-    cold = asked.mapInArrow(_contexts, "h long, doc_id long, start long, n int, off int, body binary").repartition("h").sortWithinPartitions("h").mapInArrow(_resolve, "doc_id long, start long, n int")
-    runs = settled.where("NOT ask").select("doc_id", "start", "n").unionByName(cold)
-    if not hot.isEmpty():
-        again = asked.mapInArrow(_hot_windows, _SAMPLE_SCHEMA).repartition("h").sortWithinPartitions(*order).mapInArrow(_settle, _SETTLED_SCHEMA)
-        runs = runs.unionByName(again.where("NOT ask").select("doc_id", "start", "n"))
+    contexts = cut(_settled(map_arrow(named.select("doc_id", "text"), _anchors, _SAMPLE_SCHEMA)), "settled")
+    halves = _settled(map_arrow(_with_asks(named, contexts), _halves, _SAMPLE_SCHEMA))
+    windows = _settled(map_arrow(_with_asks(named, halves), _sorted_chunks, _SAMPLE_SCHEMA))
+    runs = functools.reduce(DataFrame.unionByName, [x.where("NOT ask").select("doc_id", "start", "n") for x in (contexts, halves, windows)])
     runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    found = named.join(runs.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "row", "runs")
+    found = named.join(runs, "doc_id", "left").select("doc_id", "text", "row", "runs")
     whole = nameless.select("doc_id", "text", "row", F.lit(None).cast("array<struct<start:long,n:int>>").alias("runs"))
-    kind = own.schema["row"].dataType.simpleString()
-    return found.unionByName(whole).mapInArrow(functools.partial(_cut_out, whole=whole_characters), f"doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, row {kind}")
+    schema = f"doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, row {own.schema['row'].dataType.simpleString()}"
+    return map_arrow(found.unionByName(whole), functools.partial(_cut_out, whole=whole_characters), schema)

@@ -141,14 +141,30 @@ def test_near_duplicates_with_families(spark, small, monkeypatch):
     assert len({group[k] for k in near}) == 1
 
 
-@pytest.mark.parametrize("hot", [8192, 2])
-def test_suffix_dedup(spark, small, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_suffix_dedup(spark, small, parts):
     want = kept_bytes(dict(zip(small["doc_id"].tolist(), small["text"])))
-    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(table(spark, SMALL, "documents")).collect()}
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(table(spark, SMALL, "documents").repartition(parts)).collect()}
     assert got == want
 
 
+def test_suffix_dedup_of_a_common_line(spark):
+    rng = np.random.default_rng(11)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    line = letters(150)
+    texts = {k: letters(90) + line[k % 3 :] + letters(int(rng.integers(0, 200))) for k in range(300)}
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()}
+    assert got == kept_bytes(texts)
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    rng = np.random.default_rng(12)
+    part = rng.integers(97, 123, 700_000, dtype=np.uint8).tobytes().decode()
+    texts = {1: part + "x" * 150 + part[:500_000], 2: part[300_000:] * 2 + part[:1000]}  # longer than SLICE_BYTES
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == kept_bytes(texts)
+
+
 def test_packing_round_trip(spark, small):
     from tokenizers import Tokenizer
 
