@@ -18,16 +18,17 @@ MAIN_LANGUAGE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a language (null or no letter) and those in which no language prevails."""
     model = langid.fit(docs.where(~held_out(docs.doc_id, 3, 1)))
-    found = langid.predict(docs, model, carry=tuple(docs.columns))
+    others = tuple(c for c in docs.columns if c != "text")
+    found = langid.predict(docs, model, spans=False, carry=others, keep_text=True)
     good = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MAIN_LANGUAGE))
-    return good.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return good.select(*["text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least doc_id of each group of near copies; rows without a doc_id stay."""
     members, _ = neardup.join(docs)
     keep = members.where("doc_id = group_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(keep.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
