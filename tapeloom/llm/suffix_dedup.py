@@ -9,8 +9,8 @@ hash of each LENGTH-byte window), which gives it with about 0.03 rows a byte.
 1. Each window belongs to the sample position of its least hash, so all suffixes of a window's content are in one bucket
    (the hash). Positions whose whole context is equal are settled at once: within a task before they are sent, and then
    among all tasks. Only first contexts of buckets with several contexts go on.
-2. A context's windows are dealt anew by what they share: those that reach at most MIDDLE bytes before the sample position
-   share the bytes after it, the others those before it. Again equal ones are settled and only ambiguous ones go on.
+2. A context's windows are dealt anew, each SPAN of starts by the bytes that its windows share. Again equal parts are
+   settled, parts that share theirs with no other are done, and only ambiguous ones go on.
 3. A task sorts what is left of its texts, CHUNK parts of contexts at a time: the bytes after the sample positions and the
    bytes before them are each ranked once, and suffix i positions before the sample is settled by the two ranks' common
    prefixes, so no tie is compared again. The first suffixes of all chunks meet by their content.
@@ -36,8 +36,8 @@ from tapeloom.llm.common import SLICE_BYTES, RangeHash, cut, map_arrow, mix, tex
 
 LENGTH = 100
 COVER = 24
-#: Windows that start at most so far before their sample position share the bytes after it, others those before it.
-MIDDLE = (LENGTH - COVER) // 2
+#: Windows whose starts before their sample position differ by less than this are dealt together, by what they share.
+SPAN = 10
 #: Sample positions that a task compares among themselves before it sends them on.
 LOCAL_ROWS = 1_000_000
 #: Parts of contexts that a task sorts at a time.
@@ -193,8 +193,8 @@ def _asked(part):
     return part.column("doc_id").to_numpy()[row], h, start, n, off, offs[row] + start, data
 
 
-def _halves(batches):
-    """The asked contexts in two: windows that share the bytes after the sample position, and those that share the bytes before."""
+def _spans(batches):
+    """The asked contexts in parts: the windows that start `low` to `high` bytes before the sample position, for each SPAN."""
 
     def parts():
         for part in text_slices(batches):
@@ -202,16 +202,15 @@ def _halves(batches):
             if not len(h):
                 continue
             ranges, p = RangeHash(data), at + off
-            for side in (0, 1):
-                # a: how far a window starts before the sample position
-                low, high = (off - n, np.minimum(off, MIDDLE)) if side == 0 else (np.maximum(off - n, MIDDLE + 1), off)
-                k = low <= high
+            for low in range(0, LENGTH - COVER + 1, SPAN):
+                high = min(low + SPAN - 1, LENGTH - COVER)
+                lo, hi = np.maximum(off - n, low), np.minimum(off, high)
+                k = lo <= hi
                 if not k.any():
                     continue
-                d, x, q, lo, hi, first = doc[k], h[k].astype(np.uint64), p[k], low[k], high[k], (start + off - high)[k]
-                shared = ranges.of(q, q + LENGTH - MIDDLE) if side == 0 else ranges.of(q - MIDDLE - 1, q + COVER)
-                body = ranges.of(q - hi, q - lo + LENGTH)
-                yield mix(x ^ mix(shared + np.uint64(side))), mix(body + mix(hi.astype(np.uint64))), d, first, hi - lo, hi
+                q, lo, hi = p[k], lo[k], hi[k]
+                shared, body = ranges.of(q - low, q + LENGTH - high), ranges.of(q - hi, q - lo + LENGTH)
+                yield mix(h[k].astype(np.uint64) ^ mix(shared + np.uint64(low))), mix(body + mix(hi.astype(np.uint64))), doc[k], (start + off)[k] - hi, hi - lo, hi
 
     return _send(parts())
 
@@ -347,9 +346,9 @@ def dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", carry: tu
     own = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), row)
     named, nameless = own.where("doc_id IS NOT NULL"), own.where("doc_id IS NULL")
     contexts = cut(_settled(map_arrow(named.select("doc_id", "text"), _anchors, _SAMPLE_SCHEMA)), "settled")
-    halves = _settled(map_arrow(_with_asks(named, contexts), _halves, _SAMPLE_SCHEMA))
-    windows = _settled(map_arrow(_with_asks(named, halves), _sorted_chunks, _SAMPLE_SCHEMA))
-    runs = functools.reduce(DataFrame.unionByName, [x.where("NOT ask").select("doc_id", "start", "n") for x in (contexts, halves, windows)])
+    parts = _settled(map_arrow(_with_asks(named, contexts), _spans, _SAMPLE_SCHEMA))
+    windows = _settled(map_arrow(_with_asks(named, parts), _sorted_chunks, _SAMPLE_SCHEMA))
+    runs = functools.reduce(DataFrame.unionByName, [x.where("NOT ask").select("doc_id", "start", "n") for x in (contexts, parts, windows)])
     runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     found = named.join(runs, "doc_id", "left").select("doc_id", "text", "row", "runs")
     whole = nameless.select("doc_id", "text", "row", F.lit(None).cast("array<struct<start:long,n:int>>").alias("runs"))
