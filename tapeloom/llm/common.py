@@ -44,7 +44,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table that `cut` wrote for df; nothing may read it afterwards."""
+    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id, modulus: int, rest: int):

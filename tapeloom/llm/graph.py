@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tapeloom.llm.common import cut
+from tapeloom.llm.common import cut, drop
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,7 +16,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, before = cut(e, "links"), None
     while True:
-        e = cut(_small_star(_large_star(e)), "links")
+        old, e = e, cut(_small_star(_large_star(e)), "links")
+        drop(old)  # each round reads the one before it alone
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

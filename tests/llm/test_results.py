@@ -141,6 +141,24 @@ def test_near_duplicates_with_families(spark, small, monkeypatch):
     assert len({group[k] for k in near}) == 1
 
 
+def test_cores_are_similar_by_proof(spark):
+    rng = np.random.default_rng(21)
+    base = rng.choice(1 << 40, 60, replace=False).astype(np.uint64)
+    sets = {}
+    for k in range(60):
+        gone, new = int(rng.integers(0, 6)) if k else 0, int(rng.integers(0, 6)) if k else 0
+        own = np.sort(np.r_[rng.permutation(base)[gone:], rng.choice(1 << 41, new, replace=False).astype(np.uint64)])
+        sets[k] = set(own.tolist()), own.tobytes()
+    rows = spark.createDataFrame([(k, bytearray(b)) for k, (_, b) in sets.items()], "doc_id long, sh binary")
+    of = spark.createDataFrame([(k, 0) for k in sets], "doc_id long, family long")
+    core = {r.doc_id for r in neardup.cores(of, rows, 0.8).collect() if r.core}
+    similar = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert 0 in core and 5 < len(core) < 60 and all(similar(sets[a][0], sets[b][0]) for a in core for b in core)
+    got = neardup.family_links(of, rows, 0.8).groupBy("doc_id").agg(F.sum("n").alias("n")).collect()
+    want = {a: sum(similar(sets[a][0], sets[b][0]) for b in sets) - 1 for a in sets}
+    assert {r.doc_id: r.n for r in got} == {k: n for k, n in want.items() if n}
+
+
 @pytest.mark.parametrize("parts", [1, 7, 40])
 def test_suffix_dedup(spark, small, parts):
     want = kept_bytes(dict(zip(small["doc_id"].tolist(), small["text"])))
