@@ -3,17 +3,20 @@
 A document of n ids is estimated to cost LINEAR * n + QUADRATIC * n * n (feed-forward and attention).
 Each task packs its own documents in groups of about GROUP_TOKENS ids, so nothing is shuffled and memory
 is bounded by a group. Within a group, documents are taken in descending order and put into the cheapest
-sequence with room (of equally cheap ones, the fullest); only one that fits nowhere is cut over the cheapest
-sequences, so a group leaves less than one sequence of padding.
+sequence with room (of equally cheap ones, the fullest). A group has sequences for SLACK more ids than its own;
+only a document that fits nowhere is cut, over the sequences with the most room, so padding stays under SLACK and
+one sequence a group.
 
-Defined cases: a null or empty text is the end id alone; equal texts are packed one by one; a text longer than
-a sequence is cut at whole sequences first; an empty table gives no piece; other columns are not read.
+Defined cases: a null or empty text is the end id alone; equal texts are packed one by one; documents of equal
+length keep their order; a text longer than a sequence is cut at whole sequences first; an empty table gives no
+piece; other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
 import zlib
 from functools import lru_cache
 
@@ -22,12 +25,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tapeloom.llm.common import text_slices
+from tapeloom.llm.common import map_arrow, text_slices
 
 SEQUENCE = 2048
 END_ID = 1
 GROUP_TOKENS = 4_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
+#: Share of padding that keeps documents whole.
+SLACK = 0.005
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: The pre-tokeniser of byte-level BPE vocabularies of this kind (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -58,7 +63,7 @@ def encoder(path: str):
     return whole
 
 
-def pack_group(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, int]:
+def pack_group(lengths: np.ndarray, sequence: int = SEQUENCE, slack: float = SLACK) -> tuple[np.ndarray, int]:
     """Rows (document, start, length, sequence, offset) for documents of these lengths, and the sequences used."""
     pieces: list[tuple[int, int, int, int, int]] = []
     used, rest = 0, []
@@ -70,7 +75,7 @@ def pack_group(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarra
         if n % sequence:
             rest.append((n % sequence, d, whole * sequence))
     rest.sort(key=lambda x: (-x[0], x[1]))
-    count = -(-sum(x[0] for x in rest) // sequence)
+    count = math.ceil(sum(x[0] for x in rest) * (1 + slack) / sequence)
     # sequences by room left, each heap with the cheapest on top; least has the cost on top of each
     heaps: list[list[tuple[float, int]]] = [[] for _ in range(sequence + 1)]
     heaps[sequence] = [(0.0, s) for s in range(used, used + count)]
@@ -80,9 +85,9 @@ def pack_group(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarra
         broken = False
         while n:
             room = n + int(least[n:].argmin())
-            if broken or least[room] == np.inf:  # no sequence has room: cut over the cheapest
+            if broken or least[room] == np.inf:  # no sequence has room: cut over those with the most
                 broken = True
-                room = 1 + int(least[1:].argmin())
+                room = int(np.flatnonzero(least < np.inf)[-1])
             cost, s = heapq.heappop(heaps[room])
             least[room] = heaps[room][0][0] if heaps[room] else np.inf
             take = min(n, room)
@@ -122,4 +127,4 @@ def pack(docs: DataFrame, tokenizer_path: str, *, text: str = "text", key: str =
         if keys:
             yield from flush()
 
-    return docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")), run, SCHEMA)

@@ -208,26 +208,33 @@ def test_pack_group_costs():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 700, 4000)
     p, n = packing.pack_group(lengths)
-    assert np.bincount(p[:, 0], p[:, 2]).tolist() == lengths.tolist() and n == -(-lengths.sum() // packing.SEQUENCE)
+    assert np.bincount(p[:, 0], p[:, 2]).tolist() == lengths.tolist() and n == np.ceil(lengths.sum() * (1 + packing.SLACK) / packing.SEQUENCE)
     cost = np.bincount(p[:, 3], packing.LINEAR * p[:, 2] + packing.QUADRATIC * p[:, 2] ** 2.0)
     assert cost.max() < 1.15 * cost.mean()
 
 
-def test_pack_group_against_all_sequences():
+@pytest.mark.parametrize("slack", [0, packing.SLACK])
+def test_pack_group_against_all_sequences(slack):
     rng = np.random.default_rng(3)
     lengths = np.minimum(rng.lognormal(np.log(400), 1, 3000).astype(int) + 1, 9000)
-    p, n = packing.pack_group(lengths)
-    # replay: a document goes to a cheapest sequence with room; only if there is none, it is cut over the cheapest
+    p, n = packing.pack_group(lengths, slack=slack)
+    # replay: a document goes to a cheapest sequence with room; only if there is none, it is cut over those with the most
     first = int((lengths // packing.SEQUENCE).sum())
     fill, cost, left, cut = np.zeros(n, int), np.zeros(n), lengths % packing.SEQUENCE, np.zeros(len(lengths), bool)
     fill[:first] = packing.SEQUENCE
     for d, _, take, s, offset in p[first:].tolist():
         room = packing.SEQUENCE - fill
         cut[d] |= not (room >= left[d]).any()
-        among = room > 0 if cut[d] else room >= left[d]
+        among = room == room.max() if cut[d] else room >= left[d]
         assert offset == fill[s] and take == min(left[d], room[s]) and among[s] and cost[s] == cost[among].min()
         fill[s], cost[s], left[d] = fill[s] + take, cost[s] + packing.LINEAR * take + packing.QUADRATIC * take * take, left[d] - take
-    assert not left.any() and cut.any()
+    assert not left.any() and cut.any() and np.bincount(p[:, 0]).max() <= 6
+    assert n * packing.SEQUENCE - lengths.sum() <= slack * lengths.sum() + packing.SEQUENCE
+
+
+def test_pack_equal_lengths_in_order():
+    p, n = packing.pack_group(np.full(10, 1024))
+    assert p[:, 0].tolist() == list(range(10)) and n == 6 and np.bincount(p[:, 0]).max() == 1
 
 
 def test_sharding_map(spark):
