@@ -5,7 +5,7 @@ punctuation and obfuscation rates. Lexicon, trees and calibration are learned fr
 sample of labelled rows, so none of them sees what another was fitted on. Scoring reads whole texts, a slice at a time.
 
 Defined cases: a null text is empty, and an empty text has a score like any other; a row labelled twice counts twice; equal
-texts get equal scores; without rows of both labels the score is the labels' mean (0 without labels); an empty table gives
+texts get equal scores, and so do texts of one calibration step; without rows of both labels the score is the labels' mean (0 without labels); an empty table gives
 no row; other columns are not read.
 """
 
@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 
-from tapeloom.llm.common import RangeHash, cut, text_slices, utf8, words
+from tapeloom.llm.common import RangeHash, cut, map_arrow, text_slices, utf8, words
 
 #: Labelled rows that a model is fitted on at most (expected number of a hash sample).
 TRAIN_ROWS = 15_000
@@ -80,7 +80,7 @@ def densities(col, lexicon: Lexicon) -> np.ndarray:
     n = len(col)
     offs, data, word, stem, start, end, row = _parsed(col)
     size = np.diff(offs)
-    per_row = lambda mask: np.diff(np.r_[0, np.cumsum(mask)][offs])
+    per_row = lambda mask: np.diff(np.r_[np.int32(0), np.cumsum(mask, dtype=np.int32)][offs])
     sum_of = lambda x: np.bincount(row, x, n)
     count = np.bincount(row, minlength=n)
     total, letters = np.maximum(count, 1), (data >= 65) & (data <= 90)
@@ -96,7 +96,7 @@ def densities(col, lexicon: Lexicon) -> np.ndarray:
     near &= hit
     best = np.zeros(n)
     np.maximum.at(best, row, np.maximum(gain, stem_gain))
-    in_word = lambda mask: np.diff(np.r_[0, np.cumsum(mask)][np.ravel(np.column_stack([start, end]))])[::2]
+    in_word = lambda mask: np.diff(np.r_[np.int32(0), np.cumsum(mask, dtype=np.int32)][np.ravel(np.column_stack([start, end]))])[::2]
     digits, upper = in_word((data >= 48) & (data <= 57)), in_word(letters)
     long = end - start
     symbol = np.isin(data, np.frombuffer(b"*@$#+", np.uint8))
@@ -128,7 +128,7 @@ def _features(docs: DataFrame, lexicon: Lexicon, *names: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in names), flat], [*names, "x"])
 
     kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in names)
-    return own.mapInArrow(run, f"{kinds}, x array<double>").withColumn("features", array_to_vector("x")).drop("x")
+    return map_arrow(own, run, f"{kinds}, x array<double>").withColumn("features", array_to_vector("x")).drop("x")
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
@@ -145,7 +145,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
 
     totals = rows.agg(F.count("*"), F.sum("label")).first()
     n, ones = totals[0], totals[1] or 0
-    counts = rows.select("text", "label").mapInArrow(run, "k long, n long, ones long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    counts = map_arrow(rows.select("text", "label"), run, "k long, n long, ones long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
     gain = F.log((F.col("ones") + 0.5) / (ones + 1)) - F.log((F.col("n") - F.col("ones") + 0.5) / (n - ones + 1))
     best = counts.where(F.col("n") >= LEAST_DOCS).withColumn("gain", gain).where(F.col("gain") > LEAST_GAIN)
     got = best.orderBy(F.desc(F.col("gain") * F.sqrt("ones")), "k").limit(LEXICON).toPandas()
@@ -182,7 +182,4 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_
     if model.trees is None:
         return own.select("doc_id", F.lit(model.base).alias("score"))
     out = model.trees.transform(_features(own, model.lexicon, "doc_id")).withColumn("raw", vector_to_array("probability")[1])
-    calibrated = model.calibration.transform(out)
-    # A little of the uncalibrated score keeps the order within a calibration step.
-    mixed = F.least(F.greatest(F.col("calibrated") * 0.98 + F.col("raw") * 0.02, F.lit(0.0)), F.lit(1.0))
-    return calibrated.select("doc_id", mixed.alias("score"))
+    return model.calibration.transform(out).select("doc_id", F.col("calibrated").alias("score"))
