@@ -19,10 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tapeloom.llm.common import RangeHash, text_slices, utf8, words
+from tapeloom.llm.common import RangeHash, map_arrow, text_slices, utf8, words
 
-#: Labelled rows that a model is fitted on at most (expected number of a hash sample), and lines of such a row.
-TRAIN_ROWS, TRAIN_LINES = 8_000, 300
+#: Labelled rows, and lines of all of them, that a model is fitted on at most (expected numbers of a hash sample).
+TRAIN_ROWS, TRAIN_LINES = 8_000, 400_000
 BASE = ["capitals", "capital_words", "digits", "marks", "symbols", "clusters", "bars", "word_bytes", "repeats", "distinct", "log_words", "stop_end", "short", "again"]
 
 
@@ -55,8 +55,8 @@ def lines(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     of_line = np.searchsorted(start, ws, "right") - 1
     count = np.bincount(of_line, minlength=len(start))
     total, body = np.maximum(count, 1), np.maximum(size, 1)
-    sums = lambda mask: np.diff(np.r_[0, np.cumsum(mask)][np.column_stack([start, end])])[:, 0]
-    in_word = lambda mask: np.diff(np.r_[0, np.cumsum(mask)][np.column_stack([ws, we])])[:, 0] if len(ws) else np.zeros(0)
+    sums = lambda mask: np.diff(np.r_[np.int32(0), np.cumsum(mask, dtype=np.int32)][np.column_stack([start, end])])[:, 0]
+    in_word = lambda mask: np.diff(np.r_[np.int32(0), np.cumsum(mask, dtype=np.int32)][np.column_stack([ws, we])])[:, 0] if len(ws) else np.zeros(0)
     per_line = lambda x: np.bincount(of_line, x, len(start))
     upper, digit = (data >= 65) & (data <= 90), (data >= 48) & (data <= 57)
     symbol = np.isin(data, np.frombuffer(b"#$%&*+<=>@^_~\\{}[]", np.uint8))
@@ -78,7 +78,7 @@ def lines(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = np.column_stack([
         sums(upper) / body, per_line((in_word(upper) == we - ws) & (we - ws > 1)) / total, sums(digit) / body, sums((data == 33) | (data == 63)) / total, sums(symbol) / body, sums(cluster) / total,
         sums(data == 124) / total, np.minimum(per_line(we - ws) / total, 30) / 10, per_line(repeat) / total, distinct / total, np.log1p(count), tail, count < 3, again,
-    ]).astype(float)
+    ]).astype(np.float32)
     before, after = np.zeros_like(x), np.zeros_like(x)
     if len(x) > 1:
         joined = (row[1:] == row[:-1])[:, None]
@@ -147,14 +147,17 @@ def fit_field(x: np.ndarray, row: np.ndarray, label: np.ndarray, steps: int = 60
     return w, s
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str = "text", key: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
-    """A model from a bounded sample of the labelled rows of docs; the lines' features of the sample pass the driver."""
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str = "text", key: str = "doc_id", rows: int = TRAIN_ROWS, max_lines: int = TRAIN_LINES) -> Model:
+    """A model from a bounded sample of the labelled rows of docs, drawn without regard to their length.
+
+    The lines' features of the sample pass the driver: about max_lines rows of 45 single-precision numbers.
+    """
     marked = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("label")).where("label IS NOT NULL AND key IS NOT NULL")
-    n = docs.select(docs[key].alias("key")).join(marked, "key").count()
-    if n > rows:
-        marked = marked.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
-    found = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(marked, "key")
-    found = found.where(F.size(F.split(F.coalesce("text", F.lit("")), "\n")) <= TRAIN_LINES)
+    breaks = F.octet_length("text") - F.octet_length(F.translate("text", "\n", ""))
+    known = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(marked, "key")
+    n, total = known.agg(F.count("*"), F.sum(1 + F.coalesce(breaks, F.lit(0)))).first()
+    share = min(rows / max(n, 1), max_lines / max(total or 0, 1))
+    found = known if share >= 1 else known.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * share))
 
     def run(batches):
         for part in text_slices(batches):
@@ -162,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str
             key, mark = (part.column(c).to_numpy()[row] for c in ("key", "label"))
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.arange(len(row)), pa.int64()), pa.array(mark, pa.int32()), pa.array(size, pa.int64()), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], ["key", "nth", "label", "size", "x"])
 
-    got = found.select("key", "text", "label").mapInArrow(run, "key long, nth long, label int, size long, x binary").toPandas()
+    got = map_arrow(found.select("key", "text", "label"), run, "key long, nth long, label int, size long, x binary").toPandas()
     width = 3 * len(BASE) + 3
     if got["label"].nunique() < 2:
         return Model(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), np.zeros(3), float(got["label"].mean()) if len(got) else 0.5)
@@ -199,4 +202,4 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_
             p = 1 / (1 + np.exp(-document_features(good, size, row, n) @ m.curve)) if m.base is None else np.full(n, m.base)
             yield pa.RecordBatch.from_arrays([part.column("key").combine_chunks(), pa.array(p), pa.array(np.bincount(row, minlength=n), pa.int64()), pa.array(np.bincount(row, good < 0.5, n).astype(np.int64))], ["doc_id", "score", "n_lines", "n_bad_lines"])
 
-    return docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).mapInArrow(run, "doc_id long, score double, n_lines long, n_bad_lines long")
+    return map_arrow(docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")), run, "doc_id long, score double, n_lines long, n_bad_lines long")
