@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tapeloom.llm.common import counts_by_row, mix, shingles, text_slices, word_hashes
+from tapeloom.llm.common import counts_by_row, map_arrow, mix, shingles, text_slices, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -118,7 +118,7 @@ def search(docs: DataFrame, items: DataFrame, *, text: str = "text", key: str =
                 of = index.size[pairs[:, 1]]
                 yield pa.RecordBatch.from_arrays([part.column("key").combine_chunks().take(pa.array(pairs[:, 0])), pa.array(index.ids[pairs[:, 1]]), pa.array(of, pa.int32()), pa.array(shared_n, pa.int32()), pa.array(shared_n / np.maximum(of, 1))], ["doc_id", "item_id", "item_shingles", "shared_shingles", "containment"])
 
-        return docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).mapInArrow(run, SCHEMA)
+        return map_arrow(docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")), run, SCHEMA)
 
     out = spark.createDataFrame([], SCHEMA)
     for number in range(blocks):

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tapeloom.llm.common import text_slices
+from tapeloom.llm.common import map_arrow, text_slices
 
 WIDTH = 192
 PAD = 32
@@ -103,7 +103,7 @@ def interleaved(pages: DataFrame, *, html: str = "html", carry: tuple[str, ...]
         for part in text_slices(batches):
             yield pa.RecordBatch.from_arrays([part.column("row").combine_chunks(), pa.array([parse(t) for t in part.column("text").to_pylist()], kind)], ["row", "items"])
 
-    return own.mapInArrow(run, f"row {own.schema['row'].dataType.simpleString()}, items array<{ITEM}>")
+    return map_arrow(own, run, f"row {own.schema['row'].dataType.simpleString()}, items array<{ITEM}>")
 
 
 def _chunk(tag: bytes, body: bytes) -> bytes:
@@ -166,7 +166,7 @@ def store(texts: DataFrame, *, text: str = "text") -> DataFrame:
             seen = {hashlib.sha256(b).hexdigest(): b for b in body}
             yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array([encode(b) for b in seen.values()], pa.binary())], ["digest", "stored"])
 
-    made = texts.select(texts[text].alias("text")).mapInArrow(run, "digest string, stored binary")
+    made = map_arrow(texts.select(texts[text].alias("text")), run, "digest string, stored binary")
     return made.groupBy("digest").agg(F.first("stored").alias("stored"))
 
 
@@ -184,7 +184,7 @@ def read_back(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names) if out else batch.slice(0, 0)
 
     schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("digest", "stored").mapInArrow(run, schema)
+    return map_arrow(media.select("digest", "stored"), run, schema)
 
 
 def references(pages: DataFrame) -> DataFrame:
