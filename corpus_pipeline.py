@@ -25,10 +25,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each group of near copies; rows without a doc_id stay."""
+    """Keep the document with the least doc_id of each group of near copies; rows without a doc_id stay.
+
+    Of several rows of one doc_id the one whose columns hash least stays.
+    """
     members, _ = neardup.join(docs)
     keep = members.where("doc_id = group_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
+    row = F.struct(*[named[c] for c in docs.columns])
+    named = named.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*[named[c] for c in docs.columns])).alias("row")).select("row.*")
     return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
