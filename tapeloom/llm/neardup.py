@@ -234,12 +234,13 @@ def family_links(of: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         F.max(F.when(F.col("core"), F.col("n"))).alias("n"),
         F.min(F.when(F.col("core"), F.col("low"))).alias("low"),
     )
-    placed = own.join(wide, "family")
+    placed = own.join(wide.repartition("low", "family"), "family")  # both sides are dealt, so a large family can be split
     counted = placed.where("core AND n > 1").select("doc_id", (F.col("n") - 1).alias("n"), F.col("low").alias("root"))
     block = F.when(F.col("core"), F.pmod(F.xxhash64("doc_id"), F.col("inner"))).otherwise(F.col("inner") + F.pmod(F.xxhash64("doc_id"), F.col("outer")))
     other = F.explode(F.sequence(F.when(F.col("core"), F.col("inner")).otherwise(0), F.col("inner") + F.col("outer") - 1)).alias("other")
     dealt = placed.where("outer > 0").select("doc_id", "sh", "family", block.cast("int").alias("block"), other)
     dealt = dealt.select("doc_id", "sh", "family", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    dealt = dealt.repartition("family", "first", "second")
     compared = dealt.groupBy("family", "first", "second").applyInPandas(lambda rows: compare_blocks(rows, threshold), "doc_id long, n long, root long")
     return cut(counted.unionByName(compared), "family-links")
 

@@ -312,6 +312,57 @@ def test_passages_of_every_holder(spark):
         assert {d for d, _ in found} == {4, 44, 60, 105}
 
 
+def test_equal_passages_against_brute_force(spark, small):
+    """Every equal run of LONG_WORDS words with an earlier document is covered; every passage reported is one."""
+    texts = {k: re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", t.lower()) for k, t in zip(small["doc_id"], small["text"])}
+    n, seen, again = chaining.LONG_WORDS, set(), {}
+    for k in sorted(texts):
+        own = [tuple(texts[k][i : i + n]) for i in range(len(texts[k]) - n + 1)]
+        again[k] = [i for i, x in enumerate(own) if x in seen]
+        seen.update(own)
+    results = []
+    for parts in (1, 7, 40):
+        found = chaining.passages(table(spark, SMALL, "documents").repartition(parts)).toPandas()
+        results.append(sorted(map(tuple, found.to_numpy().tolist())))
+    assert results[0] == results[1] == results[2] and results[0]
+    covered = {k: np.zeros(len(w) + 1, bool) for k, w in texts.items()}
+    for d, s, a0, a1, b0, b1, equal, identity in results[0]:
+        a, b = texts[d][int(a0) : int(a1)], texts[s][int(b0) : int(b1)]
+        assert s < d and len(a) == a1 - a0 >= chaining.MIN_WORDS and len(b) == b1 - b0
+        assert identity == equal / max(len(a), len(b)) >= chaining.MIN_IDENTITY and lcs(a, b) >= equal
+        covered[d][int(a0) : int(a1)] = True
+    starts = [(k, i) for k, x in again.items() for i in x]
+    # an equal run of LONG_WORDS holds a sampled run of MIN_WORDS, which is part of a passage
+    assert starts and all(covered[k][i : i + n].sum() >= chaining.MIN_WORDS for k, i in starts)
+
+
+def lcs(a: list[str], b: list[str]) -> int:
+    names = {w: i for i, w in enumerate({*a, *b})}
+    x, y = (np.array([names[w] for w in t]) for t in (a, b))
+    last = np.zeros(len(y) + 1, int)
+    for w in x:
+        last[1:] = np.maximum.accumulate(np.maximum(last[1:], last[:-1] + (y == w)))
+    return int(last[-1])
+
+
+@pytest.mark.parametrize(("words", "identity", "least"), [(60, 0.95, 0.95), (100, 0.9, 0.95), (100, 0.85, 0.6)])
+def test_recall_of_fuzzy_passages(spark, words, identity, least):
+    """Share of planted passages with random substitutions that are found, as the README states it."""
+    rng = np.random.default_rng(int(words * identity))
+    make = lambda n: ["".join(x) for x in rng.choice(list("abcdefghijklmnop"), (n, 8))]
+    rows, pairs = [], 150
+    for k in range(pairs):
+        first = make(words)
+        second = list(first)
+        for i in rng.choice(words, round(words * (1 - identity)), replace=False):
+            second[i] = make(1)[0]
+        rows += [(2 * k, " ".join(make(30) + first + make(30))), (2 * k + 1, " ".join(make(50) + second + make(9)))]
+    got = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "source_id").distinct().collect()
+    assert all(r.source_id == r.doc_id - 1 for r in got)
+    print(f"recall at {words} words, identity {identity}: {len(got) / pairs:.3f}")
+    assert len(got) / pairs >= least
+
+
 def test_chains_against_all_orders():
     from itertools import combinations
 
