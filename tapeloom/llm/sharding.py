@@ -1,22 +1,25 @@
-"""Sharding by fixed virtual slots: records hash into slots, slots are dealt to shards by a versioned map.
+"""Sharding by fixed virtual slots: records hash into slots, slots are dealt to shards by a stored, versioned map.
 
-The map has one row for each slot (a fixed number, whatever the data), so it alone passes through the driver.
-Rebalancing edits the map: only the slots that must move get another shard, and the version goes up by one.
+The map has one row for each slot (a fixed number, whatever the data), so it alone passes through the driver. A version is
+a folder of its own and is never changed: rebalancing reads the latest version, edits it and writes the next one. Only the
+slots that must move get another shard.
 
 Defined cases: a null text counts 0 bytes and has the checksum of the empty text; null or repeated ids are spread by
-their text's checksum; equal rows take neighbouring places; an empty table has a map and no rows; other columns
-are not read.
+their text's checksum; equal rows take neighbouring places; slots of equal size move in the order of their number; an
+empty table has a map and no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tapeloom.llm.common import cut
+from tapeloom.llm.common import cut, shared_dir
 
 SLOTS = 16384
-MAP_SCHEMA = "version int, slot int, shard int, bytes long, rows long, base long"
+MAP_SCHEMA = "slot int, shard int, bytes long, rows long, base long"
 
 
 def records(docs: DataFrame, *, text: str = "text", key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
@@ -73,14 +76,40 @@ def rebalance(shard: np.ndarray, size: np.ndarray, shards: int) -> np.ndarray:
     return shard
 
 
-def slot_map(spark: SparkSession, shard: np.ndarray, size: np.ndarray, count: np.ndarray, version: int) -> DataFrame:
-    """The map as a stored table; base: rows of earlier slots of the same shard."""
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Stored versions of the map at `path`."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(folder)]
+    done = [n for n in names if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n.removeprefix("version=")) for n in done)
+
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of the map, the latest by default."""
+    version = versions(spark, path)[-1] if version is None else version
+    return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version}").withColumn("version", F.lit(version))
+
+
+def write_map(spark: SparkSession, path: str, shard: np.ndarray, size: np.ndarray, count: np.ndarray) -> int:
+    """Store the next version; base: rows of earlier slots of the same shard."""
     base = np.zeros(len(shard), np.int64)
     for s in np.unique(shard):
         own = np.flatnonzero(shard == s)
         base[own] = np.cumsum(count[own]) - count[own]
-    rows = [(version, v, *map(int, x)) for v, x in enumerate(zip(shard, size, count, base))]
-    return cut(spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1), f"slot-map-v{version}")
+    version = max(versions(spark, path), default=0) + 1
+    rows = [(v, *map(int, x)) for v, x in enumerate(zip(shard, size, count, base))]
+    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.parquet(f"{path}/version={version}")
+    return version
+
+
+def edit_map(spark: SparkSession, path: str, size: np.ndarray, count: np.ndarray, shards: int) -> int:
+    """Rebalance the latest version by these loads; the number of the version written."""
+    known = read_map(spark, path).orderBy("slot").toPandas()
+    return write_map(spark, path, rebalance(known["shard"].to_numpy(), size, shards), size, count)
 
 
 def place(rows: DataFrame, placed: DataFrame) -> DataFrame:
@@ -91,9 +120,15 @@ def place(rows: DataFrame, placed: DataFrame) -> DataFrame:
     return at.join(m, "vslot").withColumn("slot", F.col("base") + F.col("at"))
 
 
-def shard_rows(docs: DataFrame, shards: int = 16, *, text: str = "text", key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
-    """Every record with its shard and place, after one rebalancing of the even starting map by bytes."""
+def shard_rows(docs: DataFrame, shards: int = 16, *, text: str = "text", key: str = "doc_id", slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """Every record with its shard and place, by the next version of the map at `path`: the latest one rebalanced by bytes.
+
+    Where there is no map yet (by default, one is kept for this call), version 1 deals the slots evenly.
+    """
+    spark = docs.sparkSession
+    path = path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     rows = cut(records(docs, text=text, key=key, slots=slots), "slot-rows")
     size, count = slot_loads(rows, slots)
-    start = np.arange(slots) % shards
-    return place(rows, slot_map(docs.sparkSession, rebalance(start, size, shards), size, count, 2))
+    if not versions(spark, path):
+        write_map(spark, path, np.arange(slots) % shards, np.zeros(slots, np.int64), np.zeros(slots, np.int64))
+    return place(rows, read_map(spark, path, edit_map(spark, path, size, count, shards)))
