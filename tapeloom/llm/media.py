@@ -5,7 +5,9 @@ their payload by a join on the digest; position and caption stay with the refere
 PNG image of WIDTH samples a row, losslessly; equal payloads are stored once.
 
 Defined cases: null or empty HTML has no item; a reference whose digest is unknown keeps its place with null payload
-columns; markup that never closes is read as far as it goes; references to one payload any number of times, also
+columns; markup that never closes is read as far as it goes; a head need not be closed, nor a template (its text is
+shown then); media in hidden elements are none; a caption of several paragraphs is one text, and one before its figure's
+media belongs to them; references to one payload any number of times, also
 by one document, each keep their place; an empty table gives no row; other columns may be carried, under `row`.
 """
 
@@ -33,51 +35,80 @@ _PNG = b"\x89PNG\r\n\x1a\n"
 class _Items(HTMLParser):
     """Collects texts and media references in the order in which they stand."""
 
-    SILENT, MEDIA = {"script", "style", "template", "noscript", "head"}, {"img", "video", "audio", "source", "embed"}
-    BLOCK = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "td", "article", "section", "figure", "figcaption", "blockquote", "pre", "table", "ul", "ol"}
+    MEDIA = {"img", "video", "audio", "source", "embed"}
+    BLOCK = {
+        "p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "td", "th", "article", "section", "figure", "figcaption", "blockquote",
+        "pre", "table", "ul", "ol", "nav", "header", "footer", "main", "aside", "body", "title", "hr", "dt", "dd",
+    }
 
-    def __init__(self):
+    def __init__(self, silent: set[str]):
         super().__init__(convert_charrefs=True)
+        self.quiet = silent  # elements whose content is not shown
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.silent = 0
-        self.caption: int | None = None  # the media item that an open caption belongs to
-        self.figure: int | None = None
+        self.silent: list[str] = []  # the open ones of them
+        self.figure: int | None = None  # place of an open figure's first item
+        self.caption: list[str] | None = None  # texts of an open figcaption
+        self.waiting: tuple[int, str] | None = None  # place and text of a caption before its figure's media
 
     def flush(self):
         text = " ".join("".join(self.words).split())
         self.words = []
-        if not text:
-            return
-        if self.caption is not None and self.caption < len(self.items):
-            self.items[self.caption]["caption"] = text
-        else:
+        if text and self.caption is not None:
+            self.caption.append(text)
+        elif text:
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def end_caption(self):
+        text, self.caption = " ".join(self.caption or []), None
+        start = len(self.items) if self.figure is None else self.figure
+        media = next((x for x in reversed(self.items[start:]) if x["kind"] == "media"), None)
+        if text and media:
+            media["caption"] = text
+        elif text:
+            self.waiting = (len(self.items), text)
+
+    def end_figure(self):
+        if self.caption is not None:
+            self.end_caption()
+        if self.waiting:  # no media came: the caption is a text
+            self.items.insert(self.waiting[0], {"kind": "text", "text": self.waiting[1], "digest": None, "caption": None})
+        self.figure = self.waiting = None
+
     def handle_starttag(self, tag, attrs):
-        if tag in self.SILENT:
-            self.silent += 1
+        if tag in self.quiet:
+            self.flush()
+            self.silent.append(tag)
+        if self.silent:
+            return
         if tag in self.BLOCK or tag in self.MEDIA:
             self.flush()
         if tag == "figure":
+            self.end_figure()
             self.figure = len(self.items)
         elif tag == "figcaption":
-            self.caption = next((k for k in range(len(self.items) - 1, (self.figure if self.figure is not None else len(self.items)) - 1, -1) if self.items[k]["kind"] == "media"), None)
+            self.caption = []
         elif tag in self.MEDIA:
             a = dict(attrs)
             found = _DIGEST.search(f"{a.get('src') or ''} {a.get('data-digest') or ''} {a.get('integrity') or ''}")
             if found or a.get("src"):
-                self.items.append({"kind": "media", "text": a.get("src"), "digest": found and found[1], "caption": a.get("alt")})
+                caption = self.waiting[1] if self.waiting else a.get("alt")
+                self.waiting = None
+                self.items.append({"kind": "media", "text": a.get("src"), "digest": found and found[1], "caption": caption})
 
     def handle_endtag(self, tag):
-        if tag in self.SILENT and self.silent:
-            self.silent -= 1
+        if tag in self.silent:
+            while self.silent.pop() != tag:
+                pass
+            return
+        if self.silent:
+            return
         if tag in self.BLOCK:
             self.flush()
-        if tag == "figcaption":
-            self.caption = None
+        if tag == "figcaption" and self.caption is not None:
+            self.end_caption()
         elif tag == "figure":
-            self.figure = self.caption = None
+            self.end_figure()
 
     def handle_data(self, data):
         if not self.silent:
@@ -85,11 +116,15 @@ class _Items(HTMLParser):
 
 
 def parse(html: str) -> list[dict]:
-    """Ordered items of one page."""
-    p = _Items()
-    p.feed(html)
-    p.close()
+    """Ordered items of one page. An element that hides its content but is never closed hides nothing but script and style."""
+    for silent in ({"script", "style", "title", "template", "noscript"}, {"script", "style"}):
+        p = _Items(silent)
+        p.feed(html)
+        p.close()
+        if not p.silent:
+            break
     p.flush()
+    p.end_figure()
     return [{"position": k} | x for k, x in enumerate(p.items)]
 
 

@@ -34,6 +34,12 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of `pages` as its ordered texts and media references."""
+    pages = media.interleaved(table(spark, sf_dir, "pages"), carry=("page_id",))
+    return pages.select("row.page_id", F.inline("items"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.join(table(spark, sf_dir, "documents"))[0]
 
@@ -75,7 +81,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(found.doc_id, 3, 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_ngram_jaccard_join, op4_sharding, op5_quality_classifier, op6_suffix_array_dedup, op7_packing, op8_substring_dedup, op9_decontamination, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_media_columns,
+        page_items,
+        op3_ngram_jaccard_join,
+        op4_sharding,
+        op5_quality_classifier,
+        op6_suffix_array_dedup,
+        op7_packing,
+        op8_substring_dedup,
+        op9_decontamination,
+        op10_language_id,
+    )
+}
 
 #: The words of a text, as the operators cut them.
 _WORDS = r"""regexp_extract_all(lower(coalesce(text, '')), '[^\x00-/:-@\[-`{-\x7f]+')"""

@@ -247,6 +247,58 @@ def test_sharding_map(spark):
     assert (new != start).mean() < 0.25 and set(new) == set(range(9))
 
 
+def test_sharding_map_is_stored_and_edited(spark, tmp_path):
+    path, docs = str(tmp_path / "map"), table(spark, SMALL, "documents")
+    first = sharding.shard_rows(docs, 4, path=path).toPandas().set_index("doc_id")
+    assert sharding.versions(spark, path) == [1, 2] and set(first["map_version"]) == {2}
+    again = sharding.shard_rows(docs, 4, path=path).toPandas().set_index("doc_id")
+    assert set(again["map_version"]) == {3} and (again["shard"] == first["shard"]).all()  # nothing to move
+    grown = sharding.shard_rows(docs, 5, path=path).toPandas().set_index("doc_id")
+    moved = grown["shard"] != again["shard"]
+    assert 0 < moved.mean() < 0.5 and set(grown["shard"]) == set(range(5))
+    old = sharding.read_map(spark, path, 2).orderBy("slot").toPandas()  # former versions stay as they were
+    assert old["shard"].to_numpy()[first["vslot"]].tolist() == first["shard"].tolist()
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        assert (first.loc[r.doc_id, "size"], first.loc[r.doc_id, "text_crc32"]) == (len(raw) + 1, zlib.crc32(raw))
+
+
+def test_sharding_of_equal_rows(spark):
+    docs = spark.createDataFrame([(None, "same")] * 40 + [(k, None) for k in range(40)], "doc_id long, text string")
+    got = sharding.shard_rows(docs, 3).toPandas()
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    load = got.groupby("shard")["size"].sum()
+    assert got["size"].tolist().count(5) == 40 and load.sum() == 240
+
+
+def test_media_parser_of_careless_html():
+    a = "a" * 64
+    get = lambda html: [(i["kind"], i["text"] if i["kind"] == "text" else i["caption"]) for i in media.parse(html)]
+    assert get("<head><title>T</title><body><p>body text</p>") == [("text", "body text")]
+    assert get("<p>one<template><p>two") == [("text", "one"), ("text", "two")]
+    assert get("<p>one<template><p>two</template>three") == [("text", "one"), ("text", "three")]
+    figure = f"<figure><img src='digest:{a}' alt='x'><figcaption><p>first</p><p>second</p></figcaption></figure>"
+    assert get(figure) == [("media", "first second")]
+    assert get(f"<figure><figcaption>before</figcaption><img src='digest:{a}'></figure><p>after") == [("media", "before"), ("text", "after")]
+    assert get("<figure><figcaption>alone</figcaption></figure><p>after") == [("text", "alone"), ("text", "after")]
+    assert get(f"<noscript><img src='digest:{a}'></noscript><p>text") == [("text", "text")]
+    assert get(f"<figure><img src='digest:{a}'><figcaption>never closed") == [("media", "never closed")]
+
+
+def test_page_items(spark):
+    import html as entities
+
+    hidden = r"(?s)<!--.*?-->|<(script|style|title)\b.*?</\1>"
+    got = queries.page_items(spark, SMALL).toPandas()
+    for page_id, source in [(r.page_id, r.html) for r in table(spark, SMALL, "pages").collect()]:
+        own = got[got["page_id"] == page_id].sort_values("position")
+        assert own["position"].tolist() == list(range(len(own)))
+        # the same words in the same order as without any markup
+        want = entities.unescape(re.sub(r"(?s)<[^>]*>", " ", re.sub(hidden, " ", source or "")))
+        assert "".join(" ".join(own["text"]).split()) == "".join(want.split())
+
+
 def test_media_round_trip(spark):
     rng = np.random.default_rng(4)
     for n in (0, 1, 191, 192, 193, 5000):
