@@ -44,8 +44,20 @@ def mean(x, n: int, least: int | None = None) -> Column:
     return roll(F.avg, x, n, least)
 
 
+def _recent(f, x: Column, n: int) -> Column:
+    """A sum or count over the last n rows, as the difference of two running ones: each row costs the same, whatever n is."""
+    up_to = ordered().rowsBetween
+    return f(x).over(up_to(Window.unboundedPreceding, 0)) - F.coalesce(f(x).over(up_to(Window.unboundedPreceding, -n)), F.lit(0))
+
+
 def std(x, n: int, least: int | None = None) -> Column:
-    return roll(F.stddev_samp, x, n, max(2, least or n))
+    """Sample deviation of the last n rows from running sums; what only their rounding leaves counts as 0."""
+    x = _c(x).cast("double")
+    count, total, squares = _recent(F.count, x, n), _recent(F.sum, x, n), _recent(F.sum, x * x, n)
+    around = squares - total * total / count
+    noise = F.greatest(1e-12 * F.sum(x * x).over(ordered().rowsBetween(Window.unboundedPreceding, 0)), 1e-11 * squares)
+    square = F.when(around <= noise, F.lit(0.0)).otherwise(around / (count - 1))
+    return F.when(count >= max(2, least or n), F.sqrt(square))
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -63,7 +75,7 @@ def zscore(x, n: int = 60) -> Column:
     x = _c(x)
     least = max(10, n // 2)
     s = std(x, n, least)
-    z = (x - mean(x, n, least)) / F.when(s == 0, F.lit(1.0)).otherwise(s)
+    z = (x - _recent(F.sum, x.cast("double"), n) / _recent(F.count, x, n)) / F.when(s == 0, F.lit(1.0)).otherwise(s)
     return F.coalesce(clamp(z, -4.0, 4.0), F.lit(0.0))
 
 

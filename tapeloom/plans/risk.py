@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from tapeloom.functions import duck as d, windows as w
 from tapeloom.operators import montecarlo as mc
 from tapeloom.plans.registry import query
 from tapeloom.sources.bars import BARS, bars_orders
+from tapeloom.streaming.bars import shared_folder
 
 SIMS, BLOCKS, BLOCK = 150, 2, 30
 DAYS = BLOCKS * BLOCK
@@ -34,35 +37,58 @@ def terminals(spark, sf_dir):
     return paths(spark, sf_dir).where(F.col("day") == DAYS).select("symbol", "sim", (F.col("growth") - 1).alias("ret"))
 
 
+def cut(df):
+    """df written to the shared folder and read back, so that what made it runs once."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _r(x, n=6):
     return F.round(x, n)
 
 
-def var_cvar(x, level: float, by: str = "symbol"):
-    """Value at risk and expected shortfall of `ret`, taken in log space, as positive losses."""
-    s = Window.partitionBy(by)
-    x = x.withColumn("l", F.log1p("ret")).withColumn("q", F.percentile("l", F.lit(1 - level)).over(s))
-    return x.groupBy(by).agg((-F.expm1(F.first("q"))).alias("var"), (-F.expm1(F.avg(F.when(_r("l", 9) <= _r("q", 9), F.col("l"))))).alias("cvar"))
+def tails(x, value, levels=(0.05, 0.01)):
+    """Rows of x with the percentiles `q` of a value in their group, from one pass over x and a join of one row a symbol."""
+    x = cut(x.withColumn("v", value))
+    q = x.groupBy("symbol").agg(F.percentile("v", F.array(*[F.lit(p) for p in levels])).alias("q"))
+    return x.join(q, "symbol")
+
+
+def tail_mean(k: int):
+    """Mean of the values at or below the k-th percentile."""
+    return F.avg(F.when(_r("v", 9) <= _r(F.col("q")[k], 9), F.col("v")))
 
 
 @query(f"""WITH {PATHS}, q AS (SELECT symbol, quantile_cont(ln(1 + ret), 0.05) AS q95, quantile_cont(ln(1 + ret), 0.01) AS q99 FROM term GROUP BY symbol)
 SELECT symbol, round(avg(ret), 6) AS mean, round(median(ret), 6) AS median, round(-(exp(any_value(q95)) - 1), 6) AS var_95, round(-(exp(avg(CASE WHEN round(ln(1 + ret), 9) <= round(q95, 9) THEN ln(1 + ret) END)) - 1), 6) AS cvar_95,
     round(-(exp(any_value(q99)) - 1), 6) AS var_99, round(-(exp(avg(CASE WHEN round(ln(1 + ret), 9) <= round(q99, 9) THEN ln(1 + ret) END)) - 1), 6) AS cvar_99 FROM term JOIN q USING (symbol) GROUP BY symbol""")
 def risk_table(spark, sf_dir):
-    x = terminals(spark, sf_dir)
-    base = x.groupBy("symbol").agg(_r(F.avg("ret")).alias("mean"), _r(F.median("ret")).alias("median"))
-    a, b = (var_cvar(x, v).select("symbol", _r("var").alias(f"var_{v * 100:.0f}"), _r("cvar").alias(f"cvar_{v * 100:.0f}")) for v in (0.95, 0.99))
-    return base.join(a, "symbol").join(b, "symbol")
+    """Mean, median, and value at risk and expected shortfall, taken in log space, as positive losses."""
+    x = tails(terminals(spark, sf_dir), F.log1p("ret"))
+    loss = lambda c: _r(-F.expm1(c))
+    return x.groupBy("symbol").agg(
+        _r(F.avg("ret")).alias("mean"),
+        _r(F.median("ret")).alias("median"),
+        loss(F.first("q")[0]).alias("var_95"),
+        loss(tail_mean(0)).alias("cvar_95"),
+        loss(F.first("q")[1]).alias("var_99"),
+        loss(tail_mean(1)).alias("cvar_99"),
+    )
 
 
 @query(f"""WITH {PATHS}, q AS (SELECT symbol, quantile_cont(ret, 0.05) AS q95, quantile_cont(ret, 0.01) AS q99 FROM term GROUP BY symbol)
 SELECT symbol, round(any_value(q95), 6) AS var_95, round(any_value(q99), 6) AS var_99, round(avg(CASE WHEN round(ret, 9) <= round(q95, 9) THEN ret END), 6) AS es_95, round(avg(CASE WHEN round(ret, 9) <= round(q99, 9) THEN ret END), 6) AS es_99, round(avg(ret), 6) AS expected_return FROM term JOIN q USING (symbol) GROUP BY symbol""")
 def risk_tails(spark, sf_dir):
     """Signed tail figures of simple returns, as the risk job stores them."""
-    s = Window.partitionBy("symbol")
-    x = terminals(spark, sf_dir).withColumns({"a": F.percentile("ret", F.lit(0.05)).over(s), "b": F.percentile("ret", F.lit(0.01)).over(s)})
-    es = lambda q: _r(F.avg(F.when(_r("ret", 9) <= _r(q, 9), F.col("ret"))))
-    return x.groupBy("symbol").agg(_r(F.first("a")).alias("var_95"), _r(F.first("b")).alias("var_99"), es("a").alias("es_95"), es("b").alias("es_99"), _r(F.avg("ret")).alias("expected_return"))
+    x = tails(terminals(spark, sf_dir), F.col("ret"))
+    return x.groupBy("symbol").agg(
+        _r(F.first("q")[0]).alias("var_95"),
+        _r(F.first("q")[1]).alias("var_99"),
+        _r(tail_mean(0)).alias("es_95"),
+        _r(tail_mean(1)).alias("es_99"),
+        _r(F.avg("ret")).alias("expected_return"),
+    )
 
 
 @query(f"""WITH {PATHS} SELECT symbol, day, {', '.join(f'round(quantile_cont(growth, {p / 100}), 6) AS p{p}' for p in (5, 25, 50, 75, 95))} FROM paths GROUP BY symbol, day""")
@@ -71,14 +97,16 @@ def fan_chart(spark, sf_dir):
     return x.select("symbol", "day", *[_r(F.col("q")[k]).alias(f"p{p}") for k, p in enumerate((5, 25, 50, 75, 95))])
 
 
-@query(f"""WITH {PATHS}, b AS (SELECT symbol, min(ret) AS lo, max(ret) AS hi FROM term GROUP BY symbol), x AS (SELECT symbol, coalesce(least(floor((ret - lo) / CASE WHEN hi - lo > 1e-9 THEN (hi - lo) / 40 END), 39), 0)::INT AS bin, lo, hi FROM term JOIN b USING (symbol))
+@query(f"""WITH {PATHS}, b AS (SELECT symbol, min(ret) AS lo, max(ret) AS hi FROM term GROUP BY symbol), x AS (SELECT symbol, coalesce(least(floor(round((ret - lo) / CASE WHEN hi - lo > 1e-9 THEN (hi - lo) / 40 END, 9)), 39), 0)::INT AS bin, lo, hi FROM term JOIN b USING (symbol))
 SELECT symbol, bin, round(any_value(lo + bin * (hi - lo) / 40), 6) AS edge, count(*) AS n FROM x GROUP BY symbol, bin""")
 def histogram(spark, sf_dir):
-    """Forty bins of equal width between the extremes; the last one is closed."""
-    s = Window.partitionBy("symbol")
-    x = terminals(spark, sf_dir).withColumns({"lo": F.min("ret").over(s), "hi": F.max("ret").over(s)})
-    x = x.withColumn("bin", F.coalesce(F.least(F.floor((F.col("ret") - F.col("lo")) / F.when(F.col("hi") - F.col("lo") > 1e-9, (F.col("hi") - F.col("lo")) / 40)), F.lit(39)), F.lit(0)).cast("int"))
-    return x.groupBy("symbol", "bin").agg(_r(F.first(F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / 40)).alias("edge"), F.count("*").alias("n"))
+    """Forty bins of equal width between the extremes; the last one is closed, and a value within 1e-9 of an edge is on it."""
+    x = cut(terminals(spark, sf_dir))
+    ends = x.groupBy("symbol").agg(F.min("ret").alias("lo"), F.max("ret").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / 40
+    place = F.floor(_r((F.col("ret") - F.col("lo")) / F.when(F.col("hi") - F.col("lo") > 1e-9, width), 9))
+    x = x.join(ends, "symbol").withColumn("bin", F.coalesce(F.least(place, F.lit(39)), F.lit(0)).cast("int"))
+    return x.groupBy("symbol", "bin").agg(_r(F.first(F.col("lo") + F.col("bin") * width)).alias("edge"), F.count("*").alias("n"))
 
 
 @query(f"""WITH {PATHS}, a AS (SELECT *, growth / greatest(1.0, max(growth) OVER (PARTITION BY symbol, sim ORDER BY day)) - 1 AS dd FROM paths),

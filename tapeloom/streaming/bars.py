@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,10 +14,13 @@ EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where it is set; a folder of our own in local tests."""
+    """spark.checkpoint.dir; only a local master may go without that setting."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tapeloom-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tapeloom-"))
     return sc.getCheckpointDir()
 
 
