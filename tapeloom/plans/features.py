@@ -196,25 +196,33 @@ def efficiency_kyle_parkinson(spark, sf_dir):
     return _select(x, efficiency=_r(ratio("step")), kyle_lambda=_r(F.avg("impact").over(w.frame(20))), parkinson=_r(F.sqrt(w.mean("hl", 20))))
 
 
-@query(f"""WITH {BARS}, a AS (SELECT symbol, date, {d.log_return()} AS lr FROM bars),
-b AS (SELECT symbol, date, list(lr) OVER ({d.OVER} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS x FROM a),
-c AS (SELECT symbol, date, list_filter(x, lambda v: v IS NOT NULL) AS x FROM b),
-e AS (SELECT symbol, date, x, list_min(x) AS lo, (list_max(x) - list_min(x)) / 50 AS wd FROM c WHERE len(x) = 20),
-f AS (SELECT symbol, date, wd, unnest([least(floor((v - lo) / wd), 49) FOR v IN x]) AS bin FROM e WHERE wd > 0),
-g AS (SELECT symbol, date, bin, count(*) / 20.0 / any_value(wd) AS dens FROM f GROUP BY symbol, date, bin),
-h AS (SELECT symbol, date, -sum(dens * ln(dens)) AS ent FROM g GROUP BY symbol, date)
-SELECT bars.symbol, bars.date, round(coalesce({d.bfill('ent').replace('PARTITION BY symbol ORDER BY date', 'PARTITION BY bars.symbol ORDER BY bars.date')}, 0.0), 3) AS entropy FROM bars LEFT JOIN h ON h.symbol = bars.symbol AND h.date = bars.date""")
+def entropy(bars, col: str, n: int, bins: int = 50):
+    """bars with the entropy of the histogram densities of the n values before each bar; missing ones take the next one, or 0."""
+    x = bars.withColumn("_x", F.collect_list(col).over(w.W.rowsBetween(-n, -1)))
+    x = x.withColumns({"_lo": F.array_min("_x"), "_wd": (F.array_max("_x") - F.array_min("_x")) / bins})
+    place = F.transform("_x", lambda v: F.least(F.floor(F.round((v - F.col("_lo")) / F.col("_wd"), 9)), F.lit(bins - 1)))
+    x = x.withColumn("_bin", F.when((F.size("_x") == n) & (F.col("_wd") > 0), place))
+    dens = F.transform(F.array_distinct("_bin"), lambda b: F.size(F.filter("_bin", lambda v: v == b)) / F.lit(float(n)) / F.col("_wd"))
+    x = x.withColumn("_ent", F.when(F.col("_bin").isNotNull(), -F.aggregate(dens, F.lit(0.0), lambda acc, v: acc + v * F.ln(v))))
+    return x.withColumn("entropy", F.coalesce(w.bfill("_ent"), F.lit(0.0))).drop("_x", "_lo", "_wd", "_bin", "_ent")
+
+
+def entropy_sql(source: str, col: str, n: int, bins: int = 50) -> str:
+    """The common table expressions e1 .. e6 of the same over `source`; e6 has symbol, date and entropy."""
+    return f"""e1 AS (SELECT symbol, date, list_filter(list({col}) OVER ({d.OVER} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), lambda v: v IS NOT NULL) AS x FROM {source}),
+e2 AS (SELECT symbol, date, x, list_min(x) AS lo, (list_max(x) - list_min(x)) / {bins} AS wd FROM e1 WHERE len(x) = {n}),
+e3 AS (SELECT symbol, date, wd, unnest([least(floor(round((v - lo) / wd, 9)), {bins - 1}) FOR v IN x]) AS bin FROM e2 WHERE wd > 0),
+e4 AS (SELECT symbol, date, bin, count(*) / {float(n)} / any_value(wd) AS dens FROM e3 GROUP BY symbol, date, bin),
+e5 AS (SELECT symbol, date, -sum(dens * ln(dens)) AS ent FROM e4 GROUP BY symbol, date),
+e6 AS (SELECT symbol, date, coalesce({d.bfill("ent")}, 0.0) AS entropy FROM {source} LEFT JOIN e5 USING (symbol, date))"""
+
+
+@query(f"""WITH {BARS}, r AS (SELECT symbol, date, {d.log_return()} AS lr FROM bars), {entropy_sql("r", "lr", 20)}
+SELECT symbol, date, round(entropy, 3) AS entropy FROM e6""")
 def rolling_entropy(spark, sf_dir):
-    """Entropy of the histogram densities (50 bins) of the 20 returns before the bar; missing values take the next one."""
-    n, bins = 20, 50
-    x = bars_orders(spark, sf_dir).withColumn("lr", w.log_return())
-    x = x.withColumn("x", F.collect_list("lr").over(w.W.rowsBetween(-n, -1)))
-    x = x.withColumns({"lo": F.array_min("x"), "wd": (F.array_max("x") - F.array_min("x")) / bins})
-    place = F.transform("x", lambda v: F.least(F.floor((v - F.col("lo")) / F.col("wd")), F.lit(bins - 1)))
-    x = x.withColumn("bin", F.when((F.size("x") == n) & (F.col("wd") > 0), place))
-    dens = F.transform(F.array_distinct("bin"), lambda b: F.size(F.filter("bin", lambda v: v == b)) / F.lit(float(n)) / F.col("wd"))
-    x = x.withColumn("ent", F.when(F.col("bin").isNotNull(), -F.aggregate(dens, F.lit(0.0), lambda acc, v: acc + v * F.ln(v))))
-    return _select(x, entropy=_r(F.coalesce(w.bfill("ent"), F.lit(0.0)), 3))
+    """Entropy of the histogram densities (50 bins) of the 20 returns before the bar."""
+    x = entropy(bars_orders(spark, sf_dir).withColumn("lr", w.log_return()), "lr", 20)
+    return _select(x, entropy=_r("entropy", 3))
 
 
 def ffd_weights(order: float, least: float = 1e-2) -> list[float]:

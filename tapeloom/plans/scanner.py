@@ -1,45 +1,79 @@
-"""The market scanner: regime metrics and scores of each symbol relative to its sector."""
+"""The market scanner: regime metrics and model scores of each symbol relative to its sector."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tapeloom.functions import duck as d, windows as w
-from tapeloom.plans.registry import query
+from tapeloom.plans import features, risk, trading
+from tapeloom.plans.registry import ORACLE_SQL, query
 from tapeloom.sources.bars import BARS, bars_orders
 
-_SCORE = f"""{BARS}, a AS (SELECT symbol, sector, date, close, {d.log_return()} AS lr, abs(close - {d.lag('close')}) AS step, {d.zscore('close')} AS z FROM bars),
-b AS (SELECT symbol, sector, date, close, z, ({d.std('lr', 20)}) * sqrt(252) AS vol, coalesce(abs(close - {d.lag('close', 20)}) / nullif(({d.roll('sum', 'step', 20)}), 0), 0.0) AS eff FROM a),
-c AS (SELECT symbol, sector, arg_max(close, date) AS price, arg_max(z, date) AS z, arg_max(vol, date) AS vol, arg_max(eff, date) AS eff FROM b GROUP BY 1, 2),
-e AS (SELECT *, coalesce((z - avg(z) OVER (PARTITION BY sector)) / nullif(stddev_samp(z) OVER (PARTITION BY sector), 0), 0.0) AS alpha FROM c)"""
+# Bars of the entropy and of the efficiency ratio, bars that a symbol must have, the regime gate, the tail
+# loss of a symbol without a risk record.
+ENTROPY_BARS, EFFICIENCY_BARS, LEAST_BARS = 60, 30, 60
+GATE_ENTROPY, GATE_EFFICIENCY = 0.82, 0.25
+DEFAULT_TAIL = -0.05
+
 
+def scan(bars: DataFrame, models: DataFrame, tails: DataFrame) -> DataFrame:
+    """Symbols by composite score: the sector's z of the model score, plus twice the efficiency, less twice the entropy.
 
-def scores(bars):
-    """Last bar's z-score, efficiency and volatility of each symbol, against its sector: one shuffle by symbol, one of the few symbols by sector."""
-    x = bars.withColumns({"lr": w.log_return(), "step": F.abs(F.col("close") - F.lag("close").over(w.W)), "z": w.zscore("close")})
-    eff = F.coalesce(w.ratio(F.abs(F.col("close") - F.lag("close", 20).over(w.W)), w.roll(F.sum, "step", 20)), F.lit(0.0))
-    x = x.select("symbol", "sector", "date", "close", "z", (w.std("lr", 20) * math.sqrt(252)).alias("vol"), eff.alias("eff"))
-    x = x.groupBy("symbol", "sector").agg(*[F.max_by(c, "date").alias(k) for c, k in (("close", "price"), ("z", "z"), ("vol", "vol"), ("eff", "eff"))])
+    bars: (symbol, sector, date, close); models: (symbol, cv_score); tails: (symbol, es_95). Symbols with too few bars or
+    without a model score, and those in a noisy market without a trend, are left out. One shuffle by symbol, then one row a
+    symbol; a sector's deviation of 0, or of a single symbol, gives an alpha of 0.
+    """
+    x = features.entropy(bars.select("symbol", "sector", "date", "close"), "close", ENTROPY_BARS)
+    step, ratio = features.efficiency("close", EFFICIENCY_BARS)
+    x = x.withColumn("step", step).withColumn("efficiency", ratio("step"))
+    x = x.groupBy("symbol", "sector").agg(F.count("*").alias("n"), *[F.max_by(c, "date").alias(k) for c, k in (("close", "price"), ("entropy", "entropy"), ("efficiency", "efficiency"))])
+    x = x.where(F.col("n") >= LEAST_BARS).join(models.where("cv_score IS NOT NULL"), "symbol").join(tails, "symbol", "left")
+    x = x.where(~((F.round("entropy", 9) > GATE_ENTROPY) & (F.round("efficiency", 9) < GATE_EFFICIENCY)))
     s = Window.partitionBy("sector")
-    return x.withColumn("alpha", F.coalesce((F.col("z") - F.avg("z").over(s)) / F.nullif(F.stddev_samp("z").over(s), F.lit(0.0)), F.lit(0.0)))
+    alpha = (F.col("cv_score") - F.avg("cv_score").over(s)) / F.nullif(F.stddev_samp("cv_score").over(s), F.lit(0.0))
+    x = x.withColumn("alpha", F.coalesce(alpha, F.lit(0.0)))
+    tail = F.abs(F.coalesce(F.nullif("es_95", F.lit(0.0)), F.lit(DEFAULT_TAIL)))
+    return x.withColumns({"tail": tail, "score": F.col("alpha") + 2 * F.col("efficiency") - 2 * F.col("entropy")})
+
+
+def _scan(spark, sf_dir) -> DataFrame:
+    models = trading.fold_metrics(spark, sf_dir).select("symbol", "cv_score")
+    return scan(bars_orders(spark, sf_dir), models, risk.risk_tails(spark, sf_dir).select("symbol", "es_95"))
+
+
+_SCAN = f"""{BARS}, {features.entropy_sql("bars", "close", ENTROPY_BARS)},
+f1 AS (SELECT *, abs(close - {d.lag("close")}) AS step FROM bars),
+f2 AS (SELECT symbol, sector, date, close, coalesce(abs(close - {d.lag("close", EFFICIENCY_BARS)}) / nullif(({d.roll("sum", "step", EFFICIENCY_BARS)}), 0), 0.0) AS eff FROM f1),
+f3 AS (SELECT symbol, sector, count(*) AS n, arg_max(close, date) AS price, arg_max(entropy, date) AS ent, arg_max(eff, date) AS eff FROM f2 JOIN e6 USING (symbol, date) GROUP BY 1, 2),
+cv AS ({ORACLE_SQL["fold_metrics"]}), rt AS ({ORACLE_SQL["risk_tails"]}),
+f4 AS (SELECT f3.*, cv_score, es_95 FROM f3 JOIN cv USING (symbol) LEFT JOIN rt USING (symbol)
+    WHERE n >= {LEAST_BARS} AND cv_score IS NOT NULL AND NOT (round(ent, 9) > {GATE_ENTROPY} AND round(eff, 9) < {GATE_EFFICIENCY})),
+f5 AS (SELECT *, coalesce((cv_score - avg(cv_score) OVER (PARTITION BY sector)) / nullif(stddev_samp(cv_score) OVER (PARTITION BY sector), 0), 0.0) AS alpha FROM f4),
+f6 AS (SELECT *, abs(coalesce(nullif(es_95, 0), {DEFAULT_TAIL})) AS tail, alpha + 2 * eff - 2 * ent AS score FROM f5)"""
 
 
-@query(f"""WITH {_SCORE} SELECT symbol, sector, round(price, 2) AS price, round(z, 6) AS z, round(vol, 6) AS vol, round(eff, 6) AS efficiency, round(alpha, 6) AS relative_alpha,
-    round(alpha + 2 * eff - vol / 100, 6) AS final_score FROM e ORDER BY final_score DESC""")
+@query(f"""WITH {_SCAN} SELECT symbol, sector, round(price, 2) AS price, cv_score, round(ent, 6) AS entropy, round(eff, 6) AS efficiency,
+    round(tail, 6) AS es_95, round(alpha, 6) AS relative_alpha, round(score, 6) AS final_score FROM f6 ORDER BY final_score DESC""")
 def flagship_sector_score(spark, sf_dir):
-    """Composite score of each symbol, best first."""
-    x = scores(bars_orders(spark, sf_dir))
-    out = x.select("symbol", "sector", F.round("price", 2).alias("price"), F.round("z", 6).alias("z"), F.round("vol", 6).alias("vol"), F.round("eff", 6).alias("efficiency"), F.round("alpha", 6).alias("relative_alpha"), F.round(F.col("alpha") + 2 * F.col("eff") - F.col("vol") / 100, 6).alias("final_score"))
+    """Composite score of each symbol, best first. The model scores are those of the stand-in probabilities (`trading.history`)."""
+    x = _scan(spark, sf_dir)
+    r = lambda c, k=6: F.round(c, k)
+    out = x.select(
+        "symbol",
+        "sector",
+        r("price", 2).alias("price"),
+        "cv_score",
+        r("entropy").alias("entropy"),
+        r("efficiency").alias("efficiency"),
+        r("tail").alias("es_95"),
+        r("alpha").alias("relative_alpha"),
+        r("score").alias("final_score"),
+    )
     return out.orderBy(F.desc("final_score"))
 
 
-@query(f"""WITH {_SCORE}, f AS (SELECT *, round(alpha + 2 * eff - vol / 100, 9) AS score FROM e WHERE NOT (vol > 12 AND eff < 0.05)), g AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY score DESC, symbol) AS k FROM f WHERE score > 0)
-SELECT sector, symbol, k, round(score, 6) AS score FROM g WHERE k <= 3""")
+@query(f"""WITH {_SCAN} SELECT sector, symbol, round(score, 6) AS final_score FROM f6 WHERE round(score, 9) > 0 ORDER BY final_score DESC""")
 def top_picks(spark, sf_dir):
-    """Positive scores after the regime kill switch, the best three of each sector."""
-    x = scores(bars_orders(spark, sf_dir)).where(~((F.col("vol") > 12) & (F.col("eff") < 0.05)))
-    x = x.withColumn("score", F.round(F.col("alpha") + 2 * F.col("eff") - F.col("vol") / 100, 9)).where("score > 0")
-    x = x.withColumn("k", F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("score"), "symbol")).cast("long")).where("k <= 3")
-    return x.select("sector", "symbol", "k", F.round("score", 6).alias("score"))
+    """Symbols with a positive composite score, best first."""
+    x = _scan(spark, sf_dir).where(F.round("score", 9) > 0)
+    return x.select("sector", "symbol", F.round("score", 6).alias("final_score")).orderBy(F.desc("final_score"))

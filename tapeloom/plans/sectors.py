@@ -9,6 +9,10 @@ from tapeloom.plans.registry import query
 from tapeloom.sources.bars import BARS, MACRO, bars_orders, macro_yearly
 
 
+#: Other symbols of a sector that stand for it.
+PEERS = 8
+
+
 def _r(x, n=6):
     return F.round(x, n)
 
@@ -25,13 +29,13 @@ def sector_benchmark(spark, sf_dir):
 
 
 @query(f"""WITH {BARS}, p AS (SELECT DISTINCT symbol, sector FROM bars), q AS (SELECT a.symbol, b.symbol AS peer, row_number() OVER (PARTITION BY a.symbol ORDER BY b.symbol) AS k FROM p a JOIN p b ON a.sector = b.sector AND a.symbol <> b.symbol)
-SELECT q.symbol, x.date, round(avg(x.close), 4) AS bench, count(*) AS peers FROM q JOIN bars x ON x.symbol = q.peer WHERE k <= 3 GROUP BY 1, 2""")
+SELECT q.symbol, x.date, round(avg(x.close), 4) AS bench, count(*) AS peers FROM q JOIN bars x ON x.symbol = q.peer WHERE k <= {PEERS} GROUP BY 1, 2""")
 def leave_one_out(spark, sf_dir):
-    """Mean close of the first three other symbols of the sector."""
+    """Mean close of the first PEERS other symbols of the sector."""
     bars = bars_orders(spark, sf_dir)
     p = bars.select("symbol", "sector").distinct()
     q = p.join(p.withColumnRenamed("symbol", "peer"), "sector").where("symbol <> peer")
-    q = q.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("peer"))).where("k <= 3").select("symbol", "peer")
+    q = q.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy("peer"))).where(F.col("k") <= PEERS).select("symbol", "peer")
     x = bars.select(F.col("symbol").alias("peer"), "date", "close")
     return x.join(q, "peer").groupBy("symbol", "date").agg(_r(F.avg("close"), 4).alias("bench"), F.count("*").alias("peers"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tapeloom.functions import duck as d, windows as w
+from tapeloom.plans.portfolio import weekly
 from tapeloom.plans.registry import query
 from tapeloom.sources import connectors
 from tapeloom.sources.bars import BARS, BRAND_BARS, EVENT_BARS, bars_brand, bars_events, bars_orders, table
@@ -87,29 +88,55 @@ def summary_union(spark, sf_dir):
     return ok.unionByName(bad, allowMissingColumns=True).unionByName(total, allowMissingColumns=True)
 
 
-@query(f"""WITH {BARS}, m AS (SELECT date, {', '.join(f"avg(CASE WHEN sector = '{s}' THEN close END) AS {s.lower()}" for s in ('AFRICA', 'ASIA', 'EUROPE'))} FROM bars GROUP BY date),
-f AS (SELECT date, {', '.join(f"last_value({c} IGNORE NULLS) OVER (ORDER BY date) AS {c}" for c in ('africa', 'asia', 'europe'))} FROM m)
-SELECT date, round(africa, 4) AS africa, round(asia, 4) AS asia, round(europe, 4) AS europe FROM f WHERE africa IS NOT NULL AND asia IS NOT NULL AND europe IS NOT NULL""")
+_REGIONS = {"AFRICA": "africa", "AMERICA": "america", "ASIA": "asia", "EUROPE": "europe", "MIDDLE EAST": "middle_east"}
+
+
+@query(f"""WITH {BARS}, m AS (SELECT date, {', '.join(f"avg(CASE WHEN sector = '{s}' THEN close END) AS {c}" for s, c in _REGIONS.items())} FROM bars GROUP BY date),
+f AS (SELECT date, {', '.join(f"last_value({c} IGNORE NULLS) OVER (ORDER BY date) AS {c}" for c in _REGIONS.values())} FROM m)
+SELECT date, {', '.join(f"round({c}, 4) AS {c}" for c in _REGIONS.values())} FROM f WHERE {' AND '.join(f"{c} IS NOT NULL" for c in _REGIONS.values())}""")
 def price_matrix(spark, sf_dir):
     """A date x sector matrix, gaps filled forward, leading incomplete dates dropped. It has a row a calendar date, so one ordered window fits."""
-    names = ["AFRICA", "ASIA", "EUROPE"]
-    m = bars_orders(spark, sf_dir).groupBy("date").pivot("sector", names).agg(F.avg("close"))
+    m = bars_orders(spark, sf_dir).groupBy("date").pivot("sector", list(_REGIONS)).agg(F.avg("close"))
     past = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    f = m.select("date", *[F.last(c, ignorenulls=True).over(past).alias(c.lower()) for c in names]).na.drop()
-    return f.select("date", *[F.round(c.lower(), 4).alias(c.lower()) for c in names])
-
-
-@query(f"""WITH {BARS}, a AS (SELECT *, {d.log_return()} AS lr FROM bars), b AS (SELECT *, coalesce({d.std('lr', 30)}, stddev_samp(lr) OVER (PARTITION BY symbol)) AS sd, avg(volume) OVER {d.w(30)} + 2.0 * stddev_samp(volume) OVER {d.w(30)} AS vlim, count(volume) OVER {d.w(30)} AS nv FROM a),
-c AS (SELECT *, (round(abs(lr), 9) >= round(1.2 * sd, 9)) OR (nv >= 30 AND round(volume, 6) >= round(vlim, 6)) AS keep FROM b), e AS (SELECT symbol, date, close, volume FROM c WHERE keep), n AS (SELECT symbol, count(*) AS n FROM e GROUP BY symbol)
-SELECT e.symbol, e.date, round(close, 2) AS close, volume FROM e JOIN n ON n.symbol = e.symbol WHERE n >= 60""")
+    f = m.select("date", *[F.last(s, ignorenulls=True).over(past).alias(c) for s, c in _REGIONS.items()]).na.drop()
+    return f.select("date", *[F.round(c, 4).alias(c) for c in _REGIONS.values()])
+
+
+# Deviations that make a bar an event, by kind of sector; bars of the look-back; events that a symbol must have.
+EVENT_SIGMA, OTHER_SIGMA = {"banks and insurers": 0.8, "hydropower and microfinance": 0.5}, 0.6
+LOOK_BACK, LEAST_EVENTS = 30, 120
+#: The kinds of these tables' sectors.
+_KINDS = {"AFRICA": "banks and insurers", "AMERICA": "banks and insurers", "ASIA": "hydropower and microfinance"}
+_SIGMA = " ".join(f"WHEN sector = '{s}' THEN {EVENT_SIGMA[k]}" for s, k in _KINDS.items())
+
+
+def event_or_weekly(bars, sigma):
+    """(symbol, date, close, volume, kind): bars of large moves or volumes; weekly bars of symbols with too few of them."""
+    x = bars.withColumn("lr", F.abs(w.log_return()))
+    whole = F.stddev_samp("lr").over(w.BY)
+    sd = F.coalesce(F.nullif(w.std("lr", LOOK_BACK), F.lit(0.0)), whole)
+    high = w.mean("volume", LOOK_BACK) + sigma * F.nullif(w.std("volume", LOOK_BACK), F.lit(0.0))
+    moved = F.coalesce(F.round("lr", 9) >= F.round(F.coalesce(sigma * sd, F.lit(0.0)), 9), F.lit(False))
+    traded = F.coalesce(F.round("volume", 6) >= F.round(high, 6), F.lit(False))
+    x = x.withColumn("event", moved | traded).withColumn("n", F.sum(F.col("event").cast("int")).over(w.BY))
+    events = x.where(F.col("event") & (F.col("n") >= LEAST_EVENTS)).select("symbol", "date", "close", "volume", F.lit("event").alias("kind"))
+    few = weekly(x.where(F.col("n") < LEAST_EVENTS))
+    return events.unionByName(few.select("symbol", F.col("week").alias("date"), "close", "volume", F.lit("weekly").alias("kind")))
+
+
+@query(f"""WITH {BARS}, a AS (SELECT *, abs({d.log_return()}) AS lr, CASE {_SIGMA} ELSE {OTHER_SIGMA} END AS sigma FROM bars),
+b AS (SELECT *, coalesce(nullif(({d.std('lr', LOOK_BACK)}), 0), stddev_samp(lr) OVER (PARTITION BY symbol)) AS sd, ({d.mean('volume', LOOK_BACK)}) + sigma * nullif(({d.std('volume', LOOK_BACK)}), 0) AS vlim FROM a),
+c AS (SELECT *, coalesce(round(lr, 9) >= round(coalesce(sigma * sd, 0.0), 9), false) OR coalesce(round(volume, 6) >= round(vlim, 6), false) AS event FROM b),
+e AS (SELECT *, sum(event::INT) OVER (PARTITION BY symbol) AS n FROM c)
+SELECT symbol, date, round(close, 2) AS close, volume, 'event' AS kind FROM e WHERE event AND n >= {LEAST_EVENTS}
+UNION ALL SELECT symbol, date + ((5 - dayofweek(date) + 7) % 7)::INT, round(arg_max(close, date), 2), sum(volume), 'weekly' FROM e WHERE n < {LEAST_EVENTS} GROUP BY 1, 2""")
 def event_bars(spark, sf_dir):
-    """Bars of large moves or volumes; symbols with fewer than 60 of them are left to the weekly bars."""
-    x = bars_orders(spark, sf_dir).withColumn("lr", w.log_return())
-    sd = F.coalesce(w.std("lr", 30), F.stddev_samp("lr").over(w.BY))
-    high = F.avg("volume").over(w.frame(30)) + 2.0 * F.stddev_samp("volume").over(w.frame(30))
-    big = F.coalesce(F.round(F.abs("lr"), 9) >= F.round(1.2 * sd, 9), F.lit(False)) | F.coalesce((F.count("volume").over(w.frame(30)) >= 30) & (F.round("volume", 6) >= F.round(high, 6)), F.lit(False))
-    x = x.withColumn("keep", big).where("keep").withColumn("n", F.count("*").over(w.BY)).where("n >= 60")
-    return x.select("symbol", "date", F.round("close", 2).alias("close"), "volume")
+    """Event bars by the sigma of the symbol's sector, weekly bars where there are too few."""
+    sigma = F.lit(OTHER_SIGMA)
+    for sector, kind in _KINDS.items():
+        sigma = F.when(F.col("sector") == sector, EVENT_SIGMA[kind]).otherwise(sigma)
+    x = event_or_weekly(bars_orders(spark, sf_dir).withColumn("sigma", sigma), F.col("sigma"))
+    return x.select("symbol", "date", F.round("close", 2).alias("close"), "volume", "kind")
 
 
 @query("""WITH r AS (SELECT event_type AS namespace, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H-%M') ELSE strftime(ts, '%Y%m%dT%H%M%SZ') END AS run_id, CASE WHEN event_id % 2 = 0 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS t, event_id FROM events)
