@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from tapeloom.functions import windows as w
+from tapeloom.sources.bars import by_symbol
 
 # Words in a label that ask for a block.
 FX = ("fx", "usd", "forex", "currency", "exchange")
 REMITTANCE = ("remit", "inflow", "foreign", "remittance")
 RAIN = ("rain", "rainfall", "precip", "hydro", "monsoon")
 INFLATION = ("inflation", "cpi")
+BANK = ("remit", "liquidity", "rate")
+BANK_SECTORS = ("Commercial Banks", "Development Banks")
+HYDRO_SECTORS = ("Hydropower",)
 
 
 def _zero(x):
@@ -20,17 +26,26 @@ def _zero(x):
 def at_dates(bars: DataFrame, series: DataFrame) -> DataFrame:
     """bars with m: the value of exactly the bar's date, gaps filled forward by symbol. Values of other dates are not seen."""
     joined = bars.join(series.select("date", F.col("value").alias("raw")), "date", "left")
-    return joined.withColumn("m", w.ffill("raw")).drop("raw")
+    return by_symbol(joined).withColumn("m", w.ffill("raw")).drop("raw")
+
 
+def block(x: DataFrame, label: str, sector: str | None = None, beta: str | None = None) -> tuple[DataFrame, list[str]]:
+    """x (symbol, date, close, m) with the label's feature columns, and their names; what is missing counts 0.
 
-def block(x: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
-    """x (symbol, date, close, m) with the label's feature columns, and their names; what is missing counts 0."""
+    `beta` names a column of the symbol's beta to its sector; `sector` asks for what banks and hydropower get besides.
+    """
     has = lambda keys: any(k in label.lower() for k in keys)
     x = x.withColumns({"ar": _zero(w.change("close")), "mr": _zero(w.change("m"))})
     x = x.withColumns({"beta": _zero(w.beta("ar", "mr", 126)), "corr": _zero(w.pair(F.corr, "ar", "mr", 126)), "link": F.col("ar") * F.col("mr"), "gap": F.col("ar") - F.col("mr")})
     made = {
         "z": w.zscore("m", 252), "return_5d": _zero(w.change("m", 5)), "return_20d": _zero(w.change("m", 20)), "beta_z": w.zscore("beta", 126), "corr_z": w.zscore("corr", 126), "spread_z": w.zscore("gap", 126), "asset_interaction": F.col("link"),
+        "momentum": _zero(w.mean("mr", 60) / F.nullif(w.std("mr", 60), F.lit(0.0)) * math.sqrt(252)),
     }
+    if beta:
+        x = x.withColumn("pull", _zero(F.col(beta)) * F.col("mr"))
+        made["sector_beta_interaction"] = F.col("pull")
+        if has(INFLATION):
+            made["inflation_sensitivity_z"] = w.zscore("pull", 126)
     if has(INFLATION):
         x = x.withColumn("carry", w.mean("link", 126))
         made["inflation_carry_z"] = w.zscore("carry", 126)
@@ -43,4 +58,10 @@ def block(x: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
     if has(RAIN):
         x = x.withColumn("dev", _zero(F.col("m") - w.mean("m", 252)))
         made["hydro_stress_z"] = w.zscore("dev", 252)
+        if sector in HYDRO_SECTORS:
+            low, high = w.roll(F.min, "m", 252), w.roll(F.max, "m", 252)
+            trend = _zero(w.mean("ar", 60) / F.nullif(w.std("ar", 60), F.lit(0.0)) * math.sqrt(252))
+            made["hydro_interaction"] = trend * F.coalesce((F.col("m") - low) / (high - low + 1e-6), F.lit(0.5))
+    if sector in BANK_SECTORS and has(BANK):
+        made["bank_interaction"] = _zero(w.zscore("m", 126) / w.clamp(w.ratio(w.std("ar", 20), w.std("ar", 120)), 0.5, 2.0))
     return x.withColumns({f"macro_{k}": v for k, v in made.items()}), [f"macro_{k}" for k in made]

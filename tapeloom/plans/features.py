@@ -171,12 +171,20 @@ f AS (SELECT *, list_sum([av[i] * pow(1 - 2.0 / 21, len(av) - i) FOR i IN range(
 SELECT symbol, date, round(coalesce(CASE WHEN k >= 20 THEN num / nullif(den, 0) END, 0.0), 6) AS smart_money FROM f""")
 def smart_money(spark, sf_dir):
     """Weighted place of the close in the true range by volume: two exponential sums (span 20) and their ratio."""
+    return _select(money_flow(bars_orders(spark, sf_dir)), smart_money=_r("smart_money"))
+
+
+def money_flow(bars):
     prev = F.lag("close").over(w.W)
-    x = bars_orders(spark, sf_dir).withColumns({"th": F.greatest("high", prev), "tl": F.least("low", prev)})
-    x = x.withColumn("adv", F.coalesce(w.ratio(2 * F.col("close") - F.col("th") - F.col("tl"), F.col("th") - F.col("tl")), F.lit(0.0)) * F.col("volume"))
-    fold = lambda c: F.aggregate(F.collect_list(c).over(w.frame(_SMF_DEPTH)), F.lit(0.0), lambda acc, v: acc * (1 - 2 / 21) + v)
-    flow = F.when(F.count("*").over(w.PAST) >= 20, w.ratio(fold("adv"), fold("volume")))
-    return _select(x, smart_money=_r(F.coalesce(flow, F.lit(0.0))))
+    x = bars.withColumns({"_th": F.greatest("high", prev), "_tl": F.least("low", prev)})
+    place = w.ratio(2 * F.col("close") - F.col("_th") - F.col("_tl"), F.col("_th") - F.col("_tl"))
+    x = x.withColumn("_adv", F.coalesce(place, F.lit(0.0)) * F.col("volume"))
+
+    def fold(c):
+        return F.aggregate(F.collect_list(c).over(w.frame(_SMF_DEPTH)), F.lit(0.0), lambda acc, v: acc * (1 - 2 / 21) + v)
+
+    flow = F.when(F.count("*").over(w.PAST) >= 20, w.ratio(fold("_adv"), fold("volume")))
+    return x.withColumn("smart_money", F.coalesce(flow, F.lit(0.0))).drop("_th", "_tl", "_adv")
 
 
 def efficiency(p="close", n: int = 20):
@@ -225,7 +233,7 @@ def rolling_entropy(spark, sf_dir):
     return _select(x, entropy=_r("entropy", 3))
 
 
-def ffd_weights(order: float, least: float = 1e-2) -> list[float]:
+def ffd_weights(order: float, least: float = 1e-4) -> list[float]:
     """Weights of fixed-width fractional differences, newest first, until one is below `least`."""
     out = [1.0]
     while abs(nxt := -out[-1] * (order - len(out) + 1) / len(out)) >= least:
@@ -236,12 +244,23 @@ def ffd_weights(order: float, least: float = 1e-2) -> list[float]:
 _FFD = ffd_weights(0.4)
 
 
-@query(f"""WITH {BARS} SELECT symbol, date, round({' + '.join(f"{x!r} * ln(lag(close, {k}) OVER ({d.OVER}))" for k, x in enumerate(_FFD))}, 6) AS frac_diff FROM bars""")
+def fractional(lp: str = "lp", weights: list[float] = _FFD):
+    """Weighted sum of the last values, NULL until there is one for each weight."""
+    n = len(weights)
+    products = F.zip_with(F.collect_list(lp).over(w.frame(n)), F.array(*map(F.lit, reversed(weights))), lambda x, k: x * k)
+    return F.when(F.count(lp).over(w.frame(n)) >= n, F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v))
+
+
+def fractional_sql(lp: str = "lp", weights: list[float] = _FFD) -> str:
+    n = len(weights)
+    return f"CASE WHEN count({lp}) OVER {d.w(n)} >= {n} THEN list_dot_product(list({lp}) OVER {d.w(n)}, {[float(x) for x in reversed(weights)]}) END"
+
+
+@query(f"""WITH {BARS}, a AS (SELECT symbol, date, ln(close) AS lp FROM bars) SELECT symbol, date, round({fractional_sql()}, 6) AS frac_diff FROM a""")
 def frac_diff(spark, sf_dir):
-    """Fixed-width fractional difference of order 0.4 of the log price."""
+    """Fixed-width fractional difference of order 0.4 of the log price, with all weights of 1e-4 and more."""
     x = bars_orders(spark, sf_dir).withColumn("lp", F.ln("close"))
-    total = sum((F.lag("lp", k).over(w.W) * x_ for k, x_ in enumerate(_FFD) if k), F.col("lp") * _FFD[0])
-    return _select(x, frac_diff=_r(total))
+    return _select(x, frac_diff=_r(fractional()))
 
 
 @query(f"""WITH {BARS}, a AS (SELECT symbol, date, {d.log_return()} AS lr FROM bars), b AS (SELECT *, {d.lag('lr')} AS prev FROM a)

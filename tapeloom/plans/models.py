@@ -46,13 +46,6 @@ def factor_frame(bars, up: float = 1.25, down: float = 2.5):
     return f.triple_barrier(x, up=up, down=down).select("symbol", "date", *FACTORS, "target")
 
 
-@query(f"""WITH {BARS}, a AS (SELECT *, close / max(close) OVER {d.w()} - 1 AS dd, {d.log_return()} AS lr FROM bars), b AS (SELECT *, {d.std('lr', 20)} AS vol20 FROM a)
-SELECT symbol, date, round({d.zscore('lr', 126)}, 5) AS ret_z, round({d.zscore('vol20', 252)}, 5) AS vol_z, round({d.zscore('dd', 252)}, 5) AS drawdown_z FROM b""")
-def factor_assembly(spark, sf_dir):
-    x = factor_frame(bars_orders(spark, sf_dir))
-    return x.select("symbol", "date", *[F.round(c, 5).alias(c) for c in ("ret_z", "vol_z", "drawdown_z")])
-
-
 @query()
 def signal_model(spark, sf_dir):
     """Walk-forward model of each symbol; near barriers, since these panels move by their own size from day to day."""

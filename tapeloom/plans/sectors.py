@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from tapeloom.functions import duck as d, windows as w
 from tapeloom.plans.registry import query
-from tapeloom.sources.bars import BARS, MACRO, bars_orders, macro_yearly
+from tapeloom.sources.bars import BARS, MACRO, bars_orders, by_symbol, macro_yearly
 
 
 #: Other symbols of a sector that stand for it.
@@ -17,6 +17,11 @@ def _r(x, n=6):
     return F.round(x, n)
 
 
+def with_bench(bars):
+    """bars with the mean close of the sector on each date, dealt by symbol."""
+    return by_symbol(bars.withColumn("bench", F.avg("close").over(Window.partitionBy("sector", "date"))))
+
+
 def benchmark(bars):
     """Mean close of a sector's symbols on each date, and the same without the symbol itself."""
     s = Window.partitionBy("sector", "date")
@@ -40,17 +45,73 @@ def leave_one_out(spark, sf_dir):
     return x.join(q, "peer").groupBy("symbol", "date").agg(_r(F.avg("close"), 4).alias("bench"), F.count("*").alias("peers"))
 
 
-@query(f"""WITH {BARS}, s AS (SELECT *, avg(close) OVER (PARTITION BY sector, date) AS bench FROM bars),
-a AS (SELECT symbol, date, close, bench, close / bench - 1 AS rel, {d.change('close', 20)} AS a20, {d.change('bench', 20)} AS b20, {d.change('close')} AS ar, {d.change('bench')} AS br, close / max(close) OVER {d.w()} - 1 AS add_, bench / max(bench) OVER {d.w()} - 1 AS bdd FROM s),
-b AS (SELECT *, a20 - b20 AS spread, ({d.std('ar', 20)}) - ({d.std('br', 20)}) AS volspread, add_ - bdd AS ddspread FROM a)
-SELECT symbol, date, round({d.zscore('rel', 126)}, 5) AS rel_strength_z, round({d.zscore('spread', 126)}, 5) AS spread_z, round({d.zscore('volspread', 126)}, 5) AS vol_spread_z,
-    round({d.beta('ar', 'br', 126)}, 5) AS beta_raw, round({d.zscore('ddspread', 126)}, 5) AS drawdown_z FROM b""")
+#: Bars of the forward return and of what is measured over the same time.
+HORIZON = 21
+SECTOR_COLUMNS = [
+    "rel_strength_z", "spread_z", "vol_spread_z", "spread_pct_rank", "momentum_spread_z", "beta_raw", "corr_raw", "beta_z", "corr_z",
+    "trend_interaction", "corr_interaction", "drawdown_z",
+]
+
+
+def sector_frame(x, horizon: int = HORIZON):
+    """x (symbol, date, close, bench) with the SECTOR_COLUMNS under `sector_`; what is missing counts 0."""
+    n, zero = max(horizon, 5), lambda c: F.coalesce(c, F.lit(0.0))
+
+    def momentum(r):
+        return zero(w.mean(r, n) / F.nullif(w.std(r, n), F.lit(0.0)) * F.sqrt(F.lit(252.0)))
+
+    x = x.withColumns({"_ar": w.change("close"), "_br": w.change("bench"), "_rel": zero(w.ratio(F.col("close"), F.col("bench")) - 1)})
+    x = x.withColumns({"_a0": zero(F.col("_ar")), "_b0": zero(F.col("_br"))})
+    x = x.withColumns(
+        {
+            "_spread": zero(w.change("close", n) - w.change("bench", n)),
+            "_vol": zero(w.std("_ar", 20) - w.std("_br", 20)),
+            "_mom": momentum("_ar") - momentum("_br"),
+            "_dd": F.col("close") / F.max("close").over(w.PAST) - F.col("bench") / F.max("bench").over(w.PAST),
+            "_beta": zero(w.beta("_a0", "_b0", 126)),
+            "_corr": zero(w.pair(F.corr, "_a0", "_b0", 126)),
+        }
+    )
+    made = {"rel_strength_z": w.zscore("_rel", 126), "beta_z": w.zscore("_beta", 126), "corr_z": w.zscore("_corr", 126)}
+    x = x.withColumns({f"sector_{k}": v for k, v in made.items()})
+    made = {"spread_z": w.zscore("_spread", 126), "vol_spread_z": w.zscore("_vol", 126), "momentum_spread_z": w.zscore("_mom", 126), "drawdown_z": w.zscore("_dd", 126)}
+    made |= {
+        "spread_pct_rank": zero(w.percent_rank_of_last("_spread", 252, 20)),
+        "beta_raw": F.col("_beta"),
+        "corr_raw": F.col("_corr"),
+        "trend_interaction": F.col("sector_beta_z") * F.col("sector_rel_strength_z"),
+        "corr_interaction": F.col("sector_corr_z") * F.col("sector_rel_strength_z"),
+    }
+    return x.withColumns({f"sector_{k}": v for k, v in made.items()}).drop("_ar", "_br", "_rel", "_a0", "_b0", "_spread", "_vol", "_mom", "_dd", "_beta", "_corr")
+
+
+def sector_frame_sql(source: str, horizon: int = HORIZON) -> str:
+    """The common table expressions s1 .. s5 of the same over `source`; s5 has symbol, date and the columns."""
+    n = max(horizon, 5)
+
+    def momentum(r):
+        return f"coalesce(({d.mean(r, n)}) / nullif(({d.std(r, n)}), 0) * sqrt(252.0), 0.0)"
+
+    return f"""s1 AS (SELECT symbol, date, close, bench, {d.change("close")} AS ar, {d.change("bench")} AS br, coalesce(close / nullif(bench, 0) - 1, 0.0) AS rel FROM {source}),
+s2 AS (SELECT *, coalesce(ar, 0.0) AS a0, coalesce(br, 0.0) AS b0 FROM s1),
+s3 AS (SELECT *, coalesce(({d.std("ar", 20)}) - ({d.std("br", 20)}), 0.0) AS volspread,
+    {momentum("ar")} - {momentum("br")} AS mom, close / max(close) OVER {d.w()} - bench / max(bench) OVER {d.w()} AS ddspread,
+    coalesce({d.beta("a0", "b0", 126)}, 0.0) AS beta, coalesce({d.pair("corr", "a0", "b0", 126)}, 0.0) AS co, list(spread) OVER {d.w(252)} AS seen FROM (SELECT *, coalesce(({d.change("close", n)}) - ({d.change("bench", n)}), 0.0) AS spread FROM s2)),
+s4 AS (SELECT *, {d.zscore("rel", 126)} AS relz, {d.zscore("beta", 126)} AS betaz, {d.zscore("co", 126)} AS corrz FROM s3),
+s5 AS (SELECT symbol, date, relz AS sector_rel_strength_z, {d.zscore("spread", 126)} AS sector_spread_z, {d.zscore("volspread", 126)} AS sector_vol_spread_z,
+    coalesce(CASE WHEN len(seen) >= 20 THEN len(list_filter(seen, lambda v: v <= spread)) / len(seen) END, 0.0) AS sector_spread_pct_rank, {d.zscore("mom", 126)} AS sector_momentum_spread_z,
+    beta AS sector_beta_raw, co AS sector_corr_raw, betaz AS sector_beta_z, corrz AS sector_corr_z, betaz * relz AS sector_trend_interaction, corrz * relz AS sector_corr_interaction,
+    {d.zscore("ddspread", 126)} AS sector_drawdown_z FROM s4)"""
+
+
+_BENCH = f"{BARS}, bb AS (SELECT *, avg(close) OVER (PARTITION BY sector, date) AS bench FROM bars)"
+
+
+@query(f"""WITH {_BENCH}, {sector_frame_sql("bb")} SELECT symbol, date, {", ".join(f"round(sector_{c}, 4) AS sector_{c}" for c in SECTOR_COLUMNS)} FROM s5""")
 def sector_features(spark, sf_dir):
-    x = bars_orders(spark, sf_dir).withColumn("bench", F.avg("close").over(Window.partitionBy("sector", "date")))
-    x = x.withColumns({"rel": F.col("close") / F.col("bench") - 1, "a20": w.change("close", 20), "b20": w.change("bench", 20), "ar": w.change("close"), "br": w.change("bench"), "add": F.col("close") / F.max("close").over(w.PAST) - 1, "bdd": F.col("bench") / F.max("bench").over(w.PAST) - 1})
-    x = x.withColumns({"spread": F.col("a20") - F.col("b20"), "volspread": w.std("ar", 20) - w.std("br", 20), "ddspread": F.col("add") - F.col("bdd")})
-    z = lambda c: _r(w.zscore(c, 126), 5)
-    return x.select("symbol", "date", z("rel").alias("rel_strength_z"), z("spread").alias("spread_z"), z("volspread").alias("vol_spread_z"), _r(w.beta("ar", "br", 126), 5).alias("beta_raw"), z("ddspread").alias("drawdown_z"))
+    """All features of a symbol against its sector's mean close."""
+    x = with_bench(bars_orders(spark, sf_dir))
+    return sector_frame(x).select("symbol", "date", *[_r(f"sector_{c}", 4).alias(f"sector_{c}") for c in SECTOR_COLUMNS])
 
 
 @query(f"""WITH {BARS}, s AS (SELECT *, avg(close) OVER (PARTITION BY sector, date) AS bench FROM bars), a AS (SELECT symbol, date, ({d.change('close', 63)}) - ({d.change('bench', 63)}) AS spread FROM s),
@@ -58,7 +119,7 @@ b AS (SELECT symbol, date, (spread - ({d.mean('spread', 252, 63)})) / nullif(({d
 SELECT symbol, round(z, 6) AS z, round(0.5 + 0.2 * tanh(z), 6) AS probability, round(least(greatest(1 + z / 4, 0.5), 1.5), 6) AS size, round(least(1.0, abs(z) / 2), 6) AS confidence FROM c""")
 def sector_signal(spark, sf_dir):
     """Signal of the 63-bar spread to the sector: probability, size and confidence from its last z-score."""
-    x = bars_orders(spark, sf_dir).withColumn("bench", F.avg("close").over(Window.partitionBy("sector", "date"))).withColumn("spread", w.change("close", 63) - w.change("bench", 63))
+    x = with_bench(bars_orders(spark, sf_dir)).withColumn("spread", w.change("close", 63) - w.change("bench", 63))
     x = x.withColumn("z", (F.col("spread") - w.mean("spread", 252, 63)) / F.nullif(w.std("spread", 252, 63), F.lit(0.0))).where("z IS NOT NULL")
     x = x.groupBy("symbol").agg(F.max_by("z", "date").alias("z"))
     return x.select("symbol", _r("z").alias("z"), _r(0.5 + 0.2 * F.tanh("z")).alias("probability"), _r(F.least(F.greatest(1 + F.col("z") / 4, F.lit(0.5)), F.lit(1.5))).alias("size"), _r(F.least(F.lit(1.0), F.abs("z") / 2)).alias("confidence"))
@@ -72,7 +133,7 @@ def as_of(bars, macro):
     dates = bars.select("date").distinct().withColumn("value", F.lit(None).cast("double"))
     tagged = dates.withColumn("side", F.lit(1)).unionByName(macro.select("date", "value").withColumn("side", F.lit(0)))
     filled = tagged.withColumn("macro", F.last("value", ignorenulls=True).over(Window.orderBy("date", "side").rowsBetween(Window.unboundedPreceding, 0)))
-    return bars.join(filled.where("side = 1").select("date", "macro"), "date", "left")
+    return by_symbol(bars.join(filled.where("side = 1").select("date", "macro"), "date", "left"))
 
 
 @query(f"""WITH {BARS}, {MACRO} SELECT bars.symbol, bars.date, round(macro.value, 4) AS macro FROM bars ASOF LEFT JOIN macro ON bars.date >= macro.date""")
@@ -97,7 +158,7 @@ def calendar(bars):
     """Sunday to Thursday dates between each symbol's first and last bar, left-joined to the bars."""
     span = bars.groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("b"))
     days = span.select("symbol", F.explode(F.sequence("a", "b")).alias("date")).where(F.dayofweek("date").between(1, 5))
-    return days.join(bars.drop("sector"), ["symbol", "date"], "left")
+    return by_symbol(days.join(bars.drop("sector"), ["symbol", "date"], "left"))
 
 
 _CAL = f"""{BARS}, span AS (SELECT symbol, min(date) AS a, max(date) AS b FROM bars GROUP BY symbol), days AS (SELECT symbol, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS date FROM span),

@@ -9,19 +9,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_symbol(bars: DataFrame) -> DataFrame:
+    """bars dealt by symbol, as every window over them needs. Windows cost far more than their rows' bytes tell, so the number
+    of partitions is given: adaptive execution would merge them by bytes."""
+    return bars.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol")
+
+
 def bars_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of nations: prices are order totals, the first and last order of a day open and close it."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("date"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy(F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"), "date").agg(
+    bars = joined.groupBy(F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"), "date").agg(
         F.min_by("o_totalprice", "o_orderkey").alias("open"),
         F.max("o_totalprice").alias("high"),
         F.min("o_totalprice").alias("low"),
         F.max_by("o_totalprice", "o_orderkey").alias("close"),
         F.count("*").cast("double").alias("volume"),
     )
+    return by_symbol(bars)
 
 
 def bars_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
