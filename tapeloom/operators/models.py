@@ -107,113 +107,6 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, ridge: f
     return b
 
 
-class Boosted:
-    """Histogram gradient boosting of log-loss with monotone constraints: depth-wise trees over quantile bins."""
-
-    def __init__(self, rounds: int = 120, rate: float = 0.03, depth: int = 3, leaf: int = 40, l2: float = 1.0, monotone: dict[int, int] | None = None):
-        self.rounds, self.rate, self.depth, self.leaf, self.l2, self.monotone = rounds, rate, depth, leaf, l2, monotone or {}
-
-    def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Boosted:
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x.T]
-        bins = np.column_stack([np.searchsorted(e, c, "right") for e, c in zip(self.edges, x.T)])
-        p = np.clip((w * y).sum() / w.sum(), 1e-3, 1 - 1e-3)
-        self.base, self.trees = float(np.log(p / (1 - p))), []
-        f = np.full(len(y), self.base)
-        for _ in range(self.rounds):
-            q = 1 / (1 + np.exp(-f))
-            tree = self._grow(bins, w * (y - q), w * q * (1 - q), np.arange(len(y)), self.depth, -np.inf, np.inf)
-            self.trees.append(tree)
-            f = f + self.rate * self._value(tree, bins)
-        return self
-
-    def _grow(self, bins, g, h, rows, depth, low, high):
-        value = float(np.clip(g[rows].sum() / (h[rows].sum() + self.l2), low, high))
-        best = (1e-9, None)
-        if depth and len(rows) >= 2 * self.leaf:
-            total_g, total_h = g[rows].sum(), h[rows].sum()
-            for j in range(bins.shape[1]):
-                n = len(self.edges[j]) + 1
-                b = bins[rows, j]
-                cg, ch, cn = (np.cumsum(np.bincount(b, v, n))[:-1] for v in (g[rows], h[rows], None))
-                vl, vr = cg / (ch + self.l2), (total_g - cg) / (total_h - ch + self.l2)
-                gain = cg**2 / (ch + self.l2) + (total_g - cg) ** 2 / (total_h - ch + self.l2) - total_g**2 / (total_h + self.l2)
-                ok = (cn >= self.leaf) & (len(rows) - cn >= self.leaf)
-                if sign := self.monotone.get(j):
-                    ok &= sign * (vr - vl) >= 0
-                gain = np.where(ok, gain, -1)
-                if len(gain) and gain.max() > best[0]:
-                    k = int(gain.argmax())
-                    best = (float(gain[k]), (j, k, float(vl[k]), float(vr[k])))
-        if best[1] is None:
-            return value
-        j, k, vl, vr = best[1]
-        mid, left = (np.clip(vl, low, high) + np.clip(vr, low, high)) / 2, bins[rows, j] <= k
-        sign = self.monotone.get(j, 0)
-        return (j, k, self._grow(bins, g, h, rows[left], depth - 1, mid if sign < 0 else low, mid if sign > 0 else high), self._grow(bins, g, h, rows[~left], depth - 1, mid if sign > 0 else low, mid if sign < 0 else high))
-
-    def _value(self, tree, bins):
-        if isinstance(tree, float):
-            return np.full(len(bins), tree)
-        j, k, a, b = tree
-        return np.where(bins[:, j] <= k, self._value(a, bins), self._value(b, bins))
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        bins = np.column_stack([np.searchsorted(e, c, "right") for e, c in zip(self.edges, x.T)])
-        return 1 / (1 + np.exp(-self.base - self.rate * sum(self._value(t, bins) for t in self.trees)))
-
-
-def neutralise(x: np.ndarray, share: float = 0.55) -> np.ndarray:
-    """x less a share of its first principal component's reconstruction."""
-    m = x.mean(0)
-    v = np.linalg.svd(x - m, full_matrices=False)[2][:1]
-    return x - share * ((x - m) @ v.T @ v + m)
-
-
-def scaled(x: np.ndarray) -> np.ndarray:
-    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
-    return (x - q[1]) / np.where(q[2] - q[0] > 1e-9, q[2] - q[0], 1)
-
-
-def walk_forward(rows: pd.DataFrame, features: list[str], horizon: int = 21, folds: int = 3) -> dict:
-    """Forward-chained folds with gap and embargo, then a final fit: probability of the last row, fold scores, drivers."""
-    rows = rows.sort_values("date")
-    neutral = {"probability": 0.5, "cv_score": None, "cv_std": None, "folds": 0, "confidence": None, "top": "", "note": ""}
-    known = rows.dropna(subset=["target"])
-    if len(known) < max(150, 2 * horizon):
-        return neutral | {"note": "short history"}
-    x, y = neutralise(scaled(known[features].fillna(0).to_numpy(float))), known["target"].to_numpy(float)
-    if len(set(y)) < 2:
-        return neutral | {"probability": 0.0, "note": "one class"}
-    n, scores, oos = len(y), [], []
-    size, gap = n // (folds + 1), 5 if n < 300 else 20
-    weight = lambda y: np.linspace(0.7, 1.3, len(y)) * np.where(y > 0, len(y) / 2 / max(y.sum(), 1), len(y) / 2 / max((1 - y).sum(), 1))
-    for k in range(1, folds + 1):
-        end = k * size - gap - min(max(63, horizon), max(0, k * size - gap - 50))
-        a, b = slice(0, max(end, 0)), slice(k * size, min((k + 1) * size, n))
-        if end < 50 or b.stop - b.start < 10 or not 0.1 <= y[a].mean() <= 0.9 or not 0.1 <= y[b].mean() <= 0.9:
-            continue
-        p = np.clip(Boosted(60).fit(x[a], y[a], weight(y[a])).predict(x[b]), 1e-4, 1 - 1e-4)
-        r, pos = pd.Series(p).rank().to_numpy(), y[b].sum()
-        auc = (r[y[b] == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(p) - pos))
-        loss = -(y[b] * np.log(p) + (1 - y[b]) * np.log(1 - p)).mean()
-        scores.append(0.6 * auc + 0.4 * max(0.0, (math.log(2) - loss) / math.log(2)))
-        oos.append((p, y[b]))
-    last = neutralise(scaled(rows[features].fillna(0).to_numpy(float)))[-1:]
-    p = float(Boosted(120).fit(x, y, weight(y)).predict(last)[0])
-    tail = slice(max(0, n - 720), n)
-    b = logistic(x[tail], y[tail], weight(y[tail]))
-    p = 0.67 * p + 0.33 / (1 + math.exp(-float(np.clip(np.r_[last[0], 1] @ b, -30, 30))))
-    if oos and sum(len(q) for q, _ in oos) >= 200:
-        q, t = (np.concatenate(v) for v in zip(*oos))
-        c = logistic(np.log(q / (1 - q))[:, None], t, ridge=0.5)
-        p = float(1 / (1 + np.exp(-(c[0] * np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4))) + c[1]))))
-    cut = max(n - 40, n * 4 // 5)
-    held = ((x[cut:] @ (h := logistic(x[:cut], y[:cut]))[:-1] + h[-1] > 0) == (y[cut:] > 0)).mean()
-    with np.errstate(invalid="ignore", divide="ignore"):
-        drive = pd.Series({f: abs(np.corrcoef(known[f].fillna(0), y)[0, 1]) for f in features}).fillna(0).sort_values(ascending=False)
-    return {"probability": p, "cv_score": float(np.mean(scores)) if scores else None, "cv_std": float(np.std(scores, ddof=1)) if len(scores) > 1 else None, "folds": len(scores), "confidence": float(held), "top": ",".join(drive.index[:3]), "note": ""}
-
-
 def by_symbol(bars: DataFrame, f, schema: str) -> DataFrame:
     """f(date-ordered rows) -> dict, for each symbol."""
 

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from tapeloom.functions import duck as d, windows as w
-from tapeloom.operators import models
-from tapeloom.plans import features as f
+from tapeloom.operators import models, signal
+from tapeloom.plans import factors
 from tapeloom.plans.registry import query
 from tapeloom.sources.bars import BARS, bars_orders
 
@@ -35,22 +35,11 @@ def frac_diff_order(spark, sf_dir):
     return models.by_symbol(_returns(spark, sf_dir), lambda r: {"d": models.least_order(r["close"].to_numpy(float))}, "d double")
 
 
-FACTORS = ["dist_ma_z", "bb_position", "price_range_pos", "dist_sma200_z", "rsi", "adx", "ret_z", "vol_z", "drawdown_z"]
-
-
-def factor_frame(bars, up: float = 1.25, down: float = 2.5):
-    """Factors and the triple-barrier target of each bar: one shuffle by symbol, a projection on top of another."""
-    x = f.adx(f.rsi(f.reversion(bars)))
-    x = x.withColumns({"lr": w.log_return(), "dd": F.col("close") / F.max("close").over(w.PAST) - 1})
-    x = x.withColumns({"ret_z": w.zscore("lr", 126), "vol20": w.std("lr", 20), "drawdown_z": w.zscore("dd", 252)}).withColumn("vol_z", w.zscore("vol20", 252))
-    return f.triple_barrier(x, up=up, down=down).select("symbol", "date", *FACTORS, "target")
-
-
 @query()
 def signal_model(spark, sf_dir):
-    """Walk-forward model of each symbol; near barriers, since these panels move by their own size from day to day."""
-    schema = "probability double, cv_score double, cv_std double, folds int, confidence double, top string, note string"
-    return models.by_symbol(factor_frame(bars_orders(spark, sf_dir), up=0.4, down=0.1), lambda r: models.walk_forward(r, FACTORS), schema)
+    """Walk-forward model of each symbol over the base and sector factors."""
+    frame = factors.factor_frame(bars_orders(spark, sf_dir))
+    return signal.signal(frame, factors.BASE + factors.SECTOR, factors.HORIZON)
 
 
 @query(f"""WITH {BARS}, a AS (SELECT symbol, date, {d.log_return()} AS lr FROM bars), b AS (SELECT symbol, lr, CASE WHEN lead(lr) OVER ({d.OVER}) > 0 THEN 1 ELSE 0 END AS y, year(date) AS yr FROM a WHERE lr IS NOT NULL),

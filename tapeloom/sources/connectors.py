@@ -67,6 +67,66 @@ def read_artifacts(spark: SparkSession, path: str, schema: str, symbols: list[st
     return x.select("symbol", F.from_json("value", schema).alias("record")).select("symbol", "record.*")
 
 
+def read_macro_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(date, value) from a CSV's first two columns; rows without a date or a number go."""
+    raw = spark.read.csv(path, header=True)
+    date, value = raw.columns[:2]
+    x = raw.select(F.try_to_timestamp(F.col(date)).cast("date").alias("date"), F.expr(f"try_cast(`{value}` AS double)").alias("value"))
+    return x.where("date IS NOT NULL AND value IS NOT NULL")
+
+
+def cached_series(spark: SparkSession, path: str, fetch, today: str, days: int = 3) -> DataFrame:
+    """A stored (date, value) series, fetched from its last date on when that is more than `days` old; later values stay.
+
+    Each state is a folder of its own, so that one that is being read is never changed.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    states = sorted(int(s.getPath().getName()) for s in fs.listStatus(root)) if fs.exists(root) else []
+    old = spark.read.parquet(f"{path}/{states[-1]}") if states else None
+    last = old.agg(F.max("date")).first()[0] if old is not None else None
+    if last is not None and spark.range(1).select(F.datediff(F.lit(today).cast("date"), F.lit(last))).first()[0] <= days:
+        return old
+    new = fetch(last)
+    merged = upsert(old, new, ["date"]) if old is not None else new.dropDuplicates(["date"])
+    state = f"{path}/{(states[-1] + 1) if states else 0}"
+    merged.write.parquet(state)
+    return spark.read.parquet(state)
+
+
+def write_summary(rows: DataFrame, root: str, namespace: str, run_id: str, kind: str = "parquet") -> str:
+    """A run's summary table as Parquet or CSV."""
+    if kind not in ("parquet", "csv"):
+        raise ValueError(f"no summary format: {kind}")
+    path = f"{root}/{namespace}/{run_id}/summary.{kind}"
+    rows.write.mode("overwrite").option("header", True).format(kind).save(path)
+    return path
+
+
+def read_summary(spark: SparkSession, root: str, namespace: str, run_id: str) -> DataFrame | None:
+    """A run's summary, whichever format it has; None without one."""
+    for kind in ("parquet", "csv"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{namespace}/{run_id}/summary.{kind}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return spark.read.option("header", True).option("inferSchema", True).format(kind).load(path.toString())
+    return None
+
+
+def write_metadata(spark: SparkSession, root: str, namespace: str, run_id: str, payload: dict) -> None:
+    """A run's metadata as one sorted JSON record."""
+    text = json.dumps(payload, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/{namespace}/{run_id}/meta")
+
+
+def read_metadata(spark: SparkSession, root: str, namespace: str, run_id: str) -> dict:
+    return json.loads(spark.read.text(f"{root}/{namespace}/{run_id}/meta").first()[0])
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Rows added to a CSV log; every part has its header."""
+    rows.write.mode("append").option("header", True).csv(path)
+
+
 def read_symbols(spark: SparkSession, path: str) -> DataFrame:
     """Distinct symbols of a CSV's symbol or ticker column, else of its first column; a file without a comma is a list."""
     head = spark.read.text(path).head(1)

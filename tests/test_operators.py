@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.operators import broker, models, montecarlo, optimize
+from tapeloom.operators import broker, models, montecarlo, optimize, signal
 from tapeloom.plans import features, sectors, trading
 from tapeloom.sources import connectors
 
@@ -123,20 +123,44 @@ def test_models():
     assert models.adf(noise, 1) < -10 and models.adf(np.cumsum(noise), 1) > -3.5
     x = rng.normal(size=(800, 3))
     y = (x[:, 0] + 0.3 * rng.normal(size=800) > 0).astype(float)
-    p = models.Boosted(60, 0.1, monotone={0: 1}).fit(x, y, np.ones(800))
+    p = signal.Boosted(60, 0.1, monotone={0: 1}).fit(x, y, np.ones(800))
     line = np.column_stack([np.linspace(-2, 2, 50), np.zeros(50), np.zeros(50)])
     assert ((p.predict(x) > 0.5) == (y > 0)).mean() > 0.85 and (np.diff(p.predict(line)) >= -1e-12).all()
     assert np.allclose(models.logistic(x, y, ridge=1e-6)[1:3] / models.logistic(x, y, ridge=1e-6)[0], 0, atol=0.3)
 
 
-def test_walk_forward_on_a_learnable_target():
-    rng = np.random.default_rng(3)
-    n = 900
-    a = rng.normal(size=(n, 2))
-    rows = pd.DataFrame({"date": pd.date_range("2015-01-01", periods=n), "a": a[:, 0], "b": a[:, 1], "target": (a[:, 0] + 0.5 * rng.normal(size=n) > 0).astype(float)})
-    got = models.walk_forward(rows, ["a", "b"])
-    assert got["folds"] >= 2 and got["cv_score"] > 0.55 and got["top"].startswith("a")
-    assert models.walk_forward(rows.head(50), ["a", "b"])["note"] == "short history"
+def _learnable(n: int = 900) -> pd.DataFrame:
+    a = np.random.default_rng(3).normal(size=(n, 2))
+    target = (a[:, 0] + 0.5 * np.random.default_rng(4).normal(size=n) > 0).astype(float)
+    return pd.DataFrame({"symbol": "S", "date": pd.date_range("2015-01-01", periods=n), "trend_a": a[:, 0], "b": a[:, 1], "target": target})
+
+
+def test_signal_on_a_learnable_target(spark):
+    rows = _learnable()
+    both = pd.concat([rows, rows.head(60).assign(symbol="T")])
+    got = {r.symbol: r for r in signal.signal(spark.createDataFrame(both), ["trend_a", "b"], rounds=200).collect()}
+    r = got["S"]
+    assert r.folds == 5 and r.cv_score > 0.5 and r.top.startswith("trend_a") and r.calibrated and 0 <= r.probability <= 1 and r.auc > 0.75
+    assert got["T"].note == "short history" and got["T"].probability == 0.5
+
+
+def test_folds_see_nothing_of_later_rows():
+    rows = _learnable(600)
+    for train, start, stop in signal.splits(600, 5, 21):
+        assert train == max(50, start - 20 - 63) and stop - start == 100
+    changed = rows.copy()
+    _, _, stop = signal.splits(600, 5, 21)[1]
+    changed.loc[stop:, ["trend_a", "b"]] = 1e3  # after the second fold's test rows
+    a, b = (signal.fit_fold(x, 2, ["trend_a", "b"], 21, 5, 30) for x in (rows, changed))
+    assert a == b and len(a) == 100
+
+
+def test_monotone_directions_by_name():
+    assert [signal.direction(c) for c in ("sharpe_fast_z", "trend_slope", "vol_regime_z", "roll_skew", "rsi")] == [1, 1, -1, -1, 0]
+
+
+def test_conviction():
+    assert signal.conviction(0.5, 0.0, None) == 0 and signal.conviction(0.6, 0.05, 0.05) == pytest.approx(0.95 * 0.85)
 
 
 def test_broker_keeps_its_accounts(walk):
@@ -197,3 +221,56 @@ def _copy(src: Path, to: Path) -> None:
     import shutil
 
     shutil.copytree(src, to, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+
+
+def test_macro_csv_and_cached_series(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("Day,Rate\n2020-01-01,1.5\nnot a date,2\n2020-01-02,x\n2020-01-03,3\n")
+    got = [(str(r.date), r.value) for r in connectors.read_macro_csv(spark, str(tmp_path / "m.csv")).orderBy("date").collect()]
+    assert got == [("2020-01-01", 1.5), ("2020-01-03", 3.0)]
+    calls = []
+
+    def fetch(since):
+        calls.append(since)
+        return spark.createDataFrame([("2020-01-03", 4.0), ("2020-01-06", 5.0)], "date string, value double").selectExpr("to_date(date) AS date", "value")
+
+    path = str(tmp_path / "cache")
+    first = connectors.cached_series(spark, path, fetch, today="2020-01-06")
+    assert calls == [None] and first.count() == 2
+    assert connectors.cached_series(spark, path, fetch, today="2020-01-08").count() == 2 and len(calls) == 1  # fresh enough
+    again = connectors.cached_series(spark, path, lambda since: fetch(since).withColumn("value", F.col("value") + 1), today="2020-01-20")
+    assert str(calls[-1]) == "2020-01-06" and sorted(r.value for r in again.collect()) == [5.0, 6.0]  # the later value of a date stays
+
+
+def test_summary_metadata_and_log(spark, tmp_path):
+    x = spark.createDataFrame([("A", 1.0), ("B", 2.0)], "symbol string, pnl double")
+    for kind in ("parquet", "csv"):
+        connectors.write_summary(x, str(tmp_path), "cv", f"r-{kind}", kind)
+        assert sorted(map(tuple, connectors.read_summary(spark, str(tmp_path), "cv", f"r-{kind}").collect())) == [("A", 1.0), ("B", 2.0)]
+    assert connectors.read_summary(spark, str(tmp_path), "cv", "missing") is None
+    with pytest.raises(ValueError):
+        connectors.write_summary(x, str(tmp_path), "cv", "r", "xml")
+    connectors.write_metadata(spark, str(tmp_path), "cv", "r1", {"symbols": 2, "at": "2020-01-01"})
+    assert connectors.read_metadata(spark, str(tmp_path), "cv", "r1") == {"symbols": 2, "at": "2020-01-01"}
+    log = str(tmp_path / "log")
+    connectors.append_log(x, log)
+    connectors.append_log(x, log)
+    assert spark.read.csv(log, header=True).count() == 4
+
+
+def test_scanner_gate_and_sector_scores(spark):
+    from tapeloom.plans import scanner
+
+    rng = np.random.default_rng(9)
+    dates = [str(x.date()) for x in pd.date_range("2020-01-01", periods=120)]
+    path = {"UP": 100 + np.arange(120.0), "NOISE": 1 + 0.001 * np.where(np.arange(120) % 2, 1, -1) * rng.random(120), "FEW": np.arange(1, 31.0), "LONE": 50 + np.cumsum(rng.normal(size=120))}
+    rows = [(s, "X" if s != "LONE" else "Y", d, float(p)) for s, v in path.items() for d, p in zip(dates, v)]
+    bars = spark.createDataFrame(rows, "symbol string, sector string, date string, close double").selectExpr("symbol", "sector", "to_date(date) AS date", "close")
+    models_ = spark.createDataFrame([("UP", 0.6), ("NOISE", 0.5), ("FEW", 0.9), ("LONE", 0.7)], "symbol string, cv_score double")
+    tails = spark.createDataFrame([("UP", -0.2)], "symbol string, es_95 double")
+    got = {r.symbol: r for r in scanner.scan(bars, models_, tails).collect()}
+    assert set(got) >= {"UP", "LONE"} and "FEW" not in got
+    assert got["UP"].efficiency == pytest.approx(1) and got["UP"].tail == pytest.approx(0.2) and got["LONE"].alpha == 0 and got["LONE"].tail == pytest.approx(0.05)
+    r = got["UP"]
+    assert r.score == pytest.approx(r.alpha + 2 * r.efficiency - 2 * r.entropy)
+    gated = scanner.scan(bars.where("symbol <> 'FEW'").withColumn("close", F.col("close") / 1000), models_, tails)
+    assert "NOISE" not in {r.symbol for r in gated.collect()} or got["NOISE"].entropy <= scanner.GATE_ENTROPY
