@@ -153,13 +153,15 @@ def factor_assembly(spark, sf_dir):
 
 
 @query(f"""WITH {_SQL}, t AS (SELECT y.*, CASE WHEN share >= 0.8 THEN 1.0 WHEN share <= 0.2 THEN 0.0 END AS target FROM y WHERE fwd_ret IS NOT NULL AND volume > 0),
-i AS ({" UNION ALL ".join(f"SELECT symbol, '{c}' AS feature, CASE WHEN stddev_pop({c}) > 1e-9 AND stddev_pop(target) > 0 THEN abs(corr(coalesce({c}, 0.0), target)) END AS importance FROM t WHERE target IS NOT NULL GROUP BY symbol" for c in BASE)}),
+i AS ({" UNION ALL ".join(f"SELECT symbol, '{c}' AS feature, CASE WHEN stddev_pop(coalesce({c}, 0.0)) > 1e-9 AND stddev_pop(target) > 0 THEN abs(corr(coalesce({c}, 0.0), target)) END AS importance FROM t WHERE target IS NOT NULL GROUP BY symbol" for c in BASE)}),
 r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(coalesce(importance, 0), 6) DESC, feature) AS k FROM i)
 SELECT symbol, k, feature, round(coalesce(importance, 0), 4) AS importance FROM r WHERE k <= 8""")
 def feature_importance(spark, sf_dir):
     """The eight base factors of each symbol that go most with its target, by absolute correlation."""
     x = factor_frame(bars_orders(spark, sf_dir)).where("target IS NOT NULL")
-    tie = lambda c: F.when((F.stddev_pop(c) > 1e-9) & (F.stddev_pop("target") > 0), F.abs(F.corr(c, "target")))
+    # not corr: it divides by zero where a factor is constant
+    spread = lambda c: F.when((F.stddev_pop(c) > 1e-9) & (F.stddev_pop("target") > 0), F.stddev_pop(c) * F.stddev_pop("target"))
+    tie = lambda c: F.abs(F.covar_pop(c, "target") / spread(c))
     x = x.groupBy("symbol").agg(*[F.coalesce(tie(c), F.lit(0.0)).alias(c) for c in BASE])
     x = x.select("symbol", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in BASE])))
     k = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc(F.round("importance", 6)), "feature"))
