@@ -153,11 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str
     The lines' features of the sample pass the driver: about max_lines rows of 45 single-precision numbers.
     """
     marked = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("label")).where("label IS NOT NULL AND key IS NOT NULL")
-    breaks = F.octet_length("text") - F.octet_length(F.translate("text", "\n", ""))
-    known = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(marked, "key")
-    n, total = known.agg(F.count("*"), F.sum(1 + F.coalesce(breaks, F.lit(0)))).first()
+    breaks = F.octet_length(docs[text]) - F.octet_length(F.translate(docs[text], "\n", ""))
+    sizes = docs.select(docs[key].alias("key"), (1 + F.coalesce(breaks, F.lit(0))).alias("lines"))  # no text is dealt for its size
+    n, total = sizes.join(marked, "key").agg(F.count("*"), F.sum("lines")).first()
     share = min(rows / max(n, 1), max_lines / max(total or 0, 1))
-    found = known if share >= 1 else known.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * share))
+    if share < 1:
+        marked = marked.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * share))
+    found = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(marked, "key")
 
     def run(batches):
         for part in text_slices(batches):
