@@ -25,8 +25,13 @@ def gmm_regime(spark, sf_dir):
 
 @query()
 def garch_volatility(spark, sf_dir):
-    fit = lambda r: dict(zip(("omega", "alpha", "beta", "next_vol"), models.garch(r["lr"].to_numpy(float)) if len(r) >= 60 else (None,) * 4))
-    return models.by_symbol(_returns(spark, sf_dir), fit, "omega double, alpha double, beta double, next_vol double")
+    """Most likely GARCH(1,1) of each symbol's percent returns, and the next day's deviation; NULL under 60 returns."""
+    names = ("mean", "omega", "alpha", "beta", "next_vol")
+
+    def fit(rows):
+        return dict(zip(names, models.garch(rows["lr"].to_numpy(float)) if len(rows) >= 60 else (None,) * len(names)))
+
+    return models.by_symbol(_returns(spark, sf_dir), fit, ", ".join(f"{n} double" for n in names))
 
 
 @query()

@@ -48,11 +48,25 @@ def _r(x, n=6):
     return F.round(x, n)
 
 
+def quantiles(x, value: str, levels):
+    """symbol, q: the interpolated quantiles of a column, from its ranks (a sort, where exact percentiles would build hash maps)."""
+    by = Window.partitionBy("symbol")
+    x = x.where(F.col(value).isNotNull()).select("symbol", F.col(value).alias("v"))
+    x = x.select("symbol", "v", (F.row_number().over(by.orderBy("v")) - 1).alias("k"), F.count("*").over(by).alias("n"))
+
+    def quantile(p: float):
+        at = F.lit(p) * (F.col("n") - 1)
+        low = F.max(F.when(F.col("k") == F.floor(at), F.col("v")))
+        high = F.max(F.when(F.col("k") == F.ceil(at), F.col("v")))
+        return low + (high - low) * F.max(at - F.floor(at))
+
+    return x.groupBy("symbol").agg(F.array(*[quantile(p) for p in levels]).alias("q"))
+
+
 def tails(x, value, levels=(0.05, 0.01)):
     """Rows of x with the percentiles `q` of a value in their group, from one pass over x and a join of one row a symbol."""
     x = cut(x.withColumn("v", value))
-    q = x.groupBy("symbol").agg(F.percentile("v", F.array(*[F.lit(p) for p in levels])).alias("q"))
-    return x.join(q, "symbol")
+    return x.join(quantiles(x, "v", levels), "symbol")
 
 
 def tail_mean(k: int):
@@ -65,11 +79,16 @@ SELECT symbol, round(avg(ret), 6) AS mean, round(median(ret), 6) AS median, roun
     round(-(exp(any_value(q99)) - 1), 6) AS var_99, round(-(exp(avg(CASE WHEN round(ln(1 + ret), 9) <= round(q99, 9) THEN ln(1 + ret) END)) - 1), 6) AS cvar_99 FROM term JOIN q USING (symbol) GROUP BY symbol""")
 def risk_table(spark, sf_dir):
     """Mean, median, and value at risk and expected shortfall, taken in log space, as positive losses."""
-    x = tails(terminals(spark, sf_dir), F.log1p("ret"))
+    return log_tails(terminals(spark, sf_dir))
+
+
+def log_tails(x):
+    x = tails(x, F.log1p("ret"))
+    x = x.join(quantiles(x, "ret", (0.5,)).select("symbol", F.col("q")[0].alias("mid")), "symbol")
     loss = lambda c: _r(-F.expm1(c))
     return x.groupBy("symbol").agg(
         _r(F.avg("ret")).alias("mean"),
-        _r(F.median("ret")).alias("median"),
+        _r(F.first("mid")).alias("median"),
         loss(F.first("q")[0]).alias("var_95"),
         loss(tail_mean(0)).alias("cvar_95"),
         loss(F.first("q")[1]).alias("var_99"),
@@ -81,7 +100,11 @@ def risk_table(spark, sf_dir):
 SELECT symbol, round(any_value(q95), 6) AS var_95, round(any_value(q99), 6) AS var_99, round(avg(CASE WHEN round(ret, 9) <= round(q95, 9) THEN ret END), 6) AS es_95, round(avg(CASE WHEN round(ret, 9) <= round(q99, 9) THEN ret END), 6) AS es_99, round(avg(ret), 6) AS expected_return FROM term JOIN q USING (symbol) GROUP BY symbol""")
 def risk_tails(spark, sf_dir):
     """Signed tail figures of simple returns, as the risk job stores them."""
-    x = tails(terminals(spark, sf_dir), F.col("ret"))
+    return simple_tails(terminals(spark, sf_dir))
+
+
+def simple_tails(x):
+    x = tails(x, F.col("ret"))
     return x.groupBy("symbol").agg(
         _r(F.first("q")[0]).alias("var_95"),
         _r(F.first("q")[1]).alias("var_99"),
@@ -101,7 +124,11 @@ def fan_chart(spark, sf_dir):
 SELECT symbol, bin, round(any_value(lo + bin * (hi - lo) / 40), 6) AS edge, count(*) AS n FROM x GROUP BY symbol, bin""")
 def histogram(spark, sf_dir):
     """Forty bins of equal width between the extremes; the last one is closed, and a value within 1e-9 of an edge is on it."""
-    x = cut(terminals(spark, sf_dir))
+    return forty_bins(terminals(spark, sf_dir))
+
+
+def forty_bins(x):
+    x = cut(x)
     ends = x.groupBy("symbol").agg(F.min("ret").alias("lo"), F.max("ret").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / 40
     place = F.floor(_r((F.col("ret") - F.col("lo")) / F.when(F.col("hi") - F.col("lo") > 1e-9, width), 9))
@@ -117,7 +144,13 @@ def path_risk(spark, sf_dir):
     past = Window.partitionBy("symbol", "sim").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     x = paths(spark, sf_dir).withColumn("dd", F.col("growth") / F.greatest(F.lit(1.0), F.max("growth").over(past)) - 1)
     x = x.groupBy("symbol", "sim").agg(F.min("dd").alias("mdd"), F.avg(F.when(F.col("dd") < 0, 1.0).otherwise(0.0)).alias("under"))
-    x = x.withColumn("q", F.percentile("mdd", F.lit(0.05)).over(Window.partitionBy("symbol")))
+    return drawdown_figures(x)
+
+
+def drawdown_figures(x):
+    """Figures of each path's deepest drawdown `mdd` and share of days `under` water."""
+    x = cut(x)
+    x = x.join(quantiles(x, "mdd", (0.05,)).select("symbol", F.col("q")[0].alias("q")), "symbol")
     return x.groupBy("symbol").agg(_r(F.avg("mdd")).alias("mean_mdd"), _r(F.avg(F.when(_r("mdd", 9) <= _r("q", 9), F.col("mdd")))).alias("path_es"), _r(F.avg(F.when(F.col("mdd") <= -0.3, 1.0).otherwise(0.0))).alias("failure_prob"), _r(F.avg("under")).alias("under_water"))
 
 
@@ -144,7 +177,11 @@ f AS (SELECT symbol, p, coalesce(win, greatest(mn, 1e-4)) AS aw, loss, mn FROM e
 @query(f"""WITH {PATHS}, {_DECIDE} SELECT symbol, round(p, 6) AS probability, round(aw, 6) AS avg_win, round(al, 6) AS avg_loss, round(raw, 6) AS raw_kelly, round(greatest(0.0, least(raw * 0.5, 0.2)), 6) AS size, round(p * aw - (1 - p) * al, 6) AS edge,
     CASE WHEN greatest(0.0, least(raw * 0.5, 0.2)) <= 0 THEN 'Avoid' ELSE 'Bullish' END AS label, round(least(1.0, 2 * abs(p - 0.5)), 6) AS confidence FROM r""")
 def decision_engine(spark, sf_dir):
-    x = decide(terminals(spark, sf_dir))
+    return decisions(terminals(spark, sf_dir))
+
+
+def decisions(x):
+    x = decide(x)
     return x.select("symbol", _r("p").alias("probability"), _r("avg_win").alias("avg_win"), _r("avg_loss").alias("avg_loss"), _r("raw_kelly").alias("raw_kelly"), _r("size").alias("size"), _r("edge").alias("edge"), "label", _r("confidence").alias("confidence"))
 
 
@@ -171,10 +208,15 @@ SELECT symbol, round(any_value(last) * 0.8, 2) AS stressed, round(avg(CASE WHEN
     round(any_value(last) * quantile_cont(1 + ret, 0.05), 2) AS low_price FROM term JOIN l USING (symbol) GROUP BY symbol""")
 def stress_scenario(spark, sf_dir):
     """Shocked price, chances of shocks, kurtosis of terminal returns."""
-    last = bars_orders(spark, sf_dir).groupBy("symbol").agg(F.max_by("close", "date").alias("last"))
-    x = terminals(spark, sf_dir).join(last, "symbol")
+    return shocks(terminals(spark, sf_dir), bars_orders(spark, sf_dir))
+
+
+def shocks(x, bars):
+    last = bars.groupBy("symbol").agg(F.max_by("close", "date").alias("last"))
+    x = cut(x)
+    x = x.join(last, "symbol").join(quantiles(x, "ret", (0.05,)), "symbol")
     p = lambda v: _r(F.avg(F.when(F.col("ret") <= v, 1.0).otherwise(0.0)))
-    return x.groupBy("symbol").agg(_r(F.first("last") * 0.8, 2).alias("stressed"), p(-0.2).alias("p_shock20"), p(-0.1).alias("p_shock10"), _r(F.when(F.var_pop("ret") > 1e-12, F.kurtosis("ret")), 5).alias("kurt"), _r(F.first("last") * F.percentile(1 + F.col("ret"), F.lit(0.05)), 2).alias("low_price"))
+    return x.groupBy("symbol").agg(_r(F.first("last") * 0.8, 2).alias("stressed"), p(-0.2).alias("p_shock20"), p(-0.1).alias("p_shock10"), _r(F.when(F.var_pop("ret") > 1e-12, F.kurtosis("ret")), 5).alias("kurt"), _r(F.first("last") * (1 + F.first("q")[0]), 2).alias("low_price"))
 
 
 @query(f"""WITH {_CLIP}, a AS (SELECT symbol, avg(r) AS mu, stddev_samp(r) AS sd FROM h GROUP BY symbol)
@@ -191,8 +233,15 @@ def _params(spark, sf_dir):
 
 
 def _simulated(spark, sf_dir, model, **options):
-    x = mc.simulate(_params(spark, sf_dir), model, **options)
-    return x.groupBy("symbol").agg(F.count("*").alias("sims"), _r(F.avg("ret")).alias("mean"), _r(F.percentile("ret", F.lit(0.05))).alias("p5"), _r(F.percentile("ret", F.lit(0.95))).alias("p95"), _r(F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0))).alias("prob_gain"))
+    x = tails(mc.simulate(_params(spark, sf_dir), model, **options), F.col("ret"), (0.05, 0.95))
+    gain = F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0))
+    return x.groupBy("symbol").agg(
+        F.count("*").alias("sims"),
+        _r(F.avg("ret")).alias("mean"),
+        _r(F.first("q")[0]).alias("p5"),
+        _r(F.first("q")[1]).alias("p95"),
+        _r(gain).alias("prob_gain"),
+    )
 
 
 @query()
@@ -215,11 +264,103 @@ def mc_jump(spark, sf_dir):
     return _simulated(spark, sf_dir, "jump")
 
 
+def shortfall(x, level: float = 0.05):
+    """symbol, es: the mean log return at or below its percentile, as a positive loss."""
+    q = tails(x, F.log1p("ret"), (level,))
+    return q.groupBy("symbol").agg(F.abs(F.least(F.expm1(tail_mean(0)), F.lit(0.0))).alias("es"))
+
+
 @query()
 def mc_blend(spark, sf_dir):
-    """Expected return and shortfall of a horizon: normal and heavy-tailed simulations in equal parts."""
+    """Expected return and shortfall of a horizon of 240 days.
+
+    The return is half the drift return, half the mean of heavy-tailed paths (8 degrees); the shortfall is the mean of those
+    of normal and of heavy-tailed paths.
+    """
     params = _params(spark, sf_dir)
-    both = mc.simulate(params, "gbm").unionByName(mc.simulate(params, "gbm", df=5.0, seed=8))
-    q = F.percentile("ret", F.lit(0.05)).over(Window.partitionBy("symbol"))
-    x = both.withColumn("q", q)
-    return x.groupBy("symbol").agg(_r(F.avg("ret")).alias("expected_return"), _r(-F.avg(F.when(F.col("ret") <= F.col("q"), F.col("ret")))).alias("expected_shortfall"))
+    heavy = cut(mc.simulate(params, "gbm", df=8.0, seed=8))
+    years = mc.DAYS / 240
+    drift = params.select("symbol", F.expm1((F.col("mu") + F.col("sigma") * F.col("sigma") / 2) * years).alias("drift"))
+    x = drift.join(heavy.groupBy("symbol").agg(F.avg("ret").alias("mean")), "symbol")
+    x = x.join(shortfall(mc.simulate(params, "gbm")), "symbol").join(shortfall(heavy).withColumnRenamed("es", "es_heavy"), "symbol")
+    er = _r((F.col("drift") + F.col("mean")) / 2).alias("expected_return")
+    return x.select("symbol", er, _r((F.col("es") + F.col("es_heavy")) / 2).alias("expected_shortfall"))
+
+
+@query()
+def canonical_engine(spark, sf_dir):
+    """Paths whose yearly return is held within -40 % and 60 %: mean, shortfall, chance of a gain, kurtosis; the return used."""
+    held = F.least(F.greatest(F.expm1(F.col("mu") * 240), F.lit(-0.4)), F.lit(0.6))
+    params = _params(spark, sf_dir).withColumn("er", held)
+    x = cut(mc.simulate(params.withColumn("mu", F.log1p("er") / 240), "gbm"))
+    figures = x.groupBy("symbol").agg(
+        F.avg("ret").alias("mean"),
+        F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)).alias("gain"),
+        F.kurtosis("ret").alias("kurt"),
+    )
+    figures = figures.join(shortfall(x), "symbol").join(params, "symbol")
+    yearly = F.col("es") * F.sqrt(F.lit(240 / mc.DAYS))
+    named = {"er_used": "er", "mc_expected_return": "mean", "mc_expected_shortfall": "es", "prob_gain": "gain", "sim_kurtosis": "kurt"}
+    return figures.select("symbol", *[_r(c).alias(n) for n, c in named.items()], _r(yearly).alias("es_annual"))
+
+
+def job_paths(spark, sf_dir):
+    """The risk job's paths: 100,000 of 240 days a symbol, blocks from random starts."""
+    return mc.bootstrap(clipped(spark, sf_dir))
+
+
+@query()
+def job_risk_table(spark, sf_dir):
+    return log_tails(job_paths(spark, sf_dir))
+
+
+@query()
+def job_risk_tails(spark, sf_dir):
+    return simple_tails(job_paths(spark, sf_dir))
+
+
+@query()
+def job_histogram(spark, sf_dir):
+    return forty_bins(job_paths(spark, sf_dir))
+
+
+@query()
+def job_fan_chart(spark, sf_dir):
+    x = mc.bootstrap_fan(clipped(spark, sf_dir), (5, 25, 50, 75, 95))
+    return x.select("symbol", "day", *[_r(c).alias(c) for c in x.columns[2:]])
+
+
+@query()
+def job_path_risk(spark, sf_dir):
+    return drawdown_figures(job_paths(spark, sf_dir))
+
+
+@query()
+def job_decision(spark, sf_dir):
+    return decisions(job_paths(spark, sf_dir))
+
+
+@query()
+def job_stress(spark, sf_dir):
+    return shocks(job_paths(spark, sf_dir), bars_orders(spark, sf_dir))
+
+
+def best_allocation(x, low, step: float, steps: int):
+    """symbol, f, u: the allocation low + k * step (k up to steps, within 0 and 1) with the greatest expected power utility."""
+    x = x.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    x = x.withColumn("f", _r(F.least(F.greatest(low + F.col("k") * step, F.lit(0.0)), F.lit(1.0)), 4))
+    x = x.groupBy("symbol", "f").agg(F.avg(F.pow(F.greatest(1 + F.col("f") * F.col("ret"), F.lit(1e-6)), -2.0) / -2.0).alias("u"))
+    first = Window.partitionBy("symbol").orderBy(F.desc(_r("u", 9)), "f")
+    return x.withColumn("k", F.row_number().over(first)).where("k = 1").select("symbol", "f", "u")
+
+
+@query()
+def job_crra(spark, sf_dir):
+    """Allocation on a grid of 0.001 with the greatest expected power utility (gamma 3).
+
+    The utility is concave in the allocation, so the best point of the fine grid lies beside that of a coarse one.
+    """
+    x = cut(job_paths(spark, sf_dir).select("symbol", "ret"))
+    coarse = best_allocation(x, F.lit(0.0), 0.025, 40).select("symbol", F.col("f").alias("low"))
+    fine = best_allocation(x.join(coarse, "symbol"), F.col("low") - 0.025, 0.001, 50)
+    return fine.select("symbol", F.col("f").alias("allocation"), _r("u").alias("utility"))

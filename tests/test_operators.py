@@ -94,6 +94,61 @@ def test_simulation_queries_run_the_risk_job(spark):
             assert abs(NormalDist(mu, sd).cdf(float(np.log1p(q))) - p) < 0.005
 
 
+def test_bootstrap_against_brute_force(spark):
+    """Each path by hand from the same draws; the fan, drawdowns and tails of the same paths; any partitioning."""
+    r = np.random.default_rng(5).normal(0.001, 0.02, 90).clip(-0.1, 0.1)
+    days = pd.date_range("2020-01-01", periods=90).date
+    rows = [("A", d, float(v)) for d, v in zip(days, r)] + [("B", days[0], 0.01), ("C", days[0], None)]
+    df = spark.createDataFrame(rows, "symbol string, date date, r double")
+    n = montecarlo.CHUNK + 100
+    a, b = (sorted(map(tuple, montecarlo.bootstrap(df.repartition(k), 70, n).collect())) for k in (1, 5))
+    assert a == b and len(a) == 2 * n and {x[0] for x in a} == {"A", "B"}
+    paths = []
+    for chunk, size in ((0, montecarlo.CHUNK), (1, 100)):
+        rng = montecarlo._generator(7, "A", chunk)
+        starts = [rng.integers(0, 60, size) for _ in range(3)]
+        for s in range(size):
+            steps = [r[starts[d // 30][s] + d % 30] for d in range(70)]
+            paths.append(np.cumprod(1 + np.array(steps)))
+    paths = np.array(paths)
+    top = np.maximum(np.maximum.accumulate(paths, axis=1), 1)
+    want = np.column_stack([paths[:, -1] - 1, (paths / top - 1).min(1).clip(max=0), (paths < top).mean(1)])
+    got = np.array([x[2:] for x in a if x[0] == "A"])
+    assert np.allclose(got, want)
+    one = [x for x in a if x[0] == "B"]  # a history of one day is repeated
+    assert np.allclose([x[2] for x in one], 1.01**70 - 1)
+    fan = sorted(montecarlo.bootstrap_fan(df, (5, 50), 70, n).where("symbol = 'A'").collect(), key=lambda x: x.day)
+    assert [x.day for x in fan] == list(range(71)) and fan[0].p5 == 1
+    assert np.allclose([[x.p5, x.p50] for x in fan[1:]], np.percentile(paths, (5, 50), axis=0).T)
+
+
+def test_best_allocation_against_a_fine_grid(spark):
+    from tapeloom.plans import risk
+
+    ret = np.random.default_rng(2).normal(0.03, 0.2, 500)
+    df = spark.createDataFrame([("A", float(x)) for x in ret], "symbol string, ret double")
+    coarse = risk.best_allocation(df, F.lit(0.0), 0.025, 40).first()
+    fine = risk.best_allocation(df, F.lit(coarse.f - 0.025), 0.001, 50).first()
+    grid = np.arange(1001) / 1000
+    utility = [np.mean(np.maximum(1 + f * ret, 1e-6) ** -2.0 / -2) for f in grid]
+    assert fine.f == grid[int(np.argmax(np.round(utility, 9)))]
+
+
+def test_lags_by_information_criterion():
+    rng = np.random.default_rng(4)
+    e = rng.normal(size=600)
+    x = np.cumsum(e)
+    n = len(x) - 1
+    most = int(np.ceil(12 * (n / 100) ** 0.25))
+    a, y = models._lagged(x, most)
+    scores = []
+    for k in range(most + 1):
+        b = a[:, : 2 + k]
+        rest = y - b @ np.linalg.lstsq(b, y, rcond=None)[0]
+        scores.append(len(y) * np.log(rest @ rest / len(y)) + 2 * (2 + k))
+    assert models.best_lags(x) == int(np.argmin(scores))
+
+
 def test_portfolios():
     rng = np.random.default_rng(1)
     a = rng.normal(size=(300, 6)) * [1, 2, 1, 3, 1, 2]
@@ -117,7 +172,7 @@ def test_models():
     for z in rng.normal(size=3000):
         r.append(np.sqrt(h) * z)
         h = 2e-6 + 0.1 * r[-1] ** 2 + 0.88 * h
-    _, alpha, beta, _ = models.garch(np.array(r))
+    _, _, alpha, beta, _ = models.garch(np.array(r))
     assert abs(alpha - 0.1) < 0.06 and abs(beta - 0.88) < 0.1
     noise = rng.normal(size=500)
     assert models.adf(noise, 1) < -10 and models.adf(np.cumsum(noise), 1) > -3.5
