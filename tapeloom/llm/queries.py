@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import chaining, decontaminate, langid, media, neardup, packing, quality, sharding, suffix_dedup, toxicity
+from tapeloom.llm import chaining, decontaminate, divergence, langid, media, neardup, packing, quality, sharding, suffix_dedup, toxicity
 from tapeloom.llm.common import held_out, table
 
 
@@ -81,6 +81,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(found.doc_id, 3, 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the language's share: the contract's columns alone, which the SQL has too."""
+    return divergence.audit(table(spark, sf_dir, "documents")).drop("q")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,6 +100,7 @@ QUERIES = {
         op8_substring_dedup,
         op9_decontamination,
         op10_language_id,
+        op11_source_divergence,
     )
 }
 
@@ -139,4 +145,22 @@ WITH d AS (SELECT id, unnest(s) AS s FROM (WITH src AS (SELECT doc_id AS id, tex
     b AS (SELECT id, len(s) AS n, unnest(s) AS s FROM (WITH src AS (SELECT item_id AS id, text FROM benchmark) {_SHINGLES}))
 SELECT d.id AS doc_id, b.id AS item_id, any_value(n)::INT AS item_shingles, count(*)::INT AS shared_shingles, count(*) / any_value(n) AS containment
 FROM d JOIN b USING (s) GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n)""",
+    "op11_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM w GROUP BY ALL),
+    t AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= {divergence.MIN_DOCUMENTS}),
+    k AS (SELECT c.lang, c.source, c.term, c.n FROM c JOIN t USING (lang, term)),
+    l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM t GROUP BY lang),
+    g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(sum(k.n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN l USING (lang) LEFT JOIN k USING (lang, source) GROUP BY ALL),
+    p AS (SELECT g.lang, g.source, t.term, coalesce(k.n, 0) AS n,
+            1 + (1000000000::HUGEINT * (coalesce(k.n, 0) + 5)::HUGEINT) // (g.total + 5 * g.v)::HUGEINT AS p,
+            1 + (1000000000::HUGEINT * (t.n + 5)::HUGEINT) // (l.total + 5 * l.v)::HUGEINT AS q
+        FROM g JOIN l USING (lang) JOIN t USING (lang) LEFT JOIN k ON k.lang = g.lang AND k.source = g.source AND k.term = t.term),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM r QUALIFY part = 'pair' OR rank <= {divergence.TOP}""",
 }
