@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import chaining, decontaminate, divergence, langid, media, neardup, packing, quality, sharding, suffix_dedup, toxicity
+from tapeloom.llm import chaining, decontaminate, divergence, langid, media, neardup, packing, quality, sharding, simhash, suffix_dedup, toxicity
 from tapeloom.llm.common import held_out, table
 
 
@@ -86,6 +86,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents")).drop("q")
 
 
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -101,6 +105,7 @@ QUERIES = {
         op9_decontamination,
         op10_language_id,
         op11_source_divergence,
+        op12_simhash_near_dedup,
     )
 }
 
