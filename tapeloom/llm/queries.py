@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeloom.llm import chaining, decontaminate, divergence, langid, media, neardup, packing, quality, sharding, simhash, suffix_dedup, toxicity
+from tapeloom.llm import chaining, decontaminate, divergence, langid, media, neardup, packing, quality, sharding, simhash, suffix_dedup, toxicity, variants
 from tapeloom.llm.common import held_out, table
 
 
@@ -90,6 +90,10 @@ def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -106,6 +110,7 @@ QUERIES = {
         op10_language_id,
         op11_source_divergence,
         op12_simhash_near_dedup,
+        op13_spelling_variants,
     )
 }
 
@@ -168,4 +173,23 @@ WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coales
         UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
 SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
 FROM r QUALIFY part = 'pair' OR rank <= {divergence.TOP}""",
+    # crc32 bit by bit; levenshtein counts bytes, so letters beyond ASCII stand for one byte each that no word has.
+    "op13_spelling_variants": r"""
+WITH RECURSIVE w AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+    c AS (SELECT id, w, count(*) AS n FROM w GROUP BY ALL),
+    x AS (SELECT w, n, lower(hex(encode(id || ':' || w))) AS x FROM c),
+    y AS (SELECT w, n, [((('0x' || substr(x, 2 * (i // 8) + 1, 2))::INT) >> (i % 8)) & 1 FOR i IN range(0, 4 * len(x))] AS bits FROM x),
+    h AS (SELECT w, n, xor(list_reduce(bits, lambda crc, b: xor(crc >> 1, 3988292384 * (xor(crc, b) & 1)), 4294967295::BIGINT), 4294967295) AS h FROM y),
+    d AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % len(w))::INT) || substr(w, (h % len(w))::INT + 2) ELSE w END AS word, n FROM h),
+    v AS (SELECT word, sum(n)::BIGINT AS n, len(word) AS size,
+            translate(word, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!"#$%&()*+,-./:;<=>?@[]^_`{|') AS plain
+        FROM d GROUP BY word HAVING len(word) >= 6 AND sum(n) >= 5),
+    near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM v a JOIN v b ON abs(a.size - b.size) <= 1 AND a.word <> b.word AND levenshtein(a.plain, b.plain) = 1),
+    best AS (SELECT word, count(*) AS n_near, max(other_n) AS most FROM near GROUP BY word),
+    form AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 5 * v.n THEN most END AS form_n,
+            CASE WHEN most >= 5 * v.n THEN (SELECT min(other) FROM near WHERE near.word = v.word AND other_n = most) END AS form
+        FROM v LEFT JOIN best USING (word)),
+    path AS (SELECT word, word AS at FROM form UNION ALL SELECT path.word, form.form FROM path JOIN form ON form.word = path.at WHERE form.form IS NOT NULL)
+SELECT form.word, form.form, path.at AS root, form.n, form.n_near, form.form_n
+FROM form JOIN path USING (word) JOIN form last ON last.word = path.at WHERE last.form IS NULL""",
 }
