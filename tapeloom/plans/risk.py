@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window, functions as F
 
 from tapeloom.functions import duck as d, windows as w
 from tapeloom.operators import montecarlo as mc
 from tapeloom.plans.registry import query
 from tapeloom.sources.bars import BARS, bars_orders
-from tapeloom.streaming.bars import shared_folder
+from tapeloom.sources.shared import cut
 
 SIMS, BLOCKS, BLOCK = 150, 2, 30
 DAYS = BLOCKS * BLOCK
@@ -37,13 +35,6 @@ def terminals(spark, sf_dir):
     return paths(spark, sf_dir).where(F.col("day") == DAYS).select("symbol", "sim", (F.col("growth") - 1).alias("ret"))
 
 
-def cut(df):
-    """df written to the shared folder and read back, so that what made it runs once."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _r(x, n=6):
     return F.round(x, n)
 

@@ -34,11 +34,11 @@ def price_matrix(raw: DataFrame, order: str | None = None) -> DataFrame:
     return long.withColumn("price", F.last("price", ignorenulls=True).over(w)).where("price IS NOT NULL")
 
 
-def parse_chart(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """Bars from a feed's JSON arrays t, o, h, l, c, v; a payload that does not parse gives none."""
+def parse_chart(payloads: DataFrame, body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Bars from a feed's JSON arrays t, o, h, l, c, v, with columns to keep; a payload that does not parse gives none."""
     x = payloads.withColumn("j", F.from_json(body, "t array<bigint>, o array<double>, h array<double>, l array<double>, c array<double>, v array<double>"))
-    x = x.select("symbol", F.explode(F.arrays_zip("j.t", "j.o", "j.h", "j.l", "j.c", "j.v")).alias("b"))
-    return x.select("symbol", F.to_date(F.timestamp_seconds("b.t")).alias("date"), F.col("b.o").alias("open"), F.col("b.h").alias("high"), F.col("b.l").alias("low"), F.col("b.c").alias("close"), F.col("b.v").alias("volume"))
+    x = x.select("symbol", *keep, F.explode(F.arrays_zip("j.t", "j.o", "j.h", "j.l", "j.c", "j.v")).alias("b"))
+    return x.select("symbol", F.to_date(F.timestamp_seconds("b.t")).alias("date"), F.col("b.o").alias("open"), F.col("b.h").alias("high"), F.col("b.l").alias("low"), F.col("b.c").alias("close"), F.col("b.v").alias("volume"), *keep)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

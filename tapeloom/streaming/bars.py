@@ -1,27 +1,15 @@
-"""Streaming forms: bars from ticks, deduplication, sessions, a stateful exponential mean, and upserts by batch."""
+"""Streaming forms: bars from ticks, deduplication, sessions, upserts of batches into a keyed bar table."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+from tapeloom.sources.shared import new_folder, settings
+from tapeloom.sources.tables import BarTable
 
+EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only a local master may go without that setting."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        path = sc.getConf().get("spark.checkpoint.dir")
-        if not path and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tapeloom-"))
-    return sc.getCheckpointDir()
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,31 +34,29 @@ def distinct_users(stream: DataFrame, late: str = "40 days") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "event_type"])
 
 
-def ewma(stream: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """Exponential mean of each type's values in time order, one number of state a key."""
+def upsert_bars(stream: DataFrame, table: BarTable, checkpoint: str) -> None:
+    """Bring the bars (symbol, w, open ...) of a stream in update mode into a keyed table, batch by batch: the latest state of a
+    bar stays. A batch that is repeated after a failure puts the same rows again, so the table does not change."""
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, mean = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for v in rows["value"]:
-            n, mean = n + 1, float(v) if n == 0 else mean * (1 - alpha) + float(v) * alpha
-        state.update((n, mean))
-        yield pd.DataFrame({"symbol": [key[0]], "n": [n], "ewma": [mean]})
+    def put(batch: DataFrame, number: int) -> None:
+        table.upsert(batch.select("symbol", F.to_date("w.start").alias("date"), "open", "high", "low", "close", F.col("volume").cast("double").alias("volume")))
 
-    keyed = stream.select("event_type", "ts", "value").groupBy("event_type")
-    return keyed.applyInPandasWithState(step, "symbol string, n long, ewma double", "n long, mean double", "update", "NoTimeout")
+    q = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
 
 
-def run_once(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+def run_once(stream: DataFrame, mode: str, keys: list[str] | None = None, idle: bool = True) -> DataFrame:
     """Run a stream over what is there now and return its table: every batch is written by its number, so a repeated batch
-    replaces itself. For complete mode the last batch is the table; else the last row of each key, or all rows."""
+    replaces itself. For complete mode the last batch is the table; else the last row of each key, or all rows. `idle`: whether
+    batches without rows run too, as event-time timers need; a stream on processing time would go on with them for ever."""
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    root = new_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS_DB, spark__sql__streaming__noDataMicroBatches__enabled=str(idle).lower()):  # states with timers need this store
+        q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     out = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{root}/out")
     if mode == "complete":
