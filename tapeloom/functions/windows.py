@@ -115,10 +115,3 @@ def pair(f, x, y, n: int) -> Column:
 def beta(x, y, n: int) -> Column:
     y2 = F.when(_c(x).isNotNull(), _c(y))
     return ratio(pair(F.covar_samp, x, y, n), roll(F.var_samp, y2, n))
-
-
-def percent_rank_of_last(x, n: int, least: int) -> Column:
-    """Share of the last n values at or below the present one."""
-    x = _c(x)
-    seen = F.collect_list(x).over(frame(n))
-    return F.when((F.count(x).over(frame(n)) >= least) & x.isNotNull(), F.size(F.filter(seen, lambda v: v <= x)) / F.count(x).over(frame(n)))

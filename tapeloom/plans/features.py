@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Window, functions as F
 
-from tapeloom.functions import duck as d, windows as w
+from tapeloom.functions import duck as d, scans, windows as w
 from tapeloom.plans.registry import query
 from tapeloom.sources.bars import BARS, bars_orders
 
@@ -41,7 +41,8 @@ def trend_features(spark, sf_dir):
 SELECT symbol, date, round({d.zscore('close')}, 6) AS close_z, round({d.zscore('lr', 126)}, 6) AS ret_z, round({d.zscore('volume', 252)}, 6) AS volume_z FROM a""")
 def rolling_zscore(spark, sf_dir):
     x = bars_orders(spark, sf_dir).withColumn("lr", w.log_return())
-    return _select(x, close_z=_r(w.zscore("close")), ret_z=_r(w.zscore("lr", 126)), volume_z=_r(w.zscore("volume", 252)))
+    x = scans.zscores(x, {"close_z": ("close", 60), "ret_z": ("lr", 126), "volume_z": ("volume", 252)})
+    return _select(x, close_z=_r("close_z"), ret_z=_r("ret_z"), volume_z=_r("volume_z"))
 
 
 def momentum(x="ret", n: int = 20):
@@ -59,7 +60,8 @@ SELECT symbol, date, round(m20, 5) AS m20, round(m10, 5) AS m10, round({d.zscore
 def vol_adj_momentum(spark, sf_dir):
     x = bars_orders(spark, sf_dir).withColumn("ret", w.change("close"))
     x = x.withColumns({"m20": momentum("ret", 20), "m10": momentum("ret", 10)})
-    return _select(x, m20=_r("m20", 5), m10=_r("m10", 5), m20_z=_r(w.zscore("m20"), 5))
+    x = scans.zscores(x, {"m20_z": ("m20", 60)})
+    return _select(x, m20=_r("m20", 5), m10=_r("m10", 5), m20_z=_r("m20_z", 5))
 
 
 def squeeze(p="close"):
@@ -70,17 +72,19 @@ def squeeze(p="close"):
 @query(f"""WITH {BARS}, a AS (SELECT *, 4 * ({d.std('close', 20)}) / nullif(({d.mean('close', 20)}), 0) AS width FROM bars)
 SELECT symbol, date, round(width, 6) AS width, round({d.zscore('width', 126)}, 5) AS width_z FROM a""")
 def bb_squeeze(spark, sf_dir):
-    x = bars_orders(spark, sf_dir).withColumn("width", squeeze())
-    return _select(x, width=_r("width"), width_z=_r(w.zscore("width", 126), 5))
+    x = scans.zscores(bars_orders(spark, sf_dir).withColumn("width", squeeze()), {"width_z": ("width", 126)})
+    return _select(x, width=_r("width"), width_z=_r("width_z", 5))
 
 
 def reversion(bars, n: int = 30):
     """Distance from the mean, place in the band and in the 400-bar range, distance from the 200-bar mean."""
     m, s = w.mean("close", n), w.std("close", n)
-    low, high = w.roll(F.min, "close", 400, 1), w.roll(F.max, "close", 400, 1)
-    x = bars.withColumns({"dist": w.ratio(F.col("close") - m, m), "dist200": w.ratio(F.col("close") - w.mean("close", 200), w.mean("close", 200)), "place": w.ratio(F.col("close") - (m - 2 * s), 4 * s), "range_pos": w.ratio(F.col("close") - low, high - low)})
+    x = scans.slide(scans.slide(bars, 400, ("close",)), 200, ("close",))
+    low, high, m200 = F.col("close_400.l_x"), F.col("close_400.g_x"), scans.mean_of("close_200", 200)
+    x = x.withColumns({"dist": w.ratio(F.col("close") - m, m), "dist200": w.ratio(F.col("close") - m200, m200), "place": w.ratio(F.col("close") - (m - 2 * s), 4 * s), "range_pos": w.ratio(F.col("close") - low, high - low)})
     half = lambda c: F.coalesce(w.clamp(F.col(c), 0.0, 1.0), F.lit(0.5))
-    return x.withColumns({"dist_ma_z": w.zscore("dist"), "bb_position": half("place"), "price_range_pos": half("range_pos"), "dist_sma200_z": w.zscore("dist200", 252)})
+    x = x.withColumns({"bb_position": half("place"), "price_range_pos": half("range_pos")}).drop("close_400", "close_200")
+    return scans.zscores(x, {"dist_ma_z": ("dist", 60), "dist_sma200_z": ("dist200", 252)})
 
 
 _M30, _S30 = f"({d.mean('close', 30)})", f"({d.std('close', 30)})"
@@ -99,7 +103,7 @@ def rsi(bars, n: int = 14):
     """Relative strength from exponential gains and losses; 50 where there is no loss."""
     step = F.col("close") - F.lag("close").over(w.W)
     x = bars.withColumns({"up": F.when(step.isNotNull(), F.greatest(step, F.lit(0.0))), "down": F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0)))})
-    x = x.withColumns({"gain": w.ewm("up", 1 / n), "loss": w.ewm("down", 1 / n)})
+    x = scans.ewm(x, {"gain": "up", "loss": "down"}, 1 / n)
     return x.withColumn("rsi", F.coalesce(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.col("gain") / F.nullif("loss", F.lit(0.0))), F.lit(50.0))).drop("up", "down", "gain", "loss")
 
 
@@ -110,7 +114,7 @@ def true_range(prev):
 def atr(bars, span: int = 14):
     """Exponential mean (by span) of the true range."""
     x = bars.withColumn("tr", true_range(F.lag("close").over(w.W)))
-    return x.withColumn("atr", w.ewm("tr", 2 / (span + 1))).drop("tr")
+    return scans.ewm(x, {"atr": "tr"}, 2 / (span + 1)).drop("tr")
 
 
 _TR = "greatest(high - low, abs(high - prev), abs(low - prev))"
@@ -131,7 +135,7 @@ def adx(bars, n: int = 14):
     plus = F.when((F.col("u") > F.col("v")) & (F.col("u") > 0), F.col("u")).otherwise(0.0)
     minus = F.when((F.col("v") > F.col("u")) & (F.col("v") > 0), F.col("v")).otherwise(0.0)
     x = x.withColumns({"pm": plus, "mm": minus, "range": F.nullif(w.mean("tr", n), F.lit(0.0))})
-    x = x.withColumns({"pe": w.ewm("pm", 1 / n), "me": w.ewm("mm", 1 / n)})
+    x = scans.ewm(x, {"pe": "pm", "me": "mm"}, 1 / n)
     x = x.withColumns({"pd": 100 * F.col("pe") / F.col("range"), "md": 100 * F.col("me") / F.col("range")})
     total = F.col("pd") + F.col("md")
     x = x.withColumn("dx", 100 * F.abs(F.col("pd") - F.col("md")) / F.when(total == 0, F.lit(1.0)).otherwise(total))
@@ -153,11 +157,10 @@ b AS (SELECT symbol, date, lr, count(lr) OVER (PARTITION BY symbol ORDER BY date
 c AS (SELECT symbol, date, list_reduce(list_prepend(seed, list(lr * lr) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 699 PRECEDING AND CURRENT ROW)), lambda acc, x: 0.94 * acc + 0.06 * x) AS var FROM b JOIN v USING (symbol))
 SELECT symbol, date, round(sqrt(var), 6) AS ewma_vol FROM c""")
 def ewma_vol(spark, sf_dir):
-    """Exponential volatility from the full-sample variance; the fold covers 700 rows, beyond which the start's weight is under 1e-18."""
+    """Exponential volatility from the full-sample variance."""
     x = bars_orders(spark, sf_dir).withColumn("lr", w.log_return()).where("lr IS NOT NULL")
-    x = x.withColumn("seed", F.var_samp("lr").over(w.BY))
-    fold = F.aggregate(F.collect_list(F.col("lr") * F.col("lr")).over(w.frame(700)), F.col("seed"), lambda acc, v: acc * 0.94 + v * 0.06)
-    return _select(x, ewma_vol=_r(F.sqrt(fold)))
+    x = x.withColumns({"seed": F.var_samp("lr").over(w.BY), "square": 0.06 * F.col("lr") * F.col("lr")})
+    return _select(scans.decayed(x, {"var": "square"}, 0.94, start="seed"), ewma_vol=_r(F.sqrt("var")))
 
 
 _SMF_DEPTH = 400
@@ -179,12 +182,10 @@ def money_flow(bars):
     x = bars.withColumns({"_th": F.greatest("high", prev), "_tl": F.least("low", prev)})
     place = w.ratio(2 * F.col("close") - F.col("_th") - F.col("_tl"), F.col("_th") - F.col("_tl"))
     x = x.withColumn("_adv", F.coalesce(place, F.lit(0.0)) * F.col("volume"))
-
-    def fold(c):
-        return F.aggregate(F.collect_list(c).over(w.frame(_SMF_DEPTH)), F.lit(0.0), lambda acc, v: acc * (1 - 2 / 21) + v)
-
-    flow = F.when(F.count("*").over(w.PAST) >= 20, w.ratio(fold("_adv"), fold("volume")))
-    return x.withColumn("smart_money", F.coalesce(flow, F.lit(0.0))).drop("_th", "_tl", "_adv")
+    x = scans.decayed(x, {"_flow": "_adv"}, 1 - 2 / 21)
+    x = scans.decayed(x, {"_turn": "volume"}, 1 - 2 / 21)
+    flow = F.when(F.count("*").over(w.PAST) >= 20, w.ratio(F.col("_flow"), F.col("_turn")))
+    return x.withColumn("smart_money", F.coalesce(flow, F.lit(0.0))).drop("_th", "_tl", "_adv", "_flow", "_turn")
 
 
 def efficiency(p="close", n: int = 20):
@@ -280,13 +281,15 @@ def rolling_beta_corr(spark, sf_dir):
     bars = bars_orders(spark, sf_dir)
     bench = bars.groupBy("sector", "date").agg(F.avg("close").alias("bench"))
     x = bars.join(bench, ["sector", "date"]).withColumns({"lr": w.log_return(), "br": w.log_return("bench")})
-    return _select(x, beta126=_r(w.beta("lr", "br", 126), 5), corr126=_r(w.pair(F.corr, "lr", "br", 126), 5))
+    x = scans.slide(x, 126, pairs=(("lr", "br"),))
+    return _select(x, beta126=_r(scans.beta_of("lr_br_126", 126), 5), corr126=_r(scans.corr_of("lr_br_126", 126), 5))
 
 
 @query(f"""WITH {BARS}, a AS (SELECT symbol, date, close, list(close) OVER {d.w(252)} AS x FROM bars)
 SELECT symbol, date, round(CASE WHEN len(x) >= 20 THEN len(list_filter(x, lambda v: v <= close)) / len(x) END, 6) AS pct_rank FROM a""")
 def rolling_pct_rank(spark, sf_dir):
-    return _select(bars_orders(spark, sf_dir), pct_rank=_r(w.percent_rank_of_last("close", 252, 20)))
+    x = scans.rolling_rank(bars_orders(spark, sf_dir), "close", 252, 20, "pct_rank", ["symbol", "date"])
+    return _select(x, pct_rank=_r("pct_rank"))
 
 
 @query(f"""WITH {BARS}, a AS (SELECT *, {d.mean('close', 50)} AS ma FROM bars), b AS (SELECT *, ma - {d.lag('ma')} AS step FROM a)
@@ -330,12 +333,9 @@ def fwd_return_rank(spark, sf_dir):
 def triple_barrier(bars, horizon: int = 21, up: float = 1.25, down: float = 2.5):
     """First touch within the next bars: 1 above the upper barrier, 0 below the lower one, else missing."""
     x = bars.withColumn("lr", w.log_return()).withColumn("vol", F.coalesce(w.std("lr", 20), F.lit(0.02)) * math.sqrt(max(horizon, 1)))
-    x = x.withColumn("ahead", F.collect_list("close").over(w.W.rowsBetween(1, horizon)))
-    hi, lo = F.col("close") * (1 + up * F.col("vol")), F.col("close") * (1 - down * F.col("vol"))
-    x = x.withColumns({"top": F.array_position(F.transform("ahead", lambda v: v >= hi), True), "low": F.array_position(F.transform("ahead", lambda v: v <= lo), True)})
-    touched = F.when((F.col("top") > 0) & ((F.col("low") == 0) | (F.col("top") < F.col("low"))), 1.0).when(F.col("low") > 0, 0.0)
-    left = F.row_number().over(w.BY.orderBy(F.desc("date")))
-    return x.withColumn("target", F.when((left > horizon + 1) & (F.col("volume") > 0), touched)).drop("ahead", "top", "low", "lr")
+    x = x.withColumns({"_hi": F.col("close") * (1 + up * F.col("vol")), "_lo": F.col("close") * (1 - down * F.col("vol")), "_left": F.row_number().over(w.BY.orderBy(F.desc("date")))})
+    x = scans.first_touch(x, "close", "_hi", "_lo", horizon, "_touch", [*bars.columns, "vol", "_left"])
+    return x.withColumn("target", F.when((F.col("_left") > horizon + 1) & (F.col("volume") > 0), F.col("_touch"))).drop("_touch", "_left")
 
 
 @query(f"""WITH {BARS}, a AS (SELECT *, {d.log_return()} AS lr FROM bars), b AS (SELECT *, coalesce({d.std('lr', 20)}, 0.02) * sqrt(21) AS vol FROM a),
@@ -346,6 +346,15 @@ def triple_barrier_labels(spark, sf_dir):
     return _select(triple_barrier(bars_orders(spark, sf_dir)), vol=_r("vol"), target=F.col("target"))
 
 
+@query(f"""WITH {BARS}, a AS (SELECT *, {d.log_return()} AS lr FROM bars), b AS (SELECT *, coalesce({d.std('lr', 20)}, 0.02) * sqrt(250) AS vol FROM a),
+c AS (SELECT *, list(close) OVER ({d.OVER} ROWS BETWEEN 1 FOLLOWING AND 250 FOLLOWING) AS ahead, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM b),
+e AS (SELECT *, coalesce(list_position([v >= close * (1 + 0.125 * vol) FOR v IN ahead], true), 0) AS up, coalesce(list_position([v <= close * (1 - 0.0625 * vol) FOR v IN ahead], true), 0) AS dn FROM c)
+SELECT symbol, date, CASE WHEN rn > 251 AND volume > 0 THEN CASE WHEN up > 0 AND (dn = 0 OR up < dn) THEN 1.0 WHEN dn > 0 THEN 0.0 END END::DOUBLE AS target FROM e""")
+def barrier_year(spark, sf_dir):
+    """Barriers of a year's horizon, near enough to be touched."""
+    return _select(triple_barrier(bars_orders(spark, sf_dir), 250, 0.125, 0.0625), target=F.col("target"))
+
+
 def drop_constant(x, columns: list[str], least: float = 1e-9):
     """x without the columns whose deviation is at most `least`; all of them where every one is constant."""
     sd = x.agg(*[F.stddev_samp(c).alias(c) for c in columns]).first()

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tapeloom.functions import duck as d, windows as w
+from tapeloom.functions import duck as d, scans, windows as w
 from tapeloom.plans.registry import query
-from tapeloom.sources.bars import BARS, MACRO, bars_orders, by_symbol, macro_yearly
+from tapeloom.sources.bars import BARS, MACRO, bars_orders, by_symbol, macro_yearly, table
 
 
 #: Other symbols of a sector that stand for it.
@@ -68,21 +68,21 @@ def sector_frame(x, horizon: int = HORIZON):
             "_vol": zero(w.std("_ar", 20) - w.std("_br", 20)),
             "_mom": momentum("_ar") - momentum("_br"),
             "_dd": F.col("close") / F.max("close").over(w.PAST) - F.col("bench") / F.max("bench").over(w.PAST),
-            "_beta": zero(w.beta("_a0", "_b0", 126)),
-            "_corr": zero(w.pair(F.corr, "_a0", "_b0", 126)),
         }
     )
-    made = {"rel_strength_z": w.zscore("_rel", 126), "beta_z": w.zscore("_beta", 126), "corr_z": w.zscore("_corr", 126)}
-    x = x.withColumns({f"sector_{k}": v for k, v in made.items()})
-    made = {"spread_z": w.zscore("_spread", 126), "vol_spread_z": w.zscore("_vol", 126), "momentum_spread_z": w.zscore("_mom", 126), "drawdown_z": w.zscore("_dd", 126)}
-    made |= {
-        "spread_pct_rank": zero(w.percent_rank_of_last("_spread", 252, 20)),
+    x = scans.slide(x, 126, pairs=(("_a0", "_b0"),))
+    x = x.withColumns({"_beta": zero(scans.beta_of("_a0__b0_126", 126)), "_corr": zero(scans.corr_of("_a0__b0_126", 126))}).drop("_a0__b0_126")
+    made = {"rel_strength_z": "_rel", "beta_z": "_beta", "corr_z": "_corr", "spread_z": "_spread", "vol_spread_z": "_vol", "momentum_spread_z": "_mom", "drawdown_z": "_dd"}
+    x = scans.zscores(x, {f"sector_{k}": (v, 126) for k, v in made.items()})
+    x = scans.rolling_rank(x, "_spread", 252, 20, "_rank", x.columns)
+    made = {
+        "spread_pct_rank": zero(F.col("_rank")),
         "beta_raw": F.col("_beta"),
         "corr_raw": F.col("_corr"),
         "trend_interaction": F.col("sector_beta_z") * F.col("sector_rel_strength_z"),
         "corr_interaction": F.col("sector_corr_z") * F.col("sector_rel_strength_z"),
     }
-    return x.withColumns({f"sector_{k}": v for k, v in made.items()}).drop("_ar", "_br", "_rel", "_a0", "_b0", "_spread", "_vol", "_mom", "_dd", "_beta", "_corr")
+    return x.withColumns({f"sector_{k}": v for k, v in made.items()}).drop("_ar", "_br", "_rel", "_a0", "_b0", "_spread", "_vol", "_mom", "_dd", "_beta", "_corr", "_rank")
 
 
 def sector_frame_sql(source: str, horizon: int = HORIZON) -> str:
@@ -126,14 +126,8 @@ def sector_signal(spark, sf_dir):
 
 
 def as_of(bars, macro):
-    """Each bar with the last value dated on or before it: both sides are tagged, united, and filled by one window over dates.
-
-    The macro side and the distinct dates are calendar-sized, so the single ordered partition stays small; bars join back by date.
-    """
-    dates = bars.select("date").distinct().withColumn("value", F.lit(None).cast("double"))
-    tagged = dates.withColumn("side", F.lit(1)).unionByName(macro.select("date", "value").withColumn("side", F.lit(0)))
-    filled = tagged.withColumn("macro", F.last("value", ignorenulls=True).over(Window.orderBy("date", "side").rowsBetween(Window.unboundedPreceding, 0)))
-    return by_symbol(bars.join(filled.where("side = 1").select("date", "macro"), "date", "left"))
+    """Each bar with the last value dated on or before it, as column macro."""
+    return by_symbol(scans.as_of(bars, macro.select("date", F.col("value").alias("macro")), [], "date", ["macro"]))
 
 
 @query(f"""WITH {BARS}, {MACRO} SELECT bars.symbol, bars.date, round(macro.value, 4) AS macro FROM bars ASOF LEFT JOIN macro ON bars.date >= macro.date""")
@@ -141,6 +135,16 @@ def asof_macro(spark, sf_dir):
     return as_of(bars_orders(spark, sf_dir), macro_yearly(spark, sf_dir)).select("symbol", "date", _r("macro", 4).alias("macro"))
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS date FROM orders),
+u AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS price FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1, 2)
+SELECT o.o_orderkey, CASE WHEN o.date - u.date <= 180 THEN u.price END AS price FROM o ASOF LEFT JOIN u ON o.o_custkey = u.o_custkey AND o.date >= u.date""")
+def asof_by_key(spark, sf_dir):
+    """Each order with the amount of its customer's last urgent order, at most 180 days old."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").alias("price"), "o_orderpriority")
+    urgent = o.where(F.col("o_orderpriority").startswith("1")).select("o_custkey", "date", "price")
+    return scans.as_of(o.select("o_orderkey", "o_custkey", "date"), urgent, ["o_custkey"], "date", ["price"], tolerance=180).select("o_orderkey", "price")
+
+
 @query(f"""WITH {BARS}, {MACRO}, j AS (SELECT bars.symbol, bars.date, bars.close, macro.value AS m0 FROM bars ASOF LEFT JOIN macro ON bars.date >= macro.date),
 f AS (SELECT *, coalesce(m0, {d.bfill('m0')}) AS m FROM j), a AS (SELECT symbol, date, m, {d.change('m', 5)} AS r5, {d.change('m', 20)} AS r20, {d.change('m')} AS mr, {d.change('close')} AS ar FROM f),
 b AS (SELECT *, ({d.mean('mr', 60)}) / nullif(({d.std('mr', 60)}), 0) * sqrt(252) AS mom FROM a)
@@ -150,8 +154,9 @@ def macro_features(spark, sf_dir):
     x = as_of(bars_orders(spark, sf_dir), macro_yearly(spark, sf_dir))
     x = x.withColumn("m", F.coalesce("macro", w.bfill("macro")))
     x = x.withColumns({"r5": w.change("m", 5), "r20": w.change("m", 20), "mr": w.change("m"), "ar": w.change("close")})
-    mom = F.coalesce(w.mean("mr", 60) / F.nullif(w.std("mr", 60), F.lit(0.0)) * F.sqrt(F.lit(252.0)), F.lit(0.0))
-    return x.select("symbol", "date", _r(w.zscore("m", 252), 5).alias("macro_z"), _r("r5").alias("return_5d"), _r("r20").alias("return_20d"), _r(mom, 5).alias("momentum"), _r(w.beta("ar", "mr", 126), 4).alias("beta_raw"))
+    x = scans.zscores(scans.slide(scans.slide(x, 60, ("mr",)), 126, pairs=(("ar", "mr"),)), {"macro_z": ("m", 252)})
+    mom = F.coalesce(scans.mean_of("mr_60", 60) / F.nullif(scans.std_of("mr_60", 60), F.lit(0.0)) * F.sqrt(F.lit(252.0)), F.lit(0.0))
+    return x.select("symbol", "date", _r("macro_z", 5).alias("macro_z"), _r("r5").alias("return_5d"), _r("r20").alias("return_20d"), _r(mom, 5).alias("momentum"), _r(scans.beta_of("ar_mr_126", 126), 4).alias("beta_raw"))
 
 
 def calendar(bars):

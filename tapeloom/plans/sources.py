@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tapeloom.functions import duck as d, windows as w
+from tapeloom.functions import duck as d, scans, windows as w
 from tapeloom.plans.portfolio import weekly
 from tapeloom.plans.registry import query
 from tapeloom.sources import connectors
@@ -95,10 +95,10 @@ _REGIONS = {"AFRICA": "africa", "AMERICA": "america", "ASIA": "asia", "EUROPE":
 f AS (SELECT date, {', '.join(f"last_value({c} IGNORE NULLS) OVER (ORDER BY date) AS {c}" for c in _REGIONS.values())} FROM m)
 SELECT date, {', '.join(f"round({c}, 4) AS {c}" for c in _REGIONS.values())} FROM f WHERE {' AND '.join(f"{c} IS NOT NULL" for c in _REGIONS.values())}""")
 def price_matrix(spark, sf_dir):
-    """A date x sector matrix, gaps filled forward, leading incomplete dates dropped. It has a row a calendar date, so one ordered window fits."""
+    """A date x sector matrix, gaps filled forward over ranges of dates, leading incomplete dates dropped."""
     m = bars_orders(spark, sf_dir).groupBy("date").pivot("sector", list(_REGIONS)).agg(F.avg("close"))
-    past = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    f = m.select("date", *[F.last(s, ignorenulls=True).over(past).alias(c) for s, c in _REGIONS.items()]).na.drop()
+    m = m.select("date", *[F.col(s).alias(c) for s, c in _REGIONS.items()])
+    f = scans.fill_forward(m, [], ["date"], list(_REGIONS.values())).na.drop()
     return f.select("date", *[F.round(c, 4).alias(c) for c in _REGIONS.values()])
 
 

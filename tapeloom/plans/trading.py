@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Window, functions as F
 
-from tapeloom.functions import duck as d, windows as w
+from tapeloom.functions import duck as d, scans, windows as w
 from tapeloom.operators import broker
 from tapeloom.plans.registry import query
 from tapeloom.sources.bars import BARS, bars_orders, table
@@ -107,9 +107,11 @@ def fold_metrics(spark, sf_dir):
 SELECT symbol, date, round(sm, 6) AS smoothed, round(least(greatest(CASE WHEN n >= 60 THEN q70 ELSE 0.52 END, 0.5), 0.8), 6) AS threshold, round(avg(prob) OVER {d.w(50)}, 6) AS trend50 FROM q""")
 def prob_threshold(spark, sf_dir):
     """Smoothed probability, its rolling 70 % quantile as entry threshold, and the 50-bar mean."""
-    x = history(spark, sf_dir).withColumn("sm", w.ewm("prob", 0.3))
-    q = F.when(F.count("*").over(w.frame(60)) >= 60, F.percentile("sm", F.lit(0.7)).over(w.frame(60))).otherwise(0.52)
-    return x.select("symbol", "date", _r("sm").alias("smoothed"), _r(F.least(F.greatest(q, F.lit(0.5)), F.lit(0.8))).alias("threshold"), _r(F.avg("prob").over(w.frame(50))).alias("trend50"))
+    # Folded row by row: these probabilities are short decimals, so their means fall on rounding edges, where the order of sums tells.
+    x = history(spark, sf_dir).withColumns({"sm": w.ewm("prob", 0.3), "trend50": F.avg("prob").over(w.frame(50))})
+    x = scans.rolling_quantile(x, "sm", 60, 0.7, "q70", ["symbol", "date", "sm", "trend50"])
+    threshold = F.least(F.greatest(F.coalesce("q70", F.lit(0.52)), F.lit(0.5)), F.lit(0.8))
+    return x.select("symbol", "date", _r("sm").alias("smoothed"), _r(threshold).alias("threshold"), _r("trend50").alias("trend50"))
 
 
 # broker's rate by amount (upper bound, rate), fee of the regulator, depository fee, tax rates.

@@ -113,7 +113,7 @@ def plan(df):
 
 def test_plans_over_the_table(spark):
     table = BarTable(spark, buckets=8)
-    table.upsert(bars(spark, [(f"s{i}", f"{y}-01-0{d}", i) for i in range(40) for y in (2020, 2021) for d in range(1, 6)]))
+    table.upsert(bars(spark, [(f"s{i}", f"{y}-01-0{d}", i + 1) for i in range(40) for y in (2020, 2021) for d in range(1, 6)]))
     looked = table.lookup("s7", "2021-01-02")
     with settings(spark, spark__sql__sources__bucketing__autoBucketedScan__enabled="false"):  # else the plan hides which buckets are read
         assert "SelectedBucketsCount: 1 out of 8" in plan(table.lookup("s7", "2021-01-02"))
