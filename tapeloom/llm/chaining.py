@@ -11,7 +11,7 @@
    are chained by a tree of maxima over source positions, which holds the segments within reach (score: seed words less
    GAP_COST for each word skipped). Chains are traced best first over segments that are still free.
 3. Chains are aligned: both passages' words are fetched from the texts, gaps between segments are aligned by edit distance,
-   the ends are extended while the words agree. A passage stays if it is long and similar enough.
+   the ends are extended across unequal words up to the best score. A passage stays if it is long and similar enough.
 
 Defined cases: null or empty texts and texts shorter than a seed match nothing; equal texts are one passage each with the
 first of them; a passage within another of the same document is not reported again (of equal ones the one with the least
@@ -41,8 +41,10 @@ MIN_WORDS, MIN_IDENTITY = 40, 0.8
 #: Long seeds in a row of which one is sampled, and words of an equal passage that holds one for certain.
 LONG_WINDOW = 11
 LONG_WORDS = MIN_WORDS + LONG_WINDOW - 1
-#: Passages are fetched from the texts in whole blocks of so many words.
-BLOCK = 32
+#: Passages are fetched from the texts in whole blocks of so many words, and with so many words around them.
+BLOCK, AROUND = 32, 64
+#: What an unequal word costs where an equal one counts 1, and the fall from the best score at which an extension ends.
+UNEQUAL, DROP = 2.0, 12.0
 LOCAL_ROWS = 1_000_000
 #: A short seed of at most so many places matches all its earlier holders.
 FEW = 4
@@ -303,6 +305,39 @@ def _gap(a: np.ndarray, b: np.ndarray) -> int:
     return int(last[-1])
 
 
+def extend(a: list, b: list) -> tuple[int, int, int]:
+    """(words of a, words of b, equal ones) by which an alignment goes on beyond its end, up to its best score.
+
+    The furthest points with 0, 1, 2 ... differences are kept for each shift of a against b; a point whose score has fallen
+    DROP below the best is given up. So unequal, missing and added words are crossed where enough equal ones follow.
+    """
+
+    def slide(i: int, j: int, equal: int) -> tuple[int, int, int]:
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j, equal = i + 1, j + 1, equal + 1
+        return i, j, equal
+
+    reached, best, top = {0: slide(0, 0, 0)}, (0, 0, 0), 0.0
+    if reached[0][2] > top:
+        best, top = reached[0], float(reached[0][2])
+    while reached:
+        found: dict[int, tuple[int, int, int]] = {}
+        for i, j, equal in reached.values():
+            for x, y in ((i + 1, j + 1), (i + 1, j), (i, j + 1)):
+                if x <= len(a) and y <= len(b) and found.get(x - y, (-1,))[0] < x:
+                    found[x - y] = x, y, equal
+        reached = {}
+        for shift, point in found.items():
+            i, j, equal = slide(*point)
+            # Words of both sides that are not equal ones, a pair of them counting like a word that one side lacks.
+            score = equal - UNEQUAL * (max(i, j) - equal)
+            if score > top:
+                best, top = (i, j, equal), score
+            if score >= top - DROP:
+                reached[shift] = i, j, equal
+    return best
+
+
 def align(a: np.ndarray, b: np.ndarray, segments: np.ndarray, a_at: int, b_at: int) -> tuple[int, int, int, int, int]:
     """(a0, a1, b0, b1, equal words) of a chain's passage: a and b hold the words from a_at and b_at on."""
     a0, b0 = int(segments[0, 0]) - a_at, int(segments[0, 1]) - b_at
@@ -315,11 +350,9 @@ def align(a: np.ndarray, b: np.ndarray, segments: np.ndarray, a_at: int, b_at: i
         if skip < stop:
             equal += int((a[sa + skip : sa + stop] == b[sb + skip : sb + stop]).sum())
             x, y = sa + stop, sb + stop
-    while a0 > 0 and b0 > 0 and a[a0 - 1] == b[b0 - 1]:
-        a0, b0, equal = a0 - 1, b0 - 1, equal + 1
-    while x < len(a) and y < len(b) and a[x] == b[y]:
-        x, y, equal = x + 1, y + 1, equal + 1
-    return a0 + a_at, x + a_at, b0 + b_at, y + b_at, equal
+    da, db, more = extend(a[:a0][::-1].tolist(), b[:b0][::-1].tolist())
+    ea, eb, rest = extend(a[x:].tolist(), b[y:].tolist())
+    return a0 - da + a_at, x + ea + a_at, b0 - db + b_at, y + eb + b_at, equal + more + rest
 
 
 def _aligned(batches):
@@ -341,10 +374,10 @@ def passages(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> Dat
     chains = cut(map_arrow(matches(own).repartition("doc").sortWithinPartitions("doc", "src", "pos"), _chains, _CHAIN), "chains")
 
     def down(c):
-        return (F.floor(F.greatest(F.col(c) - BLOCK, F.lit(0)) / BLOCK) * BLOCK).cast("int")
+        return (F.floor(F.greatest(F.col(c) - AROUND, F.lit(0)) / BLOCK) * BLOCK).cast("int")
 
     def up(c):
-        return (F.ceil((F.col(c) + BLOCK) / BLOCK) * BLOCK).cast("int")
+        return (F.ceil((F.col(c) + AROUND) / BLOCK) * BLOCK).cast("int")
 
     chains = chains.select("*", down("a0").alias("aw0"), up("a1").alias("aw1"), down("b0").alias("bw0"), up("b1").alias("bw1"))
     ends = [F.struct(F.col(d).alias("id"), F.col(x).alias("w0"), F.col(y).alias("w1")) for d, x, y in (("doc", "aw0", "aw1"), ("src", "bw0", "bw1"))]
