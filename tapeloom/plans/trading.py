@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 from tapeloom.functions import duck as d, scans, windows as w
 from tapeloom.operators import broker
 from tapeloom.plans.registry import query
-from tapeloom.sources.bars import BARS, bars_orders, table
+from tapeloom.sources.bars import BARS, bars_orders, by_symbol, table
 
 #: A deterministic stand-in for out-of-sample probabilities: a hash-free function of the bar's order in its symbol.
 _PROB = f"""{BARS}, h AS (SELECT symbol, sector, date, close, volume, {d.log_return()} AS lr, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM bars),
@@ -20,9 +20,15 @@ def _r(x, n=6):
     return F.round(x, n)
 
 
-def history(spark, sf_dir):
-    x = bars_orders(spark, sf_dir).withColumns({"lr": w.log_return(), "k": F.row_number().over(w.W)}).where("lr IS NOT NULL")
-    x = x.withColumn("prob", 0.4 + ((F.col("k") * 7919) % 1000) / F.lit(4000.0))
+def history(spark, sf_dir, probabilities=None, bars=None):
+    """Bars with a probability of a rise and whether it came. Without a table of out-of-sample probabilities (symbol, date, prob),
+    such as `calibration.fit` gives, a stand-in that SQL can compute takes its place."""
+    x = bars_orders(spark, sf_dir) if bars is None else bars
+    x = x.withColumns({"lr": w.log_return(), "k": F.row_number().over(w.W)}).where("lr IS NOT NULL")
+    if probabilities is None:
+        x = x.withColumn("prob", 0.4 + ((F.col("k") * 7919) % 1000) / F.lit(4000.0))
+    else:
+        x = by_symbol(x.join(probabilities.select("symbol", "date", "prob"), ["symbol", "date"]))
     return x.withColumn("y", F.when(F.lead("lr").over(w.W) > 0, 1).otherwise(0))
 
 
@@ -30,9 +36,9 @@ def history(spark, sf_dir):
 a AS (SELECT symbol, count(*) AS n, count(CASE WHEN nxt > 0 THEN 1 END) AS wins, coalesce(avg(CASE WHEN nxt > 0 THEN nxt END), 0.02) AS aw, coalesce(abs(avg(CASE WHEN nxt <= 0 THEN nxt END)), 0.02) AS al FROM t GROUP BY symbol),
 b AS (SELECT *, wins / n AS wr, CASE WHEN al > 0 THEN aw / al ELSE 1.0 END AS b FROM a)
 SELECT symbol, n AS trade_count, round(wr, 6) AS win_rate, round(b, 6) AS win_loss_ratio, round(greatest(0.0, (wr * b - (1 - wr)) / b), 6) AS kelly_fraction, round(aw, 6) AS avg_win, round(al, 6) AS avg_loss, round(aw * wr - al * (1 - wr), 6) AS daily_edge FROM b""")
-def perf_metrics(spark, sf_dir):
+def perf_metrics(spark, sf_dir, probabilities=None):
     """Trades are bars above the threshold; each earns the return of the next trade's bar."""
-    t = history(spark, sf_dir).where("prob > 0.55").withColumn("nxt", F.lead("lr").over(w.W))
+    t = history(spark, sf_dir, probabilities).where("prob > 0.55").withColumn("nxt", F.lead("lr").over(w.W))
     x = t.groupBy("symbol").agg(F.count("*").alias("n"), F.count(F.when(F.col("nxt") > 0, 1)).alias("wins"), F.coalesce(F.avg(F.when(F.col("nxt") > 0, F.col("nxt"))), F.lit(0.02)).alias("aw"), F.coalesce(F.abs(F.avg(F.when(F.col("nxt") <= 0, F.col("nxt")))), F.lit(0.02)).alias("al"))
     x = x.withColumns({"wr": F.col("wins") / F.col("n"), "b": F.when(F.col("al") > 0, F.col("aw") / F.col("al")).otherwise(1.0)})
     return x.select("symbol", F.col("n").alias("trade_count"), _r("wr").alias("win_rate"), _r("b").alias("win_loss_ratio"), _r(F.greatest(F.lit(0.0), (F.col("wr") * F.col("b") - (1 - F.col("wr"))) / F.col("b"))).alias("kelly_fraction"), _r("aw").alias("avg_win"), _r("al").alias("avg_loss"), _r(F.col("aw") * F.col("wr") - F.col("al") * (1 - F.col("wr"))).alias("daily_edge"))
@@ -41,9 +47,9 @@ def perf_metrics(spark, sf_dir):
 @query(f"""WITH {_PROB}, s AS (SELECT symbol, date, CASE WHEN prob >= 0.55 THEN 1 ELSE 0 END * lead(lr) OVER (PARTITION BY symbol ORDER BY date) AS sr FROM p), e AS (SELECT *, exp(sum(sr) OVER {d.w()}) AS eq FROM s WHERE sr IS NOT NULL),
 g AS (SELECT *, eq / max(eq) OVER {d.w()} - 1 AS dd FROM e)
 SELECT symbol, round(arg_max(eq, date) - 1, 5) AS total_return, round(ln(arg_max(eq, date)) * 252.0 / count(*), 6) AS log_growth, round(min(dd), 6) AS max_drawdown, round(avg(CASE WHEN sr <> 0 THEN CASE WHEN sr > 0 THEN 1.0 ELSE 0.0 END END), 6) AS win_rate FROM g GROUP BY symbol""")
-def prob_backtest(spark, sf_dir):
+def prob_backtest(spark, sf_dir, probabilities=None):
     """Log-return curve of holding the next bar whenever the probability reaches the threshold; growth a year in logs."""
-    x = history(spark, sf_dir).withColumn("sr", F.when(F.col("prob") >= 0.55, 1).otherwise(0) * F.lead("lr").over(w.W)).where("sr IS NOT NULL")
+    x = history(spark, sf_dir, probabilities).withColumn("sr", F.when(F.col("prob") >= 0.55, 1).otherwise(0) * F.lead("lr").over(w.W)).where("sr IS NOT NULL")
     x = x.withColumn("eq", F.exp(F.sum("sr").over(w.PAST))).withColumn("dd", F.col("eq") / F.max("eq").over(w.PAST) - 1)
     last = F.max_by("eq", "date")
     return x.groupBy("symbol").agg(_r(last - 1, 5).alias("total_return"), _r(F.ln(last) * 252.0 / F.count("*")).alias("log_growth"), _r(F.min("dd")).alias("max_drawdown"), _r(F.avg(F.when(F.col("sr") != 0, F.when(F.col("sr") > 0, 1.0).otherwise(0.0)))).alias("win_rate"))
@@ -62,9 +68,9 @@ e AS (SELECT symbol, date, sig, tr, exp(sum(ln(greatest(1 + tr, 1e-6))) OVER {d.
 z AS (SELECT symbol, sum(sig)::BIGINT AS trade_count, avg(CASE WHEN sig = 1 THEN CASE WHEN tr > 0 THEN 1.0 ELSE 0.0 END END) AS win_rate, avg(CASE WHEN sig = 1 THEN tr END) AS avg_trade, arg_max(eq, date) AS eq, min(dd) AS mdd, count(*) AS n FROM g GROUP BY symbol)
 SELECT symbol, round(ic, 6) AS ic, round(ic * sqrt((m - 2) / greatest(1e-6, 1 - ic * ic)), 5) AS ic_tstat, trade_count, round(win_rate, 6) AS win_rate, round(avg_trade, 6) AS avg_trade_return, round(pow(eq, 252.0 / n) - 1, 5) AS cagr, round(mdd, 5) AS max_drawdown,
     round(ic, 9) >= 0.02 AND ic * sqrt((m - 2) / greatest(1e-6, 1 - ic * ic)) >= 1.25 AND trade_count >= 25 AND pow(eq, 252.0 / n) - 1 >= 0 AS passed FROM z JOIN i USING (symbol)""")
-def post_cv_validation(spark, sf_dir):
+def post_cv_validation(spark, sf_dir, probabilities=None):
     """Liquidity floor, slippage, rank information coefficient, equity curve and the pass rule (daily losses count down to the last millionth)."""
-    x = history(spark, sf_dir).withColumns({"nxt": F.lead("lr").over(w.W), "liq": F.col("close") * F.col("volume")})
+    x = history(spark, sf_dir, probabilities).withColumns({"nxt": F.lead("lr").over(w.W), "liq": F.col("close") * F.col("volume")})
     ic = x.where("nxt IS NOT NULL").select("symbol", average_rank("prob").alias("rp"), average_rank("nxt").alias("rn")).groupBy("symbol").agg(F.corr("rp", "rn").alias("ic"), F.count("*").alias("m"))
     x = x.withColumn("floor", F.percentile("liq", F.lit(0.4)).over(w.BY))
     x = x.withColumn("sig", F.when((F.col("prob") >= 0.55) & ((F.col("floor") <= 0) | (_r("liq", 4) >= _r("floor", 4))), 1).otherwise(0))
@@ -79,8 +85,8 @@ def post_cv_validation(spark, sf_dir):
 
 @query(f"""WITH {_PROB}, m AS (SELECT symbol, date, prob, avg(prob) OVER {d.w(120)} AS roll FROM p)
 SELECT symbol, round(arg_max(roll, date), 6) AS last_mean, round(avg(prob), 6) AS mean, abs(round(arg_max(roll, date) - avg(prob), 9)) > 0.002 AS drifted FROM m GROUP BY symbol""")
-def prob_drift(spark, sf_dir):
-    x = history(spark, sf_dir).withColumn("roll", F.avg("prob").over(w.frame(120)))
+def prob_drift(spark, sf_dir, probabilities=None):
+    x = history(spark, sf_dir, probabilities).withColumn("roll", F.avg("prob").over(w.frame(120)))
     last = F.max_by("roll", "date")
     return x.groupBy("symbol").agg(_r(last).alias("last_mean"), _r(F.avg("prob")).alias("mean"), (F.abs(_r(last - F.avg("prob"), 9)) > 0.002).alias("drifted"))
 
@@ -89,9 +95,9 @@ def prob_drift(spark, sf_dir):
 a AS (SELECT symbol, fold, count(*) AS n, sum(y) AS pos, avg(CASE WHEN hat = y THEN 1.0 ELSE 0.0 END) AS acc, avg(CASE WHEN y = 1 THEN hat END) AS tpr, avg(CASE WHEN y = 0 THEN 1 - hat END) AS tnr, sum(CASE WHEN y = 1 THEN rk END) AS rs, avg(pow(prob - y, 2)) AS brier, -avg(y * ln(prob) + (1 - y) * ln(1 - prob)) AS ll FROM f GROUP BY 1, 2),
 b AS (SELECT *, (rs - pos * (pos + 1) / 2.0) / (pos * (n - pos)) AS auc FROM a WHERE pos > 0 AND pos < n), c AS (SELECT *, 0.6 * auc + 0.4 * greatest(0.0, (ln(2) - ll) / ln(2)) AS score FROM b)
 SELECT symbol, count(*) AS folds, round(avg(acc), 6) AS accuracy, round(avg((tpr + tnr) / 2), 6) AS balanced_accuracy, round(avg(auc), 6) AS auc, round(avg(brier), 6) AS brier, round(avg(ll), 6) AS log_loss, round(avg(score), 6) AS cv_score, round(stddev_samp(score), 6) AS cv_std FROM c GROUP BY symbol""")
-def fold_metrics(spark, sf_dir):
+def fold_metrics(spark, sf_dir, probabilities=None, bars=None):
     """Accuracy, balanced accuracy, AUC from average ranks, Brier score, log-loss and the combined score, by fold and averaged."""
-    x = history(spark, sf_dir).withColumns({"fold": F.col("k") % 3, "hat": F.when(F.col("prob") >= 0.6, 1).otherwise(0)}).withColumn("rk", average_rank("prob", ("symbol", "fold")))
+    x = history(spark, sf_dir, probabilities, bars).withColumns({"fold": F.col("k") % 3, "hat": F.when(F.col("prob") >= 0.6, 1).otherwise(0)}).withColumn("rk", average_rank("prob", ("symbol", "fold")))
     pos = F.sum("y")
     x = x.groupBy("symbol", "fold").agg(
         F.count("*").alias("n"), pos.alias("pos"), F.avg(F.when(F.col("hat") == F.col("y"), 1.0).otherwise(0.0)).alias("acc"), F.avg(F.when(F.col("y") == 1, F.col("hat"))).alias("tpr"), F.avg(F.when(F.col("y") == 0, 1 - F.col("hat"))).alias("tnr"),
@@ -105,10 +111,10 @@ def fold_metrics(spark, sf_dir):
 
 @query(f"""WITH {_PROB}, e AS (SELECT symbol, date, prob, {d.ewm('prob', 0.3)} AS sm FROM p), q AS (SELECT *, quantile_cont(sm, 0.7) OVER {d.w(60)} AS q70, count(*) OVER {d.w(60)} AS n FROM e)
 SELECT symbol, date, round(sm, 6) AS smoothed, round(least(greatest(CASE WHEN n >= 60 THEN q70 ELSE 0.52 END, 0.5), 0.8), 6) AS threshold, round(avg(prob) OVER {d.w(50)}, 6) AS trend50 FROM q""")
-def prob_threshold(spark, sf_dir):
+def prob_threshold(spark, sf_dir, probabilities=None):
     """Smoothed probability, its rolling 70 % quantile as entry threshold, and the 50-bar mean."""
     # Folded row by row: these probabilities are short decimals, so their means fall on rounding edges, where the order of sums tells.
-    x = history(spark, sf_dir).withColumns({"sm": w.ewm("prob", 0.3), "trend50": F.avg("prob").over(w.frame(50))})
+    x = history(spark, sf_dir, probabilities).withColumns({"sm": w.ewm("prob", 0.3), "trend50": F.avg("prob").over(w.frame(50))})
     x = scans.rolling_quantile(x, "sm", 60, 0.7, "q70", ["symbol", "date", "sm", "trend50"])
     threshold = F.least(F.greatest(F.coalesce("q70", F.lit(0.52)), F.lit(0.5)), F.lit(0.8))
     return x.select("symbol", "date", _r("sm").alias("smoothed"), _r(threshold).alias("threshold"), _r("trend50").alias("trend50"))
@@ -192,9 +198,9 @@ def daily_pnl(spark, sf_dir):
 
 
 @query()
-def t2_backtest(spark, sf_dir):
+def t2_backtest(spark, sf_dir, probabilities=None):
     """Broker simulation with settlement queues and trailing stops, a fold over each symbol's bars."""
     from tapeloom.plans.features import atr
 
-    x = atr(history(spark, sf_dir)).select("symbol", "date", "close", "high", "low", "volume", "atr", "prob", "lr")
+    x = atr(history(spark, sf_dir, probabilities)).select("symbol", "date", "close", "high", "low", "volume", "atr", "prob", "lr")
     return broker.backtest(x, capital=2e9)
