@@ -312,29 +312,38 @@ def extend(a: list, b: list) -> tuple[int, int, int]:
     DROP below the best is given up. So unequal, missing and added words are crossed where enough equal ones follow.
     """
 
-    def slide(i: int, j: int, equal: int) -> tuple[int, int, int]:
-        while i < len(a) and j < len(b) and a[i] == b[j]:
-            i, j, equal = i + 1, j + 1, equal + 1
-        return i, j, equal
-
-    reached, best, top = {0: slide(0, 0, 0)}, (0, 0, 0), 0.0
-    if reached[0][2] > top:
-        best, top = reached[0], float(reached[0][2])
+    n, m = len(a), len(b)
+    i = 0
+    while i < n and i < m and a[i] == b[i]:
+        i += 1
+    near = i + int(DROP / UNEQUAL) + 1  # the first equal words lie before that, or there are none
+    if set(a[i:near]).isdisjoint(b[i:near]):
+        return i, i, i
+    best, top, none = (i, i, i), float(i), (-1, 0)
+    reached = {0: (i, i)}  # by shift: words of a, equal ones
     while reached:
-        found: dict[int, tuple[int, int, int]] = {}
-        for i, j, equal in reached.values():
-            for x, y in ((i + 1, j + 1), (i + 1, j), (i, j + 1)):
-                if x <= len(a) and y <= len(b) and found.get(x - y, (-1,))[0] < x:
-                    found[x - y] = x, y, equal
+        found: dict[int, tuple[int, int]] = {}
+        at = found.get
+        for shift, (i, equal) in reached.items():
+            if i < n:
+                if i - shift < m and at(shift, none)[0] <= i:
+                    found[shift] = i + 1, equal
+                if at(shift + 1, none)[0] <= i:
+                    found[shift + 1] = i + 1, equal
+            if i - shift < m and at(shift - 1, none)[0] < i:
+                found[shift - 1] = i, equal
         reached = {}
-        for shift, point in found.items():
-            i, j, equal = slide(*point)
+        for shift, (i, equal) in found.items():
+            j = begin = i - shift
+            while i < n and j < m and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            equal += j - begin
             # Words of both sides that are not equal ones, a pair of them counting like a word that one side lacks.
-            score = equal - UNEQUAL * (max(i, j) - equal)
+            score = equal - UNEQUAL * ((i if i > j else j) - equal)
             if score > top:
                 best, top = (i, j, equal), score
             if score >= top - DROP:
-                reached[shift] = i, j, equal
+                reached[shift] = i, equal
     return best
 
 
