@@ -1,7 +1,7 @@
 """Window work whose cost a row does not grow with the frame: sliding moments, decayed sums, keyed fills, and chunks with a halo.
 
 All take bars of many symbols (or any other key), ordered by date within a symbol. What is added goes by the names given; helper
-columns begin with an underscore and are dropped.
+columns begin and mostly end with an underscore (`_block_`, `_head_...`) and are dropped, so no column should be named like that.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ START = Window.unboundedPreceding
 
 
 def _numbered(df: DataFrame, by: str, at: str) -> DataFrame:
-    return df.withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(at)) - 1)
+    return df.withColumn("_row_", F.row_number().over(Window.partitionBy(by).orderBy(at)) - 1)
 
 
 def _merge(a: Column, b: Column, names: list[str]) -> Column:
@@ -59,10 +59,10 @@ def slide(df: DataFrame, n: int, values: tuple[str, ...] = (), pairs: tuple[tupl
     one from either side, and one merge a row give it. Nothing is subtracted, so no digits are lost in long sums. Missing values
     are left out.
     """
-    x = _numbered(df, by, at).withColumn("_b", F.floor(F.col("_i") / n))
-    block = Window.partitionBy(by, "_b")
+    x = _numbered(df, by, at).withColumn("_block_", F.floor(F.col("_row_") / n))
+    block = Window.partitionBy(by, "_block_")
     ends, names = {}, {}
-    for end, order in (("head", "_i"), ("tail", F.desc("_i"))):
+    for end, order in (("head", "_row_"), ("tail", F.desc("_row_"))):
         w = block.orderBy(order).rowsBetween(START, 0)
         own = {f"{v}_{n}": _moments(w, F.col(v)) for v in values}
         own |= {f"{a}_{b}_{n}": _moments(w, F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))) for a, b in pairs}
@@ -71,9 +71,9 @@ def slide(df: DataFrame, n: int, values: tuple[str, ...] = (), pairs: tuple[tupl
     x = x.withColumns(ends["head"]).withColumns(ends["tail"])
     order = Window.partitionBy(by).orderBy(at)
     x = x.withColumns({f"_tail_{k}": F.lag(f"_tail_{k}", n - 1).over(order) for k in names})
-    partial = F.col("_i") % n < n - 1  # the last row of a block has all of it and nothing of the one before
+    partial = F.col("_row_") % n < n - 1  # the last row of a block has all of it and nothing of the one before
     x = x.withColumns({k: _merge(F.col(f"_head_{k}"), F.when(partial, F.col(f"_tail_{k}")), own) for k, own in names.items()})
-    return x.drop("_i", "_b", *ends["head"], *ends["tail"])
+    return x.drop("_row_", "_block_", *ends["head"], *ends["tail"])
 
 
 def _flat(m: str, of: str = "x") -> Column:
@@ -91,13 +91,13 @@ def std_of(m: str, least: int) -> Column:
 
 def beta_of(m: str, least: int) -> Column:
     """Slope of the first value on the second; missing where that does not vary."""
-    return F.when((F.col(m)["n"] >= least) & ~_flat(m, "y"), F.col(m)["c_x"] / F.col(m)["s_y"])
+    return F.when((F.col(m)["n"] >= least) & ~_flat(m, "y"), F.col(m)["c_x"] / F.nullif(F.col(m)["s_y"], F.lit(0.0)))
 
 
 def corr_of(m: str, least: int) -> Column:
     """Correlation; missing where a value does not vary."""
     spread = F.sqrt(F.col(m)["s_x"]) * F.sqrt(F.col(m)["s_y"])
-    return F.when((F.col(m)["n"] >= least) & ~_flat(m) & ~_flat(m, "y"), F.col(m)["c_x"] / spread)
+    return F.when((F.col(m)["n"] >= least) & ~_flat(m) & ~_flat(m, "y"), F.col(m)["c_x"] / F.nullif(spread, F.lit(0.0)))
 
 
 def zscore_of(value: str, n: int) -> Column:
@@ -133,20 +133,20 @@ def decayed(df: DataFrame, made: dict[str, str], decay: float, first: float = 1.
     lead = next(iter(made.values()))
     order = Window.partitionBy(by).orderBy(at)
     past = order.rowsBetween(START, 0)
-    x = df.withColumn("_k", F.count(lead).over(past) - 1)
-    x = x.withColumns({"_b": F.floor(F.col("_k") / size), "_p": F.col("_k") % size})
-    inside = Window.partitionBy(by, "_b").orderBy(at).rowsBetween(START, 0)
+    x = df.withColumn("_count_", F.count(lead).over(past) - 1)
+    x = x.withColumns({"_block_": F.floor(F.col("_count_") / size), "_place_": F.col("_count_") % size})
+    inside = Window.partitionBy(by, "_block_").orderBy(at).rowsBetween(START, 0)
     known = F.col(lead).isNotNull()
-    scaled = {f"_s_{name}": F.sum(F.when(F.col("_k") == 0, F.col(v) * first).otherwise(F.col(v)) * F.pow(F.lit(decay), -F.col("_p").cast("double"))).over(inside) for name, v in made.items()}
-    x = x.withColumns(scaled).withColumns({f"_s_{name}": F.when(known, F.col(f"_s_{name}") * F.pow(F.lit(decay), F.col("_p").cast("double"))) for name in made})
+    scaled = {f"_s_{name}": F.sum(F.when(F.col("_count_") == 0, F.col(v) * first).otherwise(F.col(v)) * F.pow(F.lit(decay), -F.col("_place_").cast("double"))).over(inside) for name, v in made.items()}
+    x = x.withColumns(scaled).withColumns({f"_s_{name}": F.when(known, F.col(f"_s_{name}") * F.pow(F.lit(decay), F.col("_place_").cast("double"))) for name in made})
     before = order.rowsBetween(START, -1)
-    x = x.withColumns({f"_c_{name}": F.last(F.when(F.col("_p") == size - 1, F.col(f"_s_{name}")), ignorenulls=True).over(before) for name in made})
-    total = {name: F.col(f"_s_{name}") + F.coalesce(F.col(f"_c_{name}") * F.pow(F.lit(decay), F.col("_p") + 1.0), F.lit(0.0)) for name in made}
+    x = x.withColumns({f"_c_{name}": F.last(F.when(F.col("_place_") == size - 1, F.col(f"_s_{name}")), ignorenulls=True).over(before) for name in made})
+    total = {name: F.col(f"_s_{name}") + F.coalesce(F.col(f"_c_{name}") * F.pow(F.lit(decay), F.col("_place_") + 1.0), F.lit(0.0)) for name in made}
     if start:
-        total = {name: t + F.col(start) * F.pow(F.lit(decay), F.col("_k") + 1.0) for name, t in total.items()}
+        total = {name: t + F.col(start) * F.pow(F.lit(decay), F.col("_count_") + 1.0) for name, t in total.items()}
     x = x.withColumns({name: F.when(known, t) for name, t in total.items()})
     x = x.withColumns({name: F.last(name, ignorenulls=True).over(past) for name in made})
-    return x.drop("_k", "_b", "_p", *[f"_{e}_{name}" for name in made for e in "sc"])
+    return x.drop("_count_", "_block_", "_place_", *[f"_{e}_{name}" for name in made for e in "sc"])
 
 
 def ewm(df: DataFrame, made: dict[str, str], alpha: float, by: str = "symbol", at: str = "date") -> DataFrame:
@@ -165,14 +165,14 @@ def fill_forward(df: DataFrame, by: list[str], order: list[str], columns: list[s
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = by or ["_all"]
     x = df if by else df.withColumn("_all", F.lit(0))
-    x = cut(x.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    own = Window.partitionBy(*keys, "_part").orderBy(*order)
+    x = cut(x.repartitionByRange(n, *keys, *order).withColumn("_part_", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy(*keys, "_part_").orderBy(*order)
     place = F.struct(*order)
-    ends = x.groupBy(*keys, "_part").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_end_{c}") for c in columns])
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(START, -1)
-    carry = ends.select(*keys, "_part", *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_end_{c}") for c in columns])
+    ends = x.groupBy(*keys, "_part_").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_end_{c}") for c in columns])
+    before = Window.partitionBy(*keys).orderBy("_part_").rowsBetween(START, -1)
+    carry = ends.select(*keys, "_part_", *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_end_{c}") for c in columns])
     x = x.withColumns({c: F.last(c, ignorenulls=True).over(own.rowsBetween(START, 0)) for c in columns})
-    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "_part")]
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "_part_")]
     joined = x.alias("x").join(carry.alias("c"), same, "left")
     return joined.select(*[F.coalesce(F.col(f"x.{c}"), F.col(f"c._end_{c}")).alias(c) if c in columns else F.col(f"x.{c}") for c in df.columns])
 
@@ -204,17 +204,17 @@ def by_chunks(df: DataFrame, run: Callable[[pd.DataFrame, int, int], pd.DataFram
     tasks, and a task holds one chunk.
     """
     x = _numbered(df, by, at)
-    chunk, last = F.floor(F.col("_i") / rows), F.floor((F.count("*").over(Window.partitionBy(by)) - 1) / rows)
-    low, high = F.floor((F.col("_i") - after) / rows), F.floor((F.col("_i") + before) / rows)  # chunks of which the row is a neighbour
-    x = x.withColumns({"_home": chunk, "_low": F.greatest(low, F.lit(0)), "_high": F.least(high, last)})
-    x = x.withColumn("_chunk", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+    chunk, last = F.floor(F.col("_row_") / rows), F.floor((F.count("*").over(Window.partitionBy(by)) - 1) / rows)
+    low, high = F.floor((F.col("_row_") - after) / rows), F.floor((F.col("_row_") + before) / rows)  # chunks of which the row is a neighbour
+    x = x.withColumns({"_home_": chunk, "_low_": F.greatest(low, F.lit(0)), "_high_": F.least(high, last)})
+    x = x.withColumn("_chunk_", F.explode(F.sequence("_low_", "_high_"))).drop("_low_", "_high_")
 
     def each(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_i", kind="stable", ignore_index=True)
-        own = np.flatnonzero((part["_home"] == part["_chunk"]).to_numpy())
-        return run(part.drop(columns=["_i", "_home", "_chunk"]), int(own[0]), int(own[-1]) + 1)
+        part = part.sort_values("_row_", kind="stable", ignore_index=True)
+        own = np.flatnonzero((part["_home_"] == part["_chunk_"]).to_numpy())
+        return run(part.drop(columns=["_row_", "_home_", "_chunk_"]), int(own[0]), int(own[-1]) + 1)
 
-    return x.groupBy(by, "_chunk").applyInPandas(each, schema)
+    return x.groupBy(by, "_chunk_").applyInPandas(each, schema)
 
 
 class RankTree:

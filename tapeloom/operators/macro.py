@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from tapeloom.functions import windows as w
+from tapeloom.functions import scans, windows as w
 from tapeloom.sources.bars import by_symbol
 
 # Words in a label that ask for a block.
@@ -36,7 +36,8 @@ def block(x: DataFrame, label: str, sector: str | None = None, beta: str | None
     """
     has = lambda keys: any(k in label.lower() for k in keys)
     x = x.withColumns({"ar": _zero(w.change("close")), "mr": _zero(w.change("m"))})
-    x = x.withColumns({"beta": _zero(w.beta("ar", "mr", 126)), "corr": _zero(w.pair(F.corr, "ar", "mr", 126)), "link": F.col("ar") * F.col("mr"), "gap": F.col("ar") - F.col("mr")})
+    x = scans.slide(x, 126, pairs=(("ar", "mr"),))
+    x = x.withColumns({"beta": _zero(scans.beta_of("ar_mr_126", 126)), "corr": _zero(scans.corr_of("ar_mr_126", 126)), "link": F.col("ar") * F.col("mr"), "gap": F.col("ar") - F.col("mr")}).drop("ar_mr_126")
     made = {
         "z": w.zscore("m", 252), "return_5d": _zero(w.change("m", 5)), "return_20d": _zero(w.change("m", 20)), "beta_z": w.zscore("beta", 126), "corr_z": w.zscore("corr", 126), "spread_z": w.zscore("gap", 126), "asset_interaction": F.col("link"),
         "momentum": _zero(w.mean("mr", 60) / F.nullif(w.std("mr", 60), F.lit(0.0)) * math.sqrt(252)),
@@ -53,7 +54,8 @@ def block(x: DataFrame, label: str, sector: str | None = None, beta: str | None
         x = x.withColumn("slow", _zero(w.mean("mr", 30) - w.mean("mr", 5)))
         made |= {"fx_shock": w.zscore("mr", 60), "fx_carry": w.zscore("slow", 126)}
     if has(REMITTANCE):
-        x = x.withColumn("m90", w.mean("m", 90)).withColumn("trend", _zero(w.change("m90"))).withColumn("tie", w.pair(F.corr, "ar", "trend", 60))
+        x = x.withColumn("m90", w.mean("m", 90)).withColumn("trend", _zero(w.change("m90")))
+        x = scans.slide(x, 60, pairs=(("ar", "trend"),)).withColumn("tie", scans.corr_of("ar_trend_60", 60)).drop("ar_trend_60")
         made |= {"remit_trend_z": w.zscore("trend", 126), "asset_link": w.zscore("tie", 126)}
     if has(RAIN):
         x = x.withColumn("dev", _zero(F.col("m") - w.mean("m", 252)))
