@@ -316,7 +316,7 @@ def extend(a: list, b: list) -> tuple[int, int, int]:
     i = 0
     while i < n and i < m and a[i] == b[i]:
         i += 1
-    near = i + int(DROP / UNEQUAL) + 1  # the first equal words lie before that, or there are none
+    near = i + int(DROP / UNEQUAL) + 2  # the first equal words lie before that, or there are none
     if set(a[i:near]).isdisjoint(b[i:near]):
         return i, i, i
     best, top, none = (i, i, i), float(i), (-1, 0)

@@ -448,6 +448,10 @@ def test_an_extension_crosses_unequal_words():
     assert chaining.extend([*a[:20], -5, *a[20:40]], [*a[:20], *a[20:30], -6, *a[31:40]]) == (41, 40, 39)
     assert chaining.extend(a[:30], [-k - 1 for k in range(30)]) == (0, 0, 0) and chaining.extend([], a) == (0, 0, 0)
     assert chaining.extend(a[:20] + [500 + k for k in range(40)], a[:60]) == (20, 20, 20)  # nothing after the last equal word
+    for k in range(9):  # up to seven unequal words are crossed, whichever side has them
+        far, none = (k + 30, k + 30, 30), (0, 0, 0)
+        assert chaining.extend([-1] * k + a[:30], [-2] * k + a[:30]) == (far if k < 8 else none)
+        assert chaining.extend([-1] * k + a[:30], a[:30]) == ((k + 30, 30, 30) if k < 8 else none)
 
 
 def test_chains_against_all_orders():
