@@ -47,7 +47,7 @@ BLOCK, AROUND = 32, 64
 UNEQUAL, DROP = 2.0, 12.0
 LOCAL_ROWS = 1_000_000
 #: A short seed of at most so many places matches all its earlier holders.
-FEW = 16
+FEW = 32
 #: A dealt place, one of a seed of which its task has more, and one that waits for the seed's first holder.
 OPEN, MORE, REST = range(3)
 #: Rows of matched seeds: a match, a place that waits, a seed's first holder.
