@@ -13,7 +13,7 @@ from tapeloom.sources.bars import BARS, bars_orders, table
 
 # Model score of a candidate; confidence and probability below which a symbol is passed over.
 CANDIDATE_SCORE, LOW_CONFIDENCE, LOW_PROBABILITY = 0.52, 0.52, 0.55
-RISK_FREE = 0.05
+RISK_FREE = portfolio.RISK_FREE
 
 
 def _r(x, n=6):
@@ -144,3 +144,41 @@ def fee_breakdown(spark, sf_dir):
 def mc_er(spark, sf_dir):
     """Median terminal return of the simulated paths."""
     return risk.terminals(spark, sf_dir).groupBy("symbol").agg(_r(F.median("ret")).alias("mc_er"))
+
+
+#: What an allocation needs to be called one, in shares of the capital.
+LEAST_SIZE = 0.001
+
+
+def decision_rule(decisions: DataFrame, drivers: DataFrame | None = None) -> DataFrame:
+    """(symbol, label, reasons): the engine's label with its reasons as an array. A symbol without a probability is deferred.
+
+    decisions: (symbol, probability, raw_kelly, size, edge, label); drivers: (symbol, top), an array of factor names.
+    """
+    x = decisions if drivers is None else decisions.join(drivers, "symbol", "left")
+    top = F.col("top") if drivers is not None else F.lit(None).cast("array<string>")
+    pct = lambda c, k=1: F.concat(F.format_number(F.round(F.col(c) * 100, k), k), F.lit("%"))
+    why = F.array_compact(
+        F.array(
+            F.when(F.col("edge") <= 0, F.lit("No edge after costs and tax")),
+            F.when((F.col("edge") > 0) & (F.col("size") < LEAST_SIZE), F.lit("Edge too small for an allocation")),
+            F.concat(F.lit("Fused probability of gain: "), pct("probability")),
+            F.concat(F.lit("Recommended allocation: "), pct("size")),
+            F.when(F.size(top) > 0, F.concat(F.lit("Top drivers: "), F.array_join(top, ", "))),
+        )
+    )
+    missing = F.col("probability").isNull()
+    return x.select("symbol", F.when(missing, "INSUFFICIENT DATA").otherwise(F.col("label")).alias("label"), F.when(missing, F.array(F.lit("Signal model unavailable; decision deferred."))).otherwise(why).alias("reasons"))
+
+
+_PCT = "format('{{:.1f}}%', round({c} * 100, 1))"
+
+
+@query(f"""WITH c AS ({ORACLE_SQL["decision_engine"]}), {BARS}, l AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol), x AS (SELECT c.*, n >= 240 AS long FROM c JOIN l USING (symbol))
+SELECT symbol, CASE WHEN long THEN label ELSE 'INSUFFICIENT DATA' END AS label, CASE WHEN long THEN array_to_string(list_filter([CASE WHEN edge <= 0 THEN 'No edge after costs and tax' END, CASE WHEN edge > 0 AND size < {LEAST_SIZE} THEN 'Edge too small for an allocation' END,
+    'Fused probability of gain: ' || {_PCT.format(c="probability")}, 'Recommended allocation: ' || {_PCT.format(c="size")}], lambda v: v IS NOT NULL), '; ') ELSE 'Signal model unavailable; decision deferred.' END AS reasons FROM x""")
+def decision_reasons(spark, sf_dir):
+    """Each symbol's decision with its reasons; symbols with less than a year of bars have no model and are deferred."""
+    n = bars_orders(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"))
+    x = risk.decision_engine(spark, sf_dir).join(n, "symbol").withColumn("probability", F.when(F.col("n") >= 240, F.col("probability")))
+    return decision_rule(x).withColumn("reasons", F.array_join("reasons", "; "))
