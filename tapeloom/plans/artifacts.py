@@ -117,6 +117,13 @@ def model_tier(spark, sf_dir):
     return model_quality(x).select("p_partkey", "tier", _r("trust").alias("trust"))
 
 
+def gated(p: str, sd: str, edge: str, trust: str):
+    """A probability damped without an edge, capped near one half where scores are unstable, and neutral without trust."""
+    damped = 0.5 + (F.col(p) - 0.5) * F.when(F.col(edge).isNull(), 0.5).otherwise(1.0)
+    capped = F.when((F.col(sd) > 0.07) | F.col(edge).isNull() | (F.col(edge) < 0.01), F.least(F.greatest(damped, F.lit(0.48)), F.lit(0.52))).otherwise(damped)
+    return F.when(F.col(trust) == 0, 0.5).otherwise(capped)
+
+
 @query("""WITH g AS (SELECT p_partkey, 0.3 + (p_partkey % 400) / 1000.0 AS p, (p_partkey % 13) / 100.0 AS sd, CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey % 40) / 1000.0 - 0.01 END AS e, (p_partkey % 11) / 10.0 AS trust FROM part),
 a AS (SELECT *, 0.5 + (p - 0.5) * CASE WHEN e IS NULL THEN 0.5 ELSE 1.0 END AS d FROM g), b AS (SELECT *, CASE WHEN sd > 0.07 OR e IS NULL OR e < 0.01 THEN least(greatest(d, 0.48), 0.52) ELSE d END AS c FROM a)
 SELECT p_partkey, round(CASE WHEN trust = 0 THEN 0.5 ELSE c END, 6)::DOUBLE AS probability FROM b""")
@@ -124,6 +131,4 @@ def prob_gating(spark, sf_dir):
     """Probabilities damped without an edge, capped near one half where scores are unstable, and neutral without trust."""
     k = F.col("p_partkey")
     x = table(spark, sf_dir, "part").select("p_partkey", (0.3 + (k % 400) / F.lit(1000.0)).alias("p"), ((k % 13) / F.lit(100.0)).alias("sd"), F.when(k % 3 != 0, (k % 40) / F.lit(1000.0) - 0.01).alias("e"), ((k % 11) / F.lit(10.0)).alias("trust"))
-    damped = 0.5 + (F.col("p") - 0.5) * F.when(F.col("e").isNull(), 0.5).otherwise(1.0)
-    capped = F.when((F.col("sd") > 0.07) | F.col("e").isNull() | (F.col("e") < 0.01), F.least(F.greatest(damped, F.lit(0.48)), F.lit(0.52))).otherwise(damped)
-    return x.select("p_partkey", _r(F.when(F.col("trust") == 0, 0.5).otherwise(capped)).alias("probability"))
+    return x.select("p_partkey", _r(gated("p", "sd", "e", "trust")).alias("probability"))

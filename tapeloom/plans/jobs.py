@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tapeloom.functions import duck as d, windows as w
-from tapeloom.plans import features, portfolio, risk, trading
+from tapeloom.plans import artifacts, features, portfolio, risk, trading
 from tapeloom.plans.registry import ORACLE_SQL, query
 from tapeloom.sources.bars import BARS, bars_orders, table
 
@@ -25,16 +25,39 @@ def _r(x, n=6):
 _LEAN = "prob + 0.002 * regexp_extract(symbol, '[0-9]+$')::INT * (2 * y - 1) AS prob"
 
 
+def leaning(spark, sf_dir):
+    lean = 0.002 * F.regexp_extract("symbol", "[0-9]+$", 0).cast("int") * (2 * F.col("y") - 1)
+    return trading.history(spark, sf_dir).select("symbol", "date", (F.col("prob") + lean).alias("prob"))
+
+
 @query(f"""WITH f AS ({ORACLE_SQL["fold_metrics"].replace("FROM p),", f"FROM (SELECT * REPLACE ({_LEAN}) FROM p)),", 1)}) SELECT symbol, cv_score, cv_std FROM f WHERE cv_score > {CANDIDATE_SCORE} ORDER BY cv_score DESC""")
 def candidates(spark, sf_dir, probabilities=None):
     """Symbols whose model score makes them candidates."""
-    if probabilities is None:
-        lean = 0.002 * F.regexp_extract("symbol", "[0-9]+$", 0).cast("int") * (2 * F.col("y") - 1)
-        probabilities = trading.history(spark, sf_dir).select("symbol", "date", (F.col("prob") + lean).alias("prob"))
-    x = trading.fold_metrics(spark, sf_dir, probabilities).select("symbol", "cv_score", "cv_std")
+    x = trading.fold_metrics(spark, sf_dir, leaning(spark, sf_dir) if probabilities is None else probabilities).select("symbol", "cv_score", "cv_std")
     return x.where(F.col("cv_score") > CANDIDATE_SCORE).orderBy(F.desc("cv_score"))
 
 
+_LEANING = ORACLE_SQL["fold_metrics"].replace("FROM p),", f"FROM (SELECT * REPLACE ({_LEAN}) FROM p)),", 1)
+#: The tiers' SQL over a grid, with the symbols' own scores and sectors in the grid's place.
+_TIERS = ORACLE_SQL["model_tier"].replace("p_partkey", "symbol").split("a AS (SELECT *, coalesce(sd, 0.2)", 1)[1]
+
+
+@query(f"""WITH cv AS ({_LEANING}), z AS (WITH {trading._PROB} SELECT symbol, any_value(sector) AS sector, arg_max({_LEAN.replace(" AS prob", "")}, date) AS prob FROM p GROUP BY symbol),
+t AS (WITH g AS (SELECT symbol, sector, cv_score AS s, cv_std AS sd, 0.0 AS pe, false AS cal FROM cv JOIN z USING (symbol)), a AS (SELECT *, coalesce(sd, 0.2){_TIERS}),
+e AS (SELECT t.*, prob, cv_std AS sd, cv_score - 0.5 AS e FROM t JOIN cv USING (symbol) JOIN z USING (symbol)),
+c AS (SELECT *, CASE WHEN sd > 0.07 OR e IS NULL OR e < 0.01 THEN least(greatest(prob, 0.48), 0.52) ELSE prob END AS c FROM e)
+SELECT symbol, tier, trust, round(CASE WHEN trust = 0 THEN 0.5 ELSE c END, 6)::DOUBLE AS probability FROM c""")
+def symbol_tiers(spark, sf_dir, probabilities=None):
+    """Each symbol's model tier and trust by its scores and sector, and its last probability after the gates."""
+    if probabilities is None:
+        probabilities = leaning(spark, sf_dir)
+    last = trading.history(spark, sf_dir, probabilities).groupBy("symbol", "sector").agg(F.max_by("prob", "date").alias("prob"))
+    x = trading.fold_metrics(spark, sf_dir, probabilities).select("symbol", "cv_score", "cv_std").join(last, "symbol")
+    x = x.withColumns({"prob_edge": F.lit(0.0), "warnings": F.array().cast("array<string>"), "edge": F.col("cv_score") - 0.5})
+    x = artifacts.model_quality(x)
+    return x.select("symbol", "tier", _r("trust").alias("trust"), _r(artifacts.gated("prob", "cv_std", "edge", "trust")).alias("probability"))
+
+
 @query(f"""WITH m AS ({ORACLE_SQL["perf_metrics"]}), {BARS}, a AS (SELECT symbol, {d.log_return()} AS lr FROM bars), b AS (SELECT symbol, avg(lr) AS market FROM a GROUP BY symbol)
 SELECT symbol, win_rate, daily_edge, round(market, 6) AS market, daily_edge > round(market, 6) AS beats_market FROM m JOIN b USING (symbol)""")
 def bulk_edge(spark, sf_dir, probabilities=None):
