@@ -122,9 +122,18 @@ def read_metadata(spark: SparkSession, root: str, namespace: str, run_id: str) -
     return json.loads(spark.read.text(f"{root}/{namespace}/{run_id}/meta").first()[0])
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Rows added to a CSV log; every part has its header."""
-    rows.write.mode("append").option("header", True).csv(path)
+def append_log(rows: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Rows added to a CSV log; every part has its header. With a run's id they are that run's part of the log, and a run that is
+    repeated replaces its own rows instead of adding them again."""
+    if run_id is None:
+        rows.write.mode("append").option("header", True).csv(path)
+    else:
+        rows.write.mode("overwrite").option("header", True).csv(f"{path}/run={run_id}")
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log kept by runs: its rows with the column run."""
+    return spark.read.option("header", True).schema(f"{schema}, run string").csv(path)
 
 
 def read_symbols(spark: SparkSession, path: str) -> DataFrame:

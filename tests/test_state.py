@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.functions import windows as w
-from tapeloom.sources import feeds
+from tapeloom.sources import connectors, feeds
 from tapeloom.sources.shared import files, new_folder, settings
 from tapeloom.sources.tables import BarTable
 from tapeloom.streaming import bars as s, state
@@ -202,3 +202,13 @@ def test_rates_of_odd_pages(spark):
     ]
     got = feeds.mid_rates(spark.createDataFrame(pages, "mark long, body string"), "usd").collect()
     assert sorted((str(r.date), r.rate) for r in got) == [("2024-01-01", 111.0), ("2024-01-04", 2.0)]
+
+
+def test_a_repeated_run_is_logged_once(spark):
+    path = new_folder(spark, "log")
+    day = lambda rows: spark.createDataFrame(rows, "symbol string, pnl double").repartition(3)
+    connectors.append_log(day([("a", 1.0), ("b", 2.0)]), path, "2024-01-01")
+    connectors.append_log(day([("a", 3.0)]), path, "2024-01-02")
+    connectors.append_log(day([("a", 4.0)]), path, "2024-01-02")
+    got = connectors.read_log(spark, path, "symbol string, pnl double").collect()
+    assert sorted((r.run, r.symbol, r.pnl) for r in got) == [("2024-01-01", "a", 1.0), ("2024-01-01", "b", 2.0), ("2024-01-02", "a", 4.0)]
