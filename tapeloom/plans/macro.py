@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from tapeloom.functions import duck as d, scans, windows as w
@@ -57,9 +55,8 @@ def macro_sector_blocks(spark, sf_dir):
     x = macro.at_dates(with_bench(bars_orders(spark, sf_dir)), series)
     x = x.withColumns({c: F.coalesce(w.change(v), F.lit(0.0)) for c, v in (("_a", "close"), ("_b", "bench"))})
     x = scans.slide(x, 126, pairs=(("_a", "_b"),)).withColumn("sector_beta", scans.beta_of("_a__b_126", 126)).drop("_a", "_b", "_a__b_126")
-    parts = [(F.col("sector") == s, name) for s, name in _STANDS.items()] + [(~F.col("sector").isin(list(_STANDS)), None)]
-    made = [macro.block(x.where(own), "usd_remit_rain_cpi", name, "sector_beta")[0] for own, name in parts]
-    x = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
+    kind = F.coalesce(*[F.when(F.col("sector") == s, F.lit(name)) for s, name in _STANDS.items()])
+    x, _ = macro.block(x.withColumn("kind", kind), "usd_remit_rain_cpi", beta="sector_beta", by="kind")
     return x.select("symbol", "sector", "date", *[F.round(f"macro_{c}", 6 if c == "sector_beta_interaction" else 4).alias(f"macro_{c}") for c in _SECTOR_COLS])
 
 
