@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tapeloom.llm import chaining, decontaminate, divergence, langid, media, neardup, packing, quality, sharding, simhash, suffix_dedup, toxicity, variants
 from tapeloom.llm.common import held_out, table
@@ -40,6 +40,34 @@ def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("row.page_id", F.inline("items"))
 
 
+def illustrated(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """(page_id, html): every page behind a head of two pictures with captions (its address, and the document of its number, if
+    there is one) and one whose payload nobody has."""
+    digest = F.sha2(F.encode(media_padded(F.col("url")), "utf-8"), 256)
+    own = docs.select(F.col("doc_id").alias("page_id"), F.sha2(F.encode(media_padded(F.coalesce("text", F.lit(""))), "utf-8"), 256).alias("shown"))
+    x = pages.select("page_id", "html", digest.alias("address")).join(own, "page_id", "left")
+    picture = lambda d: F.concat(F.lit('<img src="digest:'), d, F.lit('">'))
+    number = F.col("page_id").cast("string")
+    head = F.concat(F.lit("<article><h1>Page "), number, F.lit("</h1><figure><figcaption>Address of "), number, F.lit("</figcaption>"), picture(F.col("address")), F.lit("</figure><p>Lost:</p>"), picture(F.sha2(F.concat(F.lit("lost "), number), 256)))
+    document = F.coalesce(F.concat(F.lit("<figure>"), picture(F.col("shown")), F.lit("<figcaption>Document "), number, F.lit("</figcaption></figure>")), F.lit(""))
+    return x.select("page_id", F.concat(head, document, F.lit("</article>"), F.coalesce("html", F.lit(""))).alias("html"))
+
+
+def media_padded(text: Column) -> Column:
+    """A text with the blanks that fill its payload's last row."""
+    size = F.octet_length(text)
+    full = F.when(size == 0, F.lit(media.WIDTH)).otherwise(F.ceil(size / media.WIDTH) * media.WIDTH)
+    return F.concat(text, F.repeat(F.lit(" "), (full - size).cast("int")))
+
+
+def page_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items of illustrated pages in order: texts, and media with captions and what their payloads hold, if they are known."""
+    pages, docs = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")
+    items = media.interleaved(illustrated(pages, docs), carry=("page_id",)).select("row.page_id", F.inline("items"))
+    known = media.read_back(media.store(pages.select(F.col("url").alias("text")).unionByName(docs.select("text"))))
+    return media.resolve(items, known).select("page_id", "position", "kind", "text", "caption", "digest", "payload_bytes", "media_bytes", "media_sha256", "feature")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.join(table(spark, sf_dir, "documents"))[0]
 
@@ -100,6 +128,7 @@ QUERIES = {
         op1_toxicity,
         op2_media_columns,
         page_items,
+        page_media,
         op3_ngram_jaccard_join,
         op4_sharding,
         op5_quality_classifier,
