@@ -264,6 +264,36 @@ def frac_diff(spark, sf_dir):
     return _select(x, frac_diff=_r(fractional()))
 
 
+def fractional_own(x, orders, lp: str = "lp", least: float = 1e-4):
+    """x with frac_diff by each symbol's own order, from a table (symbol, d); d of 0 leaves the value, symbols without one get NULL.
+
+    Orders come from a short grid, so there is a row of weights for each distinct one; they are joined to the symbols.
+    """
+    grid = [r.d for r in orders.select("d").where("d IS NOT NULL").distinct().collect()]
+    weights = x.sparkSession.createDataFrame([(d, [float(v) for v in reversed(ffd_weights(d, least))]) for d in grid], "d double, _weights array<double>")
+    x = x.join(orders.join(weights, "d").select("symbol", "_weights"), "symbol", "left")
+    widest = max((len(ffd_weights(d, least)) for d in grid), default=1)
+    seen = F.collect_list(lp).over(w.frame(widest))
+    last = F.slice("_seen", F.size("_seen") - F.size("_weights") + 1, F.size("_weights"))
+    x = x.withColumn("_seen", seen)
+    total = F.aggregate(F.zip_with(last, "_weights", lambda v, k: v * k), F.lit(0.0), lambda acc, v: acc + v)
+    return x.withColumn("frac_diff", F.when((F.size("_seen") >= F.size("_weights")) & F.col(lp).isNotNull(), total)).drop("_seen", "_weights")
+
+
+#: Orders by the last digit of a symbol's number, a stand-in for searched ones that SQL can follow.
+_ORDERS = (0.3, 0.45, 0.6)
+
+
+@query(f"""WITH {BARS}, a AS (SELECT symbol, date, ln(close) AS lp, regexp_extract(symbol, '[0-9]+$')::INT % {len(_ORDERS)} AS k FROM bars)
+SELECT symbol, date, round(CASE k {" ".join(f"WHEN {k} THEN {fractional_sql('lp', ffd_weights(o))}" for k, o in enumerate(_ORDERS))} END, 6) AS frac_diff FROM a""")
+def frac_diff_own(spark, sf_dir):
+    """Fractional differences of each symbol's own order."""
+    x = bars_orders(spark, sf_dir).withColumn("lp", F.ln("close"))
+    number = F.regexp_extract("symbol", "[0-9]+$", 0).cast("int") % len(_ORDERS)
+    orders = x.select("symbol").distinct().select("symbol", F.element_at(F.array(*map(F.lit, _ORDERS)), number + 1).alias("d"))
+    return _select(fractional_own(x, orders), frac_diff=_r("frac_diff"))
+
+
 @query(f"""WITH {BARS}, a AS (SELECT symbol, date, {d.log_return()} AS lr FROM bars), b AS (SELECT *, {d.lag('lr')} AS prev FROM a)
 SELECT symbol, date, round({d.roll('skewness', 'lr', 60)}, 5) AS skew60, round({d.roll('kurtosis', 'lr', 60)}, 4) AS kurt60,
     round(CASE WHEN count(lr) OVER {d.w(60)} >= 60 THEN corr(lr, prev) OVER {d.w(59)} END, 5) AS autocorr60 FROM b""")

@@ -163,3 +163,16 @@ def test_no_single_task_in_the_fills(spark):
 def test_barriers_hold_no_arrays(spark):
     p = plan(features.triple_barrier(bars_orders(spark, "/root/testdata/sf0.001"), 250))
     assert "collect_list" not in p and "array" not in p.lower().replace("arrayofdoubles", "")
+
+
+def test_fractional_differences_of_own_orders(spark, rows, walk):
+    x = rows.where("symbol IN ('s0', 's1', 's2', 's4')").select("symbol", "date", F.coalesce("x", F.lit(1e6)).alias("lp"))
+    orders = spark.createDataFrame([("s0", 0.5), ("s1", 0.0), ("s2", 0.9), ("s4", None)], "symbol string, d double")
+    got = features.fractional_own(x, orders, least=1e-2).toPandas().sort_values(["symbol", "date"], ignore_index=True)
+    for s, d in (("s0", 0.5), ("s1", 0.0), ("s2", 0.9)):
+        own = got[got["symbol"] == s]
+        k = np.array(features.ffd_weights(d, 1e-2))
+        v = own["lp"].to_numpy()
+        want = [np.nan if i + 1 < len(k) else float(v[i - len(k) + 1 : i + 1][::-1] @ k) for i in range(len(v))]
+        assert np.allclose(own["frac_diff"], want, equal_nan=True)
+    assert got[got["symbol"] == "s4"]["frac_diff"].isna().all()
