@@ -43,17 +43,23 @@ def _merge(a: Column, b: Column, names: list[str]) -> Column:
     return F.when(b.isNull() | (F.coalesce(b["n"], F.lit(0)) == 0), a).when(F.coalesce(a["n"], F.lit(0)) == 0, b).otherwise(merged)
 
 
-def _moments(w, x, y=None) -> dict[str, Column]:
-    """n, mean, sum of squares, least and greatest value of x over a window; with y, of both and their co-moment."""
+def _moments(w, x, y=None, extremes: bool = False) -> dict[str, Column]:
+    """n, mean and sum of squares of x over a window; with y, of both and their co-moment; with extremes, least and greatest x.
+
+    The mean of equal values is that value, not a rounded sum over a count, so that equal values have no deviation at all."""
     k = F.count(x).over(w)
     out = {"n": k}
     for name, v in (("x", x), ("y", y)) if y is not None else (("x", x),):
-        out |= {f"m_{name}": F.avg(v).over(w), f"s_{name}": F.var_pop(v).over(w) * k, f"l_{name}": F.min(v).over(w), f"g_{name}": F.max(v).over(w)}
+        var = F.var_pop(v).over(w)
+        out |= {f"m_{name}": F.when(var == 0, F.first(v, ignorenulls=True).over(w)).otherwise(F.avg(v).over(w)), f"s_{name}": var * k}
+    if extremes:
+        out |= {"l_x": F.min(x).over(w), "g_x": F.max(x).over(w)}
     return out if y is None else out | {"c_x": F.covar_pop(x, y).over(w) * k}
 
 
-def slide(df: DataFrame, n: int, values: tuple[str, ...] = (), pairs: tuple[tuple[str, str], ...] = (), by: str = "symbol", at: str = "date") -> DataFrame:
-    """df with moments of the last n (at least 2) rows: structs `<value>_<n>`, and `<x>_<y>_<n>` over rows with both values.
+def slide(df: DataFrame, n: int, values: tuple[str, ...] = (), pairs: tuple[tuple[str, str], ...] = (), extremes: bool = False, by: str = "symbol", at: str = "date") -> DataFrame:
+    """df with moments of the last n (at least 2) rows: structs `<value>_<n>` (n, m_x, s_x; with extremes l_x and g_x too), and
+    `<x>_<y>_<n>` (m_y, s_y and c_x besides) over rows with both values.
 
     Rows are cut into blocks of n. A frame is the end of one block and the beginning of the next, so two passes over each block,
     one from either side, and one merge a row give it. Nothing is subtracted, so no digits are lost in long sums. Missing values
@@ -64,7 +70,7 @@ def slide(df: DataFrame, n: int, values: tuple[str, ...] = (), pairs: tuple[tupl
     ends, names = {}, {}
     for end, order in (("head", "_row_"), ("tail", F.desc("_row_"))):
         w = block.orderBy(order).rowsBetween(START, 0)
-        own = {f"{v}_{n}": _moments(w, F.col(v)) for v in values}
+        own = {f"{v}_{n}": _moments(w, F.col(v), extremes=extremes) for v in values}
         own |= {f"{a}_{b}_{n}": _moments(w, F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))) for a, b in pairs}
         names = {k: [m for m in moments if m != "n"] for k, moments in own.items()}
         ends[end] = {f"_{end}_{k}": F.struct(*[c.alias(m) for m, c in moments.items()]) for k, moments in own.items()}
@@ -76,28 +82,23 @@ def slide(df: DataFrame, n: int, values: tuple[str, ...] = (), pairs: tuple[tupl
     return x.drop("_row_", "_block_", *ends["head"], *ends["tail"])
 
 
-def _flat(m: str, of: str = "x") -> Column:
-    """Whether all values of a frame are the same: what rounding leaves in the sums is then no deviation."""
-    return F.col(m)[f"l_{of}"] == F.col(m)[f"g_{of}"]
-
-
 def mean_of(m: str, least: int) -> Column:
-    return F.when(F.col(m)["n"] >= least, F.when(_flat(m), F.col(m)["l_x"]).otherwise(F.col(m)["m_x"]))
+    return F.when(F.col(m)["n"] >= least, F.col(m)["m_x"])
 
 
 def std_of(m: str, least: int) -> Column:
-    return F.when(F.col(m)["n"] >= max(2, least), F.when(_flat(m), F.lit(0.0)).otherwise(F.sqrt(F.col(m)["s_x"] / (F.col(m)["n"] - 1))))
+    return F.when(F.col(m)["n"] >= max(2, least), F.sqrt(F.col(m)["s_x"] / (F.col(m)["n"] - 1)))
 
 
 def beta_of(m: str, least: int) -> Column:
     """Slope of the first value on the second; missing where that does not vary."""
-    return F.when((F.col(m)["n"] >= least) & ~_flat(m, "y"), F.col(m)["c_x"] / F.nullif(F.col(m)["s_y"], F.lit(0.0)))
+    return F.when(F.col(m)["n"] >= least, F.col(m)["c_x"] / F.nullif(F.col(m)["s_y"], F.lit(0.0)))
 
 
 def corr_of(m: str, least: int) -> Column:
     """Correlation; missing where a value does not vary."""
     spread = F.sqrt(F.col(m)["s_x"]) * F.sqrt(F.col(m)["s_y"])
-    return F.when((F.col(m)["n"] >= least) & ~_flat(m) & ~_flat(m, "y"), F.col(m)["c_x"] / F.nullif(spread, F.lit(0.0)))
+    return F.when(F.col(m)["n"] >= least, F.col(m)["c_x"] / F.nullif(spread, F.lit(0.0)))
 
 
 def zscore_of(value: str, n: int) -> Column:

@@ -63,7 +63,7 @@ def block(x: DataFrame, label: str, sector: str | None = None, beta: str | None
         x = scans.slide(x, 60, pairs=(("ar", "trend"),)).withColumn("tie", scans.corr_of("ar_trend_60", 60)).drop("ar_trend_60")
         z |= {"remit_trend_z": ("trend", 126), "asset_link": ("tie", 126)}
     if has(RAIN):
-        x = scans.slide(x, 252, ("m",)).withColumn("dev", _zero(F.col("m") - scans.mean_of("m_252", 252)))
+        x = scans.slide(x, 252, ("m",), extremes=True).withColumn("dev", _zero(F.col("m") - scans.mean_of("m_252", 252)))
         z["hydro_stress_z"] = ("dev", 252)
         if by or sector in HYDRO_SECTORS:
             full = F.col("m_252.n") >= 252

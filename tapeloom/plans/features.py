@@ -79,7 +79,7 @@ def bb_squeeze(spark, sf_dir):
 def reversion(bars, n: int = 30):
     """Distance from the mean, place in the band and in the 400-bar range, distance from the 200-bar mean."""
     m, s = w.mean("close", n), w.std("close", n)
-    x = scans.slide(scans.slide(bars, 400, ("close",)), 200, ("close",))
+    x = scans.slide(scans.slide(bars, 400, ("close",), extremes=True), 200, ("close",))
     low, high, m200 = F.col("close_400.l_x"), F.col("close_400.g_x"), scans.mean_of("close_200", 200)
     x = x.withColumns({"dist": w.ratio(F.col("close") - m, m), "dist200": w.ratio(F.col("close") - m200, m200), "place": w.ratio(F.col("close") - (m - 2 * s), 4 * s), "range_pos": w.ratio(F.col("close") - low, high - low)})
     half = lambda c: F.coalesce(w.clamp(F.col(c), 0.0, 1.0), F.lit(0.5))

@@ -48,7 +48,7 @@ def by_symbol(walk, f):
 
 @pytest.mark.parametrize("n", [2, 7, 60, 1000])
 def test_sliding_moments(rows, walk, n):
-    x = scans.slide(rows, n, ("x",), (("x", "y"),))
+    x = scans.slide(rows, n, ("x",), (("x", "y"),), extremes=True)
     x = x.select("symbol", "date", scans.mean_of(f"x_{n}", 2).alias("m"), scans.std_of(f"x_{n}", 2).alias("s"), scans.corr_of(f"x_y_{n}", 3).alias("c"), scans.beta_of(f"x_y_{n}", 3).alias("b"), F.col(f"x_{n}.l_x").alias("lo"), F.col(f"x_{n}.g_x").alias("hi"))
     got = ordered(x)
 
