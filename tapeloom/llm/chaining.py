@@ -8,7 +8,7 @@
    the text, not with the square of a seed's places. A task deals FEW + 1 places of a seed; the others are joined with the
    seed's first holder once that is known, so that no seed gathers in one task. Matches depend on the rows alone.
 2. Matches of a document with one source document that keep their distance are merged into segments; ordered segments
-   are chained by a tree of maxima over source positions, which holds the segments within reach (score: seed words less
+   are chained by Fenwick trees of maxima over source positions, a pair for each block within reach (score: seed words less
    GAP_COST for each word skipped). Chains are traced best first over segments that are still free.
 3. Chains are aligned: both passages' words are fetched from the texts, gaps between segments are aligned by edit distance,
    the ends are extended across unequal words up to the best score. A passage stays if it is long and similar enough.
@@ -22,8 +22,6 @@ other columns are not read.
 
 from __future__ import annotations
 
-import bisect
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -171,58 +169,93 @@ def matches(own: DataFrame) -> DataFrame:
 _NONE = (float("-inf"), -1)
 
 
-class MaxTree:
-    """Greatest (value, item) over a range of ranks from 0, one item a rank. (A Fenwick tree cannot take items out.)"""
-
-    def __init__(self, n: int):
-        self.n, self.best = n, [_NONE] * (2 * n)
-
-    def put(self, rank: int, value: tuple) -> None:
-        at = rank + self.n
-        self.best[at] = value
-        while at > 1:
-            at >>= 1
-            self.best[at] = max(self.best[2 * at], self.best[2 * at + 1])
-
-    def among(self, start: int, stop: int) -> tuple:
-        out, start, stop = _NONE, start + self.n, stop + self.n
-        while start < stop:
-            if start & 1:
-                out, start = max(out, self.best[start]), start + 1
-            if stop & 1:
-                stop -= 1
-                out = max(out, self.best[stop])
-            start, stop = start >> 1, stop >> 1
+class Fenwick:
+    """Greatest (value, item) of the places before a given one, of REACH places."""
+
+    def __init__(self):
+        self.best = [_NONE] * (REACH + 1)
+
+    def put(self, place: int, value: tuple) -> None:
+        best, place = self.best, place + 1
+        while place <= REACH:
+            if best[place] < value:
+                best[place] = value
+            place += place & -place
+
+    def before(self, place: int) -> tuple:
+        best, out = self.best, _NONE
+        while place:
+            if best[place] > out:
+                out = best[place]
+            place -= place & -place
         return out
 
 
+class Reach:
+    """Greatest (value, item) put within REACH words before a source position.
+
+    Each block of REACH positions has two Fenwick trees, one from its begin and one from its end, so that the window is the end
+    of one block and the beginning of the next.
+    """
+
+    def __init__(self):
+        self.trees: dict[int, tuple[Fenwick, Fenwick]] = {}
+
+    def put(self, at: int, value: tuple) -> None:
+        block, place = divmod(at, REACH)
+        trees = self.trees.get(block)
+        if trees is None:
+            trees = self.trees[block] = Fenwick(), Fenwick()
+        trees[0].put(place, value)
+        trees[1].put(REACH - 1 - place, value)
+
+    def before(self, at: int) -> tuple:
+        block, place = divmod(at, REACH)
+        now, last = self.trees.get(block), self.trees.get(block - 1)
+        out = now[0].before(place) if now else _NONE
+        return max(out, last[1].before(REACH - place)) if last else out
+
+
 def chain(segments: list[tuple[int, int, int]]) -> list[list[int]]:
     """Chains (lists of indexes in order) over segments (a, b, words between its first and last seed), best first.
 
-    One pass of the tree scores every segment as a chain's end, over the segments that end within REACH words before it in
-    both documents; chains are then traced best first, each as far as its segments are free.
+    Fenwick trees score every segment as a chain's end, over the segments that end within REACH words before it in both
+    documents; chains are then traced best first, each as far as its segments are free. The sweep goes by blocks of REACH
+    words of the document. What a segment can follow ends in its own block, and is put as the sweep passes it, or in the last
+    block, whose scores are final: there the block's segments ask from last to first while ends are put from last to first. So
+    trees only take in, and those of a block are dropped whole.
     """
-    by_b = sorted(range(len(segments)), key=lambda i: segments[i][1] + segments[i][2])
-    sorted_b, ranks = [segments[i][1] + segments[i][2] for i in by_b], [0] * len(segments)
-    for r, i in enumerate(by_b):
-        ranks[i] = r
-    tree, score, back = MaxTree(len(segments)), [0.0] * len(segments), [-1] * len(segments)
-    ends = sorted(range(len(segments)), key=lambda i: segments[i][0] + segments[i][2])
-    e = gone = 0
+    score, back = [0.0] * len(segments), [-1] * len(segments)
+    blocks: dict[int, list[int]] = {}
     for i in sorted(range(len(segments)), key=lambda i: segments[i][:2]):
-        a, b, n = segments[i]
-        while segments[ends[e]][0] + segments[ends[e]][2] < a:  # segment i itself ends the loop at the latest
-            j = ends[e]
-            aj, bj, nj = segments[j]
-            tree.put(ranks[j], (score[j] + GAP_COST * (aj + nj + bj + nj), j))
-            e += 1
-        while gone < e and segments[ends[gone]][0] + segments[ends[gone]][2] < a - REACH:
-            tree.put(ranks[ends[gone]], _NONE)
-            gone += 1
-        value, j = tree.among(bisect.bisect_left(sorted_b, b - REACH), bisect.bisect_left(sorted_b, b))
-        own = n + SEED_WORDS
-        linked = value - GAP_COST * (a + b) + own
-        score[i], back[i] = (linked, j) if linked > own else (own, -1)
+        blocks.setdefault(segments[i][0] // REACH, []).append(i)
+    ended: dict[int, list[int]] = {}  # by block of the end
+    for i in sorted(range(len(segments)), key=lambda i: segments[i][0] + segments[i][2]):
+        ended.setdefault((segments[i][0] + segments[i][2]) // REACH, []).append(i)
+
+    def put(tree, j):
+        aj, bj, nj = segments[j]
+        tree.put(bj + nj, (score[j] + GAP_COST * (aj + nj + bj + nj), j))
+
+    for block, members in sorted(blocks.items()):
+        tree, earlier, best = Reach(), ended.get(block - 1, []), {}
+        e = len(earlier)
+        for i in reversed(members):
+            a, b, _ = segments[i]
+            while e and segments[earlier[e - 1]][0] + segments[earlier[e - 1]][2] >= a - REACH:
+                e -= 1
+                put(tree, earlier[e])
+            best[i] = tree.before(b)
+        tree, own_ends, e = Reach(), ended.get(block, []), 0
+        for i in members:
+            a, b, n = segments[i]
+            while e < len(own_ends) and segments[own_ends[e]][0] + segments[own_ends[e]][2] < a:
+                put(tree, own_ends[e])
+                e += 1
+            value, j = max(best[i], tree.before(b))
+            own = n + SEED_WORDS
+            linked = value - GAP_COST * (a + b) + own
+            score[i], back[i] = (linked, j) if linked > own else (own, -1)
     out, free = [], [True] * len(segments)
     for i in sorted(range(len(segments)), key=lambda i: (-score[i], i)):
         found = []

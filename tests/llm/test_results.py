@@ -471,6 +471,18 @@ def test_chains_against_all_orders():
         assert abs(score - best) < 1e-9
 
 
+def test_reach_trees_give_the_greatest_of_a_window():
+    rng = np.random.default_rng(3)
+    tree, put = chaining.Reach(), {}
+    for item in range(400):
+        at, value = int(rng.integers(0, 700)), float(rng.integers(0, 20))
+        tree.put(at, (value, item))
+        put[item] = (at, value)
+        ask = int(rng.integers(0, 760))
+        near = [(v, j) for j, (x, v) in put.items() if ask - chaining.REACH <= x < ask]
+        assert tree.before(ask) == max(near, default=(float("-inf"), -1))
+
+
 def test_chains_within_reach_against_all_orders():
     from itertools import combinations
 
