@@ -19,14 +19,17 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tapeloom.llm.common import cut, shared_dir
 
 SLOTS = 16384
+#: Parts over which equal rows are dealt.
+SALTS = 256
 MAP_SCHEMA = "slot int, shard int, bytes long, rows long, base long"
 
 
 def records(docs: DataFrame, *, text: str = "text", key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of each row."""
+    """doc_id, size, text_crc32 and virtual slot of each row, and a part (salt) that spreads equal rows."""
     body = F.coalesce(docs[text], F.lit("")).cast("binary")
     out = docs.select(docs[key].alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    return out.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    out = out.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    return out.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
 
 
 def slot_loads(rows: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
@@ -113,11 +116,20 @@ def edit_map(spark: SparkSession, path: str, size: np.ndarray, count: np.ndarray
 
 
 def place(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """shard and gapless place of each record. The map has a fixed number of rows, so it is broadcast."""
-    w = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
-    at = rows.withColumn("at", F.row_number().over(w).cast("long") - 1)
+    """shard and gapless place of each record. The map has a fixed number of rows, so it is broadcast.
+
+    Equal rows share a slot, however many they are, so they are counted in SALTS parts first; a slot's order is taken over
+    the parts alone, and each row is numbered inside its part.
+    """
+    kind = ["vslot", "doc_id", "text_crc32", "size", "salt"]
+    parts = rows.groupBy(*kind).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("vslot").orderBy(*kind[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*(F.col(k).alias(f"part_{k}") for k in kind), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    nth = Window.partitionBy(*kind).orderBy(F.lit(0))
+    at = rows.withColumn("nth", F.row_number().over(nth)).join(parts, [F.col(k).eqNullSafe(F.col(f"part_{k}")) for k in kind])
     m = F.broadcast(placed.select(F.col("slot").alias("vslot"), "shard", "base", F.col("version").alias("map_version")))
-    return at.join(m, "vslot").withColumn("slot", F.col("base") + F.col("at"))
+    slot = F.col("base") + F.col("before") + F.col("nth") - 1
+    return at.join(m, "vslot").withColumn("slot", slot).drop("salt", "nth", "before", *(f"part_{k}" for k in kind))
 
 
 def shard_rows(docs: DataFrame, shards: int = 16, *, text: str = "text", key: str = "doc_id", slots: int = SLOTS, path: str | None = None) -> DataFrame:
