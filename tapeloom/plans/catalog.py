@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tapeloom.plans import artifacts, charts, factors, features, feeds, jobs, macro, models, portfolio, returns, risk, scanner, sectors, sources, streams, trading  # noqa: F401  each module registers its queries
+from tapeloom.plans import artifacts, charts, factors, features, feeds, jobs, macro, models, parameters, portfolio, returns, risk, scanner, sectors, sources, streams, trading  # noqa: F401  each module registers its queries
 from tapeloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
